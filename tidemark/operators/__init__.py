@@ -1 +1 @@
-
+"""Relational operators: as-of joins, windows, aggregates, sets, ladders."""

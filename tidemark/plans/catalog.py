@@ -1,4 +1,8 @@
-"""Registry of the engine's queries."""
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+"""All registered queries and their SQL."""
+
+from __future__ import annotations
+
+from . import event_queries, trade_queries, vector_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "complete_group_asof"

@@ -1 +1 @@
-
+"""Readers, writers and parsers of raw captures."""
