@@ -96,11 +96,11 @@ def lag_pairs(spark, folder):
 
 
 @query("""
-select event_id, round(cast(epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as double) / 6e7, 6) as gap_minutes from events
+select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap_micros from events
 """)
 def gap_minutes(spark, folder):
     events = table(spark, folder, "events", "event_id", "user_id", "ts")
-    return rounded(windows.gaps(events, ["user_id"], "ts", "event_id").select("event_id", "gap_minutes"), "gap_minutes")
+    return windows.gaps(events, ["user_id"], "ts", "event_id").select("event_id", F.round(F.col("gap_minutes") * 60e6).cast("long").alias("gap_micros"))
 
 
 @query("""
