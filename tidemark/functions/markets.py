@@ -52,7 +52,7 @@ def first_non_empty(*values: Column) -> Column:
 
 def bucket(label: Column) -> Column:
     """struct(lower, upper) of a temperature range label: "<=a", "a to b", ">=b" in words; both null if unreadable."""
-    text = F.lower(F.regexp_replace(label, "[°f]", ""))
+    text = F.regexp_replace(F.lower(label), r"°\s*f?", "")
     low = F.regexp_extract(text, r"^\s*(-?\d+)\s*(?:or below|or less|or lower)", 1)
     high = F.regexp_extract(text, r"^\s*(-?\d+)\s*(?:or above|or more|or higher)", 1)
     a, b = (F.regexp_extract(text, r"^\s*(-?\d+)\s*(?:to|-|–)\s*(-?\d+)\s*$", k) for k in (1, 2))
@@ -64,9 +64,10 @@ def event_date(ticker: Column) -> Column:
     """The date in a ticker's ``-yyMMMdd`` ending, or null."""
     part = F.regexp_extract(ticker, r"-(\d{2}[A-Z]{3}\d{2})$", 1)
     months = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
-    month = (F.locate(F.substring(part, 3, 3), F.lit(months)) + 2) / 3
+    place = F.instr(F.lit(months), F.substring(part, 3, 3))
+    month = (place + 2) / 3
     text = F.concat(F.lit("20"), F.substring(part, 1, 2), F.lit("-"), F.lpad(month.cast("int").cast("string"), 2, "0"), F.lit("-"), F.substring(part, 6, 2))
-    return F.when((part != "") & (F.instr(F.lit(months), F.substring(part, 3, 3)) > 0), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when((part != "") & (place > 0), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def taker_fee(price: Column) -> Column:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Abramowitz and Stegun, Handbook of Mathematical Functions, 26.2.17 (error below 7.5e-8).
 P = 0.2316419
@@ -21,7 +22,7 @@ def cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_cdf(x: pd.Series) -> pd.Series:
     """Phi(x) to double precision."""
     return x.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(-v / math.sqrt(2)))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import schemas
 from ..expect import ExpectationError
@@ -124,8 +131,6 @@ def station_csv(rows: DataFrame, text: str, station: str, date: str) -> DataFram
 
     A wrong station or date anywhere fails the batch; sentinels are null.
     """
-    from pyspark.sql import Window as W
-
     lines = rows.select("received_at", F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw")).where("line > 0 and length(trim(raw)) > 0")
     parsed = lines.select("received_at", "line", F.from_csv("raw", F.lit("station string, valid string, tmpf string, metar string")).alias("r")).select("received_at", "line", "r.*")
     right = (F.col("station") == station) & F.startswith("valid", F.lit(date))
@@ -141,12 +146,6 @@ def redacted(payload: DataFrame, column: str, pattern: str) -> DataFrame:
     Keys of unknown nesting have no schema; an Arrow-batched function walks each
     payload once.
     """
-    import json
-    import re
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     drop = re.compile(pattern, re.I)
 
     def clean(x):
@@ -154,7 +153,7 @@ def redacted(payload: DataFrame, column: str, pattern: str) -> DataFrame:
             return {k: clean(v) for k, v in x.items() if not drop.search(k)}
         return [clean(v) for v in x] if isinstance(x, list) else x
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: None if t is None else json.dumps(clean(json.loads(t)), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
