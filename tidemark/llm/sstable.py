@@ -16,9 +16,13 @@ integer with its sign bit flipped, so that byte order is the order of the ids.
 
 from __future__ import annotations
 
+import functools
+import json
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -160,6 +164,81 @@ class Shard:
         return found
 
 
+class Encoder:
+    """Ids of whole texts as the tokenizer gives them, each distinct word encoded once.
+
+    A byte-level tokenizer with its own pattern cuts before every single space
+    between two other characters, and encodes the pieces one by one. Where that
+    is so, texts are cut there and the pieces' ids are kept; texts with other
+    spaces, and other tokenizers, are encoded whole.
+    """
+
+    #: Pieces of a generation; two are kept, and a piece that is met again moves to the younger.
+    GENERATION = 600_000
+    #: Texts of one call; longer lists are slower by the text.
+    CALL = 64
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        rules = json.loads(self.tokenizer.to_str())
+        cutter = rules["pre_tokenizer"] or {}
+        self.by_piece = rules["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter["add_prefix_space"]
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.type = np.dtype("<u4" if self.wide else "<u2")
+        self.code = "I" if self.wide else "H"
+        # Ids of pieces at the start of a text, and of pieces after a space: younger and older.
+        self.first: list[dict[str, bytes]] = [{}, {}]
+        self.after: list[dict[str, bytes]] = [{}, {}]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        calls = (texts[i : i + self.CALL] for i in range(0, len(texts), self.CALL))
+        found = [array(self.code, e.ids) for some in calls for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
+
+    def _learn(self, kept: list[dict], pieces: set[str], lead: str) -> dict:
+        """The younger generation, with all of these pieces in it; None stands for one that can't be encoded alone."""
+        if len(kept[0]) > self.GENERATION:
+            kept[:] = [{}, kept[0]]
+        young, old = kept
+        fresh = pieces.difference(young)
+        young.update({p: old[p] for p in fresh.intersection(old)})
+        unknown = list(fresh.difference(old))
+        odd = [p for p in unknown if not p or p[0].isspace() or p[-1].isspace()]
+        plain = list(set(unknown).difference(odd)) if odd else unknown
+        young.update(dict.fromkeys(odd))
+        young.update(zip(plain, self._ids([lead + p for p in plain]), strict=True))
+        return young
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        raw: list[bytes | None] = [None] * len(texts)
+        if self.by_piece:
+            cut = [t.split(" ") for t in texts]
+            heads = [c.pop(0) for c in cut]
+            pieces: set[str] = set()
+            for c in cut:
+                pieces.update(c)
+            first, after = self._learn(self.first, set(heads), ""), self._learn(self.after, pieces, " ").__getitem__
+            for k, (head, c) in enumerate(zip(heads, cut, strict=True)):
+                ids = [first[head], *map(after, c)]
+                raw[k] = None if None in ids else b"".join(ids)
+        whole = [k for k, r in enumerate(raw) if r is None]
+        for k, r in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+            raw[k] = r
+        return [np.frombuffer(r, dtype=self.type) for r in raw]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker, whatever the number of its tasks."""
+    return Encoder(path)
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, work: Workspace, end_id: int = 0, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Tokenize and write documents(doc_id, text); return the manifest.
 
@@ -170,21 +249,18 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, work: Worksp
 
     def write(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-        wide = tokenizer.get_vocab_size() > 1 << 16
+        encode = encoder(tokenizer_path)
         path = f"{folder}/{uuid.uuid4().hex}.sst"
         out = low = high = None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(ids), 64):
-                encoded = tokenizer.encode_batch_fast([t or "" for t in texts[a : a + 64]], add_special_tokens=False)
+                encoded = encode.encode([t or "" for t in texts[a : a + 64]])
                 for doc_id, e in zip(ids[a : a + 64], encoded, strict=True):
                     if out is None:
-                        out, low = ShardWriter(writer(path), wide), doc_id
-                    out.add(doc_id, np.append(np.array(e.ids, dtype=np.uint32), np.uint32(end_id)))
+                        out, low = ShardWriter(writer(path), encode.wide), doc_id
+                    out.add(doc_id, np.append(e, e.dtype.type(end_id)))
                     high = doc_id
         if out is not None:
             out.close()
