@@ -75,8 +75,16 @@ def _slice_learner(shared, ftrl: Ftrl):
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["deal", "text"])
-        rows = [np.unique(np.append(f, _U(BIAS))) for f in features(pa.array(part["text"], pa.string()))]
+        texts = pa.array(part["text"], pa.string())
         known, z0, n0 = shared.value
+        # A new feature's |z| stays below the number of its rows. One that can't reach what is kept below has no
+        # weight meanwhile, so it is left out; rows are counted by leading bits, never too low.
+        counts = np.zeros(1 << 24, dtype=np.uint8)
+        for f in features(texts):
+            place = f >> _U(40)
+            counts[place] = np.minimum(counts[place], 254) + 1
+        counts[known >> _U(40)] = 255
+        rows = [np.unique(np.append(f[counts[f >> _U(40)] > ftrl.l1 / 2], _U(BIAS))) for f in features(texts)]
         names, flat = np.unique(np.concatenate([known, *rows]), return_inverse=True)
         z, n = np.zeros(len(names)), np.zeros(len(names))
         z[flat[: len(known)]], n[flat[: len(known)]] = z0, n0
