@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import BROADCAST_BYTES, Workspace
@@ -45,6 +45,11 @@ def _words(split, part: slice) -> list[bytes]:
     return [raw[a:b] for a, b in zip(split.starts[part], split.ends[part], strict=True)]
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def _scan(docs: DataFrame, width: int) -> DataFrame:
     """One pass over the texts: words, hash of the kept form, identity of the word sequence, distinct fingerprints."""
 
@@ -63,9 +68,9 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                     rows["t2"].append(int.from_bytes(digest[8:16], "little", signed=True))
                     rows["prints"].append(signed(np.unique(_fingerprints(grams, part, width))).tobytes() if n >= width else b"")
             types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]], names=["doc_id", *rows])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]], names=["doc_id", "text_key", *rows])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, sha binary, t1 long, t2 long, prints binary")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(scan, "doc_id long, text_key long, n_words long, sha binary, t1 long, t2 long, prints binary")
 
 
 def _unpacked(scanned: DataFrame) -> DataFrame:
@@ -173,9 +178,14 @@ def _same_text(split, part: slice, t1: int, t2: int) -> bool:
     return int.from_bytes(digest[:8], "little", signed=True) == t1 and int.from_bytes(digest[8:16], "little", signed=True) == t2
 
 
-def _removed(found: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2, starts) of windows that also start in a document with a smaller doc_id."""
+def _removed(found: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(doc_id, t1, t2, starts) of windows that also start in a document with a smaller doc_id.
+
+    The least ids are written first: both sides of the join are then plain
+    shuffles, of which Spark splits the partitions that a frequent window fills.
+    """
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = work.keep(least, name)
     hit = found.join(least, ["h1", "h2"]).where("least < doc_id")
     return hit.groupBy("doc_id", "t1", "t2").agg(F.array_join(F.collect_set(F.col("start").cast("string")), ",").alias("starts"))
 
@@ -227,7 +237,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 2, fan_in: i
     docs: ``doc_id`` (long) and ``text``; other columns are not read. Null texts
     have no words. Rows with a null doc_id neither lose words nor make others
     lose any. Rows that share a doc_id do not repeat each other. With with_text,
-    ``kept`` is null where nothing is removed: the text stays as it is.
+    ``kept`` is null where nothing is removed (the text stays as it is), and
+    ``text_key`` tells rows of one doc_id apart.
     """
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "substring")
@@ -245,8 +256,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 2, fan_in: i
         shared = work.keep(index.ingest(_unpacked(batch)), f"shared-{k}")
         found = work.keep(_shared_windows(docs, shared, width), f"windows-{k}")
         low = batch.agg(F.min("doc_id")).first()[0]
-        removed = work.keep(_removed(found).where(F.col("doc_id") >= (low if low is not None else 0)), f"removed-{k}")
+        removed = work.keep(_removed(found, work, f"least-{k}").where(F.col("doc_id") >= (low if low is not None else 0)), f"removed-{k}")
         work.drop(f"windows-{k}")
+        work.drop(f"least-{k}")
         work.drop(f"shared-{k}")
         cuts.append(work.keep(_cut(docs, removed, width).select("doc_id", "t1", "t2", "n_removed", "kept_sha", *(["kept"] if with_text else [])), f"cut-{k}"))
         index.compact()
@@ -266,5 +278,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 2, fan_in: i
         F.when(whole, F.lit(empty)).otherwise(F.coalesce("kept_sha", F.lower(F.hex("sha")))).alias("kept_sha256"),
     ]
     if with_text:
-        out += [F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"), "t1", "t2"]
+        out += [F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"), "text_key"]
     return rows.select(*out)
