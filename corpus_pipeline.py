@@ -28,8 +28,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of fifty words that an earlier document has; what is left empty by that goes."""
     work = Workspace(spark, "pipeline")
     found = substring.remove_repeats(docs, width=50, with_text=True)
-    changed = work.keep(found.where("n_removed > 0").select("doc_id", F.col("kept").alias("kept")), "changed").dropDuplicates(["doc_id"])
-    joined = docs.join(changed, "doc_id", "left")
+    changed = work.keep(found.where("n_removed > 0").select("doc_id", "text_key", "kept").dropDuplicates(["doc_id", "text_key"]), "changed")
+    joined = docs.withColumn("text_key", substring.text_key(F.col("text"))).join(changed, ["doc_id", "text_key"], "left")
     whole = joined.where("kept is null or kept <> ''")
     text = F.coalesce("kept", "text")
     return whole.withColumns({"n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType), "text": text}).select(*docs.columns)
