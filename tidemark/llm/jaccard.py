@@ -8,10 +8,10 @@ but a pair then needs that many shared shingles before it is verified. A pair is
 held to the smaller of its two l.
 
 Components do not need all pairs. A first round verifies a few neighbours in
-every posting list and joins them up; a second, exact round takes every pair
-that still lies in two components, shares enough prefix shingles and passes the
-position bound. So a group of copies is never expanded into all its pairs, and
-no link between components is lost.
+every posting list and joins them up; a second, exact round holds every set that
+shares enough prefix shingles with another component's sets against those sets,
+a block of them at a time. So a group of copies is never expanded into all its
+pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,10 +34,15 @@ from .text import binaries, chunks, mix, ngrams, sequence_hash, signed, split_wo
 SKETCH_BITS = 22
 _SLICE_BITS = 16
 #: Prefixes are lengthened by at most so many shingles.
-MOST_MATCHES = 8
+MOST_MATCHES = 64
+#: Other sets that a rare shingle is expected to meet by chance; the sketch can't tell so few.
+CHANCE = 0.1
 #: Posting lists of shingles in a higher frequency class are dealt out by document as well.
 _SALT_CLASS = 13
-_ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+#: Lists up to this size propose a pair for every shingle in the first round.
+SHORT_LIST = 8
+#: Shingles of a block of sets, and sets that visit one task's block.
+BLOCK_SHINGLES, BLOCK_VISITS = 1 << 16, 512
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -111,10 +117,10 @@ def required(n, num: int, den: int):
 def _choose(classes: np.ndarray, n: int, need: int, floor: float) -> int:
     """The number of matches l with the least estimated cost of postings and verifications."""
     most = min(MOST_MATCHES, need)
-    load = np.maximum(np.exp2(classes[: n - need + most].astype(np.float64)) - floor, 0.0)
+    load = np.maximum(np.exp2(classes[: n - need + most].astype(np.float64)) - floor, 0.0) + CHANCE
     scanned = np.cumsum(load)[n - need :]
     matches = np.arange(1, most + 1)
-    return int(np.argmin(matches + scanned + n * scanned / (8 * matches))) + 1
+    return int(np.argmin(matches + scanned + n * scanned / (64 * matches))) + 1
 
 
 def _signatures(docs: DataFrame, words: int, num: int, den: int, classes, floor: float, bits: int) -> DataFrame:
@@ -132,8 +138,8 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, classes, floor:
                     for k in ("k1", "k2", "matches", "prefix"):
                         rows[k].append(None)
                     continue
-                rows["k1"].append(int(signed(np.array([sequence_hash(s)], dtype=np.uint64))[0]))
-                rows["k2"].append(int(signed(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(keepdims=True, dtype=np.uint64))[0]))
+                for k, salt in (("k1", 0xE7037ED1A0B428DB), ("k2", 0xA0761D6478BD642F)):
+                    rows[k].append(int(signed(mix(s ^ np.uint64(salt)).sum(keepdims=True, dtype=np.uint64))[0]))
                 own = table[s >> shift]
                 order = np.argsort(own, kind="stable")
                 need = required(n, num, den)
@@ -164,13 +170,12 @@ def _postings(sets: DataFrame, classes, bits: int) -> DataFrame:
             rank = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             lists = np.uint64(1) << np.maximum(table[token >> shift].astype(np.int64) - _SALT_CLASS, 0).astype(np.uint64)
             salt = mix(doc.astype(np.int64).view(np.uint64)) % lists
-            place = mix(doc.astype(np.int64).view(np.uint64) * _ORDERS[(token & np.uint64(3)).astype(np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(token)), pa.array(salt.astype(np.int32)), pa.array(signed(place)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(matches.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(lists > 1)],
-                names=["token", "salt", "place", "doc", "n", "matches", "rank", "salted"],
+                [pa.array(signed(token)), pa.array(salt.astype(np.int32)), pa.array(doc), pa.array(n.astype(np.int32)), pa.array(matches.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(lists > 1)],
+                names=["token", "salt", "doc", "n", "matches", "rank", "salted"],
             )
 
-    return sets.select("doc_id", "n", "matches", "prefix").mapInArrow(explode, "token long, salt int, place long, doc long, n int, matches int, rank int, salted boolean")
+    return sets.select("doc_id", "n", "matches", "prefix").mapInArrow(explode, "token long, salt int, doc long, n int, matches int, rank int, salted boolean")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -179,12 +184,15 @@ def _lists(postings: DataFrame) -> DataFrame:
     Lists have one of four random orders, so that a set meets a few partners,
     not the same one for every shingle; salts bound the length of a list.
     """
-    order = W.partitionBy("token", "salt").orderBy("place")
-    before = [F.lag(c).over(order).alias(f"other_{c}") for c in ("doc", "n", "rank")]
+    # Dealt first, so that the random order is made of what has arrived and is not sent along.
+    postings = postings.repartition("token", "salt").withColumn("place", F.xxhash64("doc", F.pmod("token", F.lit(4))))
+    whole = W.partitionBy("token", "salt")
+    order = whole.orderBy("place")
+    before = [F.lag(c).over(order).alias(f"other_{c}") for c in ("doc", "n", "rank", "matches")]
     return (
-        postings.select("token", "doc", "n", "matches", "rank", "salted", *before, F.lead("doc").over(order).alias("next_doc"))
-        .where("other_doc is not null or next_doc is not null or salted")
-        .drop("salted", "next_doc")
+        postings.select("token", "doc", "n", "matches", "rank", "salted", *before, F.count("*").over(whole).alias("size"))
+        .where("size > 1 or salted")
+        .drop("salted")
     )
 
 
@@ -196,15 +204,7 @@ def _may_link(num: int, den: int, a: str, b: str) -> str:
 
 def _verified(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have the required similarity."""
-    wanted = work.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-
-    def build(batches):
-        for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), binaries(sets)], names=["doc_id", "shingles"])
-
-    texts = docs.select("doc_id", "text").join(hint_small(wanted, 16), "doc_id", "left_semi")
-    sets = work.keep(texts.mapInArrow(build, "doc_id long, shingles binary"), f"{name}-sets")
+    sets = _sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, work, name, words)
 
     def hold(batches):
         for batch in batches:
@@ -242,15 +242,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     signed_docs = work.keep(_signatures(docs, words, num, den, classes, floor, sketch_bits), "signatures")
 
     sets = work.keep(signed_docs.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least")), "sets")
-    firsts = signed_docs.join(sets.withColumnRenamed("least", "doc_id"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    firsts = signed_docs.join(hint_small(sets.withColumnRenamed("least", "doc_id"), 40), ["doc_id", "k1", "k2"], "left_semi")
     lists = work.keep(_lists(_postings(firsts, classes, sketch_bits)), "lists")
 
-    near = lists.where("other_doc <> doc and " + _may_link(num, den, "", "other_"))
-    near = near.select(F.least("doc", "other_doc").alias("a"), F.greatest("doc", "other_doc").alias("b")).distinct()
+    # In long lists every eighth shingle will do: their sets meet in many. In short ones a pair must meet twice if it can.
+    near = lists.where(f"other_doc <> doc and (size <= {SHORT_LIST} or token % 8 = 0) and " + _may_link(num, den, "", "other_"))
+    near = near.groupBy(F.least("doc", "other_doc").alias("a"), F.greatest("doc", "other_doc").alias("b")).agg(F.count("*").alias("shared"), F.max("size").alias("size"), F.min(F.least("matches", "other_matches")).alias("need"))
+    near = near.where(f"shared >= least(need, 2) or size > {SHORT_LIST}").select("a", "b")
     first = components(_verified(work.keep(near, "near"), docs, work, "near", words, num, den), work, "first")
     first = work.keep(first, "first")
 
-    rest = _verified(work.keep(_open_pairs(lists, first, work, num, den), "open"), docs, work, "open", words, num, den)
+    rest = _open_links(lists, first, docs, work, words, num, den)
     # What is linked already counts as one node.
     tree = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     last = components(tree.unionByName(rest), work, "last") if rest.head(1) else first
@@ -261,19 +263,85 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
-def _open_pairs(lists: DataFrame, first: DataFrame, work: Workspace, num: int, den: int) -> DataFrame:
-    """All pairs of sets in two components that share as many prefix shingles as the smaller of their l."""
+def _sets(wanted: DataFrame, docs: DataFrame, work: Workspace, name: str, words: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in wanted(doc_id), written."""
+
+    def build(batches):
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), binaries(sets)], names=["doc_id", "shingles"])
+
+    wanted = work.keep(wanted, f"{name}-ids")
+    texts = docs.select("doc_id", "text").join(hint_small(wanted, 16), "doc_id", "left_semi")
+    return work.keep(texts.mapInArrow(build, "doc_id long, shingles binary"), f"{name}-sets")
+
+
+def _links_in_block(members: pd.DataFrame, visitors: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """For each visitor, one member that it links with in every other component of the block."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in members["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    ids, homes, out = members["doc"].to_numpy(), members["component"].to_numpy(), []
+    for doc, home, raw in zip(visitors["doc"], visitors["component"], visitors["shingles"], strict=True):
+        x = np.frombuffer(raw, dtype=np.uint64)
+        low, high = np.searchsorted(tokens, x, side="left"), np.searchsorted(tokens, x, side="right")
+        spans = high - low
+        at = np.repeat(low - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((den * both >= num * (len(x) + sizes - both)) & (homes != home) & (ids != doc))
+        _, first = np.unique(homes[near], return_index=True)
+        out += [(int(doc), int(ids[near[k]])) for k in first]
+    return out
+
+
+def _open_links(lists: DataFrame, first: DataFrame, docs: DataFrame, work: Workspace, words: int, num: int, den: int) -> DataFrame:
+    """Links between sets that the first round has left in two components; every such pair is held against the rules.
+
+    Sets of one component, and single sets that share their most frequent shingle,
+    form blocks of like sizes. A set visits a block if it shares as many prefix shingles with
+    its sets as the smaller l asks for; the task counts the overlaps with all
+    sets of the block at once. So the rows are visits of blocks, not pairs, and a
+    visitor returns one link a component.
+    """
     of = first.select(F.col("node").alias("doc"), "component")
-    rows = lists.select("token", "doc", "n", "matches", "rank").join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    rows = lists.select("token", "doc", "n", "matches", "rank").join(of, "doc", "left")
+    rows = rows.withColumns({"single": F.col("component").isNull(), "component": F.coalesce("component", "doc")})
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
-    open_lists = sizes.groupBy("token").agg(F.max_by("component", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    rows = work.keep(rows.join(open_lists, "token"), "open-rows")
-    level = f"greatest(1, rank + 1 - (n - cast(ceil({num} * n / {den}) as int)))"
-    rows = rows.withColumn("level", F.expr(level))
-    # One of a pair is outside the list's main component, so that component isn't paired with itself.
-    x = rows.where("component <> main").select("token", "main", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "matches", "rank", "level", "component")])
-    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "matches", "rank", "level", "component")])
-    met = x.join(y, "token").where("x_component <> y_component and (y_component = main or x_doc < y_doc)").where(_may_link(num, den, "x_", "y_"))
-    met = met.where("greatest(x_level, y_level) <= least(x_matches, y_matches)")
-    pair = met.groupBy(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x_matches", "y_matches")).alias("need"))
-    return pair.where("shared >= need").select("a", "b")
+    lists_open = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("length")).where("parts > 1").drop("parts")
+    rows = work.keep(rows.join(lists_open, "token").dropDuplicates(["token", "doc"]), "open-rows")
+
+    # Single sets go together by their most frequent shingle, which those of one family share.
+    label = rows.groupBy("doc", "component", "single", "n").agg(F.max_by("token", F.struct("length", "token")).alias("token"))
+    label = label.select("doc", "component", "single", F.when(F.col("single"), F.col("token")).otherwise(F.col("component")).alias("label"), F.floor(F.log(F.col("n").cast("double")) / np.log(1.2)).cast("int").alias("band"), "n")
+    label = work.keep(label, "open-labels")
+    group = ["label", "single", "band"]
+    crowded = label.groupBy(*group).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts")).where("parts > 1")
+    placed = label.join(hint_small(work.keep(crowded, "open-crowded"), 40), group, "left")
+    block = F.xxhash64(*group, F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))))
+    placed = work.keep(placed.select("doc", "component", block.alias("block")), "open-blocks")
+
+    level = F.expr(f"greatest(1, rank + 1 - (n - cast(ceil({num} * n / {den}) as int)))")
+    rows = rows.withColumn("level", level).join(placed.select("doc", "block"), "doc")
+    of_block = rows.groupBy("token", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("level").alias("block_level"), F.min("matches").alias("least"), F.max("matches").alias("most"), F.min("component").alias("c1"), F.max("component").alias("c2")
+    )
+    fits = f"{num} * n <= {den} * high and {num} * low <= {den} * n and (c1 <> component or c2 <> component)"
+    met = rows.where("component <> main").select("token", "doc", "n", "matches", "level", "component").join(of_block, "token").where(fits)
+    met = met.where("greatest(level, block_level) <= least(matches, most)")
+    visits = met.groupBy("doc", "component", "block").agg(F.count("*").alias("shared"), F.min(F.least("matches", "least")).alias("need")).where("shared >= need").select("doc", "component", "block")
+    visits = work.keep(visits, "open-visits")
+
+    blocks = visits.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_VISITS).cast("int").alias("shares"))
+    members = placed.join(blocks, "block")
+    sets = _sets(members.select(F.col("doc").alias("doc_id")).union(visits.select("doc")).distinct(), docs, work, "open", words).withColumnRenamed("doc_id", "doc")
+    members = members.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).join(sets, "doc").select("block", "share", "doc", "component", "shingles")
+    visitors = visits.join(blocks, "block").withColumn("share", F.pmod(F.xxhash64("doc"), "shares").cast("int"))
+    own = sets.select("doc", F.col("shingles").alias("own"))
+    visitors = visitors.join(own, "doc").select(*[F.col(c).alias(n) for c, n in (("block", "at"), ("share", "part"), ("doc", "doc"), ("component", "component"), ("own", "shingles"))])
+    def hold(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        links = _links_in_block(mine, others, num, den) if len(mine) and len(others) else []
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return work.keep(members.groupBy("block", "share").cogroup(visitors.groupBy("at", "part")).applyInPandas(hold, "a long, b long"), "open-links")
