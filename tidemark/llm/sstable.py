@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import struct
 import sys
 import uuid
@@ -235,7 +236,12 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, whatever the number of its tasks."""
+    """One encoder for each Python worker, whatever the number of its tasks.
+
+    The tokenizer's own threads are off: a worker has one core, and small calls
+    to a pool of threads cost as much again as their work.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
