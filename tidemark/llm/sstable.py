@@ -178,6 +178,8 @@ class Encoder:
     GENERATION = 600_000
     #: Texts of one call; longer lists are slower by the text.
     CALL = 64
+    #: Pieces that are joined to one text for the tokenizer.
+    JOINED = 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -190,6 +192,9 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.code = "I" if self.wide else "H"
+        # Ids of tokens whose first byte is a space, which the byte-level alphabet writes as a G with a dot.
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         # Ids of pieces at the start of a text, and of pieces after a space: younger and older.
         self.first: list[dict[str, bytes]] = [{}, {}]
         self.after: list[dict[str, bytes]] = [{}, {}]
@@ -213,9 +218,23 @@ class Encoder:
         odd = [p for p in unknown if not p or p[0].isspace() or p[-1].isspace()]
         plain = list(set(unknown).difference(odd)) if odd else unknown
         young.update(dict.fromkeys(odd))
-        young.update(zip(plain, self._ids([lead + p for p in plain]), strict=True))
+        young.update(zip(plain, self._joined(plain) if lead else self._ids(plain), strict=True))
         return young
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece after a space, many pieces to a call: only a piece's first id begins with a space."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), self.JOINED):
+            some = pieces[i : i + self.JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype=self.type)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some):
+                out += self._ids([" " + p for p in some])
+                continue
+            raw, ends = ids.tobytes(), (np.append(starts, len(ids)) * ids.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw: list[bytes | None] = [None] * len(texts)
         if self.by_piece:
