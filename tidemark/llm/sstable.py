@@ -175,7 +175,7 @@ class Encoder:
     """
 
     #: Pieces of a generation; two are kept, and a piece that is met again moves to the younger.
-    GENERATION = 600_000
+    GENERATION = 300_000
     #: Texts of one call; longer lists are slower by the text.
     CALL = 64
     #: Pieces that are joined to one text for the tokenizer.
