@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, packing, substring
+from tidemark.llm.storage import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id long, starts string, n int"
 RULE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +73,18 @@ def test_near_duplicates(spark, words, num):
     assert [r["component_id"] for r in found if r["doc_id"] is None] == [None, None]
 
 
+def test_open_links_counts_shingles_of_both_main_components(spark):
+    """Two components meet in two shingles; each is the larger one in one of them."""
+    common = " ".join(f"w{i}" for i in range(10))
+    texts = {1: common, 11: f"{common} v"} | {i: " ".join(f"u{i}x{k}" for k in range(10)) for i in (2, 3, 12, 13)}
+    n = {i: len(t.split()) for i, t in texts.items()}
+    lists = [(token, i, n[i], 2, rank) for token, rank, ids in ((101, 0, (1, 2, 3, 11)), (102, 1, (11, 12, 13, 1))) for i in ids]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    first = spark.createDataFrame([(i, 1 if i < 10 else 11) for i in texts], "node long, component long")
+    found = jaccard._open_links(spark.createDataFrame(lists, "token long, doc long, n int, matches int, rank int"), first, docs, Workspace(spark, "test"), 1, 85, 100)
+    assert {tuple(sorted(r)) for r in found.collect()} == {(1, 11)}
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_remove_repeats(spark, batches):
     rows = corpus()

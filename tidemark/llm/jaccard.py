@@ -303,13 +303,17 @@ def _open_links(lists: DataFrame, first: DataFrame, docs: DataFrame, work: Works
     form blocks of like sizes. A set visits a block if it shares as many prefix shingles with
     its sets as the smaller l asks for; the task counts the overlaps with all
     sets of the block at once. So the rows are visits of blocks, not pairs, and a
-    visitor returns one link a component.
+    visitor returns one link a component. Of two components only the one of fewer
+    sets (of equals, the one of the lesser id) visits: that holds for all
+    shingles alike, so the visitor counts every one that a pair shares.
     """
     of = first.select(F.col("node").alias("doc"), "component")
+    weights = work.keep(of.groupBy("component").agg(F.count("*").alias("weight")), "open-weights")
+    of = of.join(hint_small(weights, 40), "component")
     rows = lists.select("token", "doc", "n", "matches", "rank").join(of, "doc", "left")
-    rows = rows.withColumns({"single": F.col("component").isNull(), "component": F.coalesce("component", "doc")})
+    rows = rows.withColumns({"single": F.col("component").isNull(), "component": F.coalesce("component", "doc"), "weight": F.coalesce("weight", F.lit(1))})
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
-    lists_open = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("length")).where("parts > 1").drop("parts")
+    lists_open = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.sum("size").alias("length")).where("parts > 1").drop("parts")
     rows = work.keep(rows.join(lists_open, "token").dropDuplicates(["token", "doc"]), "open-rows")
 
     # Single sets go together by their most frequent shingle, which those of one family share.
@@ -325,10 +329,10 @@ def _open_links(lists: DataFrame, first: DataFrame, docs: DataFrame, work: Works
     level = F.expr(f"greatest(1, rank + 1 - (n - cast(ceil({num} * n / {den}) as int)))")
     rows = rows.withColumn("level", level).join(placed.select("doc", "block"), "doc")
     of_block = rows.groupBy("token", "block").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("level").alias("block_level"), F.min("matches").alias("least"), F.max("matches").alias("most"), F.min("component").alias("c1"), F.max("component").alias("c2")
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("level").alias("block_level"), F.min("matches").alias("least"), F.max("matches").alias("most"), F.max("weight").alias("block_weight"), F.max("component").alias("last")
     )
-    fits = f"{num} * n <= {den} * high and {num} * low <= {den} * n and (c1 <> component or c2 <> component)"
-    met = rows.where("component <> main").select("token", "doc", "n", "matches", "level", "component").join(of_block, "token").where(fits)
+    fits = f"{num} * n <= {den} * high and {num} * low <= {den} * n and (weight < block_weight or weight = block_weight and component < last)"
+    met = rows.select("token", "doc", "n", "matches", "level", "component", "weight").join(of_block, "token").where(fits)
     met = met.where("greatest(level, block_level) <= least(matches, most)")
     visits = met.groupBy("doc", "component", "block").agg(F.count("*").alias("shared"), F.min(F.least("matches", "least")).alias("need")).where("shared >= need").select("doc", "component", "block")
     visits = work.keep(visits, "open-visits")
