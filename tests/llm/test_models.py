@@ -110,6 +110,25 @@ def test_main_text(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+FIRST, LAST = "The first paragraph, of some words.", "The last paragraph, of some words."
+
+
+@pytest.mark.parametrize("between", ['<svg width="1"/>', "<svg/>", "<math/>", "<object data=a>", "<canvas id=c>", "<select><option>", "<template>", "<svg><path d='M0'/><title/><style/></svg>", "<svg><p></p>", "<select><option>a</select>", "<template><p>Not shown, as it is a template.</p></template>"])
+def test_main_text_goes_on_after_embedded_elements(between):
+    page = f"<article><p>{FIRST}</p>{between}<p>{LAST}</p></article><select></select><svg></svg><template></template>"
+    for p in (page, page.partition("<select></select>")[0]):
+        assert html.main_text(p) == f"{FIRST}\n{LAST}"
+
+
+@pytest.mark.parametrize("tag", ["object", "noscript", "canvas"])
+def test_main_text_keeps_text_of_embedded_elements(tag):
+    assert html.main_text(f"<article><p>{FIRST}</p><{tag}><p>{LAST}</p></{tag}></article>") == f"{FIRST}\n{LAST}"
+
+
+def test_main_text_keeps_formulas_in_their_sentence():
+    assert html.main_text("<article><p>Here <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds, as said.</p></article>") == "Here x=1 holds, as said."
+
+
 def test_urls(spark):
     rows = [(i, f"http://h{i % 7}.example.{'com' if i % 2 else 'net'}/{'en' if i % 3 else 'fr'}/{i}?a=1") for i in range(200)]
     odd = [(900, None), (901, "no scheme/en/"), (902, "HTTP://WWW.Example.COM/en/x#f"), (903, "x://example.com"), (904, "x://notexample.com/en/1"), (905, "x://a://b.net/es/1\n2"), (905, "x://a://b.net/es/1\n2"), (None, "http://q.org/zz")]

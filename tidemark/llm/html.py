@@ -20,10 +20,18 @@ from pyspark.sql import DataFrame
 
 # HTML element names and the words that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe".split())
+MATH = frozenset("annotation annotation-xml maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
+#: Furniture if they have an end tag: without one, they'd hold the rest of their parent.
+UNSHOWN = frozenset("svg template select".split())
 CONTENT = frozenset("article main".split())
+_HTML = frozenset("article aside blockquote body div dl dd dt footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
+_FOREIGN = _HTML | frozenset("b big br center code em embed hr i img menu meta ruby s small span strike strong sub sup tt u var".split())
+#: HTML tags that end an open svg, math or select when they start; svg and math hold HTML again inside HOLDERS.
+ENDS = {"svg": _FOREIGN, "math": _FOREIGN, "select": _HTML - {"div"}}
+HOLDERS = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
 NAMED = re.compile(r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|nav\w*|menu|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|share|social|comments?|replies|respond|disqus|newsletter|subscribe|login|signup|search)(?![a-z])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -56,6 +64,19 @@ class _Open:
     furniture: bool
     content: bool
     named: bool
+    #: svg, math or select, if tags are read by its rules here.
+    inside: str = ""
+
+
+def _ended(page: str, tag: str) -> set[int]:
+    """Where start tags of this name stand that have an end tag of their own."""
+    waiting, out = [], set()
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])([^>]*)>", page, re.I):
+        if not m[1] and not m[2].endswith("/"):
+            waiting.append(m.start())
+        elif m[1] and waiting:
+            out.add(waiting.pop())
+    return out
 
 
 def blocks(page: str) -> list[Block]:
@@ -64,6 +85,7 @@ def blocks(page: str) -> list[Block]:
     root = _Open("", 0, False, False, False)
     stack, count, current, links = [root], 0, None, 0
     at, size = 0, len(page)
+    ended: dict[str, set[int]] = {}
 
     def add(raw: str) -> None:
         nonlocal current
@@ -90,7 +112,14 @@ def blocks(page: str) -> list[Block]:
         if found[2] is None:
             continue
         closing, tag, attributes = found[1], found[2].lower(), found[3]
-        if tag in RAW and not closing:
+        inside = stack[-1].inside
+        if not closing and tag in ENDS.get(inside, ()):
+            while stack[-1].inside:
+                links -= stack.pop().tag == "a"
+            inside = ""
+        foreign = tag in ("svg", "math") or inside in ("svg", "math")
+        empty = foreign and attributes.rstrip().endswith("/")
+        if tag in RAW and not closing and not empty and not (foreign and tag == "title"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             if tag not in INLINE:
@@ -100,7 +129,7 @@ def blocks(page: str) -> list[Block]:
             current = None
         elif tag == "br" and current is not None:
             current.parts.append(" ")
-        if tag in VOID:
+        if tag in VOID or empty and not closing:
             continue
         if closing:
             place = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
@@ -121,7 +150,12 @@ def blocks(page: str) -> list[Block]:
         hidden = "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden=.?true", attributes) is not None
         count += 1
         furniture = above.furniture or tag in FURNITURE and not (tag == "header" and above.content) or hidden
-        stack.append(_Open(tag, count, furniture, above.content or tag in CONTENT, above.named or named))
+        if tag in UNSHOWN and not furniture:
+            if tag not in ended:
+                ended[tag] = _ended(page, tag)
+            furniture = found.start() in ended[tag]
+        inside = "" if tag == "template" or inside and tag in HOLDERS else tag if tag in ENDS else above.inside
+        stack.append(_Open(tag, count, furniture, above.content or tag in CONTENT, above.named or named, inside))
         links += tag == "a"
 
     for block in out:
