@@ -1,5 +1,9 @@
 """Corpus pipeline: toxic documents go, one of each near-duplicate class stays, repeated passages and
-benchmark-contaminated documents go, and the rest is packed into batches."""
+benchmark-contaminated documents go, and the rest is packed into batches.
+
+doc_ids may repeat or be null. The first stage gives each row a key, which is
+written with its result; what goes by near copies or contamination goes by that.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, packing, substring, toxicity
-from tidemark.llm.storage import Workspace
+from tidemark.llm.storage import Workspace, hint_small
+
+#: Tells rows apart from the first stage to the last but one.
+ROW = "row_key"
+
+
+def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
+    """docs with written row keys."""
+    return docs if ROW in docs.columns else work.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score < 0.7").select(*docs.columns)
+    return toxicity.score(docs, model).where("score < 0.7").select(*docs.columns, F.monotonically_increasing_id().alias(ROW))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class: shingles of five words, similarity 0.8."""
+    """The row with the least doc_id of each class, null last: shingles of five words, similarity 0.8."""
     work = Workspace(spark, "pipeline")
-    classes = jaccard.near_duplicates(docs, words=5, threshold=(80, 100))
-    gone = work.keep(classes.where("component_id <> doc_id").select("doc_id"), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    docs = _keyed(docs, work)
+    classes = jaccard.near_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text"), words=5, threshold=(80, 100))
+    linked = work.keep(classes.where("component_id <> doc_id").select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component")), "linked")
+    members = work.keep(linked.unionByName(linked.select(F.col("component").alias(ROW), "component").distinct()), "members")
+    members = work.keep(docs.select(ROW, "doc_id").join(hint_small(members, 32), ROW), "members-ids")
+    stays = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW))[ROW].alias("stays"))
+    gone = work.keep(members.join(hint_small(work.keep(stays, "stays"), 32), "component").where(F.col(ROW) != F.col("stays")).select(ROW), "duplicates")
+    return docs.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +55,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs."""
     work = Workspace(spark, "pipeline")
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
-    gone = work.keep(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    docs = _keyed(docs, work)
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10, row=ROW)
+    gone = work.keep(found.where("contaminated").select(ROW), "contaminated")
+    return docs.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

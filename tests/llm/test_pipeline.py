@@ -39,3 +39,14 @@ def test_pipeline(spark, tmp_path):
     for i in shared[1:]:
         want[i] -= 55
     assert kept == want
+
+
+def test_stages_tell_rows_of_one_doc_id_apart(spark, tmp_path):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcde")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (2, e), (3, c), (3, c), (None, a), (None, d)], "doc_id long, text string")
+    found = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == [(0, d), (1, a), (1, b), (2, e), (3, c)]
+
+    spark.createDataFrame([(1, " ".join(a.split()[:12]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == [(0, d), (1, b), (2, e), (3, c), (3, c)]

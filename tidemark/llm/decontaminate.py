@@ -45,13 +45,14 @@ def item_windows(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 class PositionalIndex:
     """Stored postings (row, doc_id, term, pos, next) of ``docs`` for the terms of ``vocabulary``.
 
-    row numbers the documents, so that null and repeated doc_ids stay apart;
+    row numbers the documents, if docs has no such column, so that null and repeated doc_ids stay apart;
     next is the following term if the vocabulary has it.
     """
 
     def __init__(self, docs: DataFrame, vocabulary: DataFrame, work: Workspace):
         terms = hint_small(vocabulary.select("term"), 80)
-        words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.array_append(_words(F.col("text")), F.lit(END)).alias("w"))
+        row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+        words = docs.select(row.alias("row"), "doc_id", F.array_append(_words(F.col("text")), F.lit(END)).alias("w"))
         each = words.select("row", "doc_id", "w", F.posexplode("w").alias("pos", "raw"))
         each = each.select("row", "doc_id", "pos", _lower_ascii(F.col("raw")).alias("term"), F.get("w", F.col("pos") + 1).alias("raw_next"))
         mine = each.join(terms, "term", "left_semi").withColumn("next_word", _lower_ascii(F.col("raw_next")))
@@ -114,8 +115,10 @@ class PositionalIndex:
         return first.join(second, ["row", "window", "block"]).where(f"abs(first - second) <= {slop}").select("row", "window", "first", "second")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and ``row`` for each row of docs.
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, row: str | None = None) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of docs.
+
+    row: a column of docs that differs in all rows; the result has it as well.
 
     A window is ``size`` consecutive words of an item(item_id, text), or all
     words of a shorter item; a document word inside any occurrence of a window
@@ -125,7 +128,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     repeated doc_ids each keep their own row.
     """
     work = Workspace(docs.sparkSession, "decontaminate")
-    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
+    docs, items = docs.select(*([F.col(row).alias("row")] if row else []), "doc_id", "text"), items.select("item_id", "text")
     distinct, every = item_windows(items, size)
     windows = work.keep(distinct, "windows")
     owners = work.keep(every.distinct().join(windows, "terms").select("window", "item_id").distinct(), "owners")
@@ -141,6 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
         .join(words, "row", "left")
         .join(found, "row", "left")
         .select(
+            *([F.col("row").alias(row)] if row else []),
             "doc_id",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
