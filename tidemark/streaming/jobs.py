@@ -21,7 +21,7 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str, horizon: str = "
 
 
 def slot_counts(stream: DataFrame, time: str, keys: list[str], slot: str = "30 seconds", late: str = "5 seconds") -> DataFrame:
-    """(slot, keys, records, max_delay): records of nominal slots; later ones than ``late`` are not counted."""
+    """(slot, keys, records) of nominal slots that have records; those behind the watermark of ``late`` are not counted."""
     slots = stream.withWatermark(time, late).groupBy(F.window(time, slot), *keys)
     return slots.agg(F.count("*").alias("records")).select(F.col("window.start").alias("slot"), *keys, "records")
 
