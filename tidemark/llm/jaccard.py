@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import Workspace, hint_small
-from .text import binaries, chunks, mix, ngrams, sequence_hash, signed, split_words, text_bytes
+from .text import binaries, chunks, mix, ngrams, release, sequence_hash, signed, split_words, text_bytes
 
 #: Counters of the frequency sketch, a bound on what is broadcast (one byte each).
 SKETCH_BITS = 22

@@ -4,15 +4,18 @@ The index keeps sorted, immutable runs of fingerprints. A fingerprint is the
 least hash of the eight-word windows inside a fifty-word window (winnowing), so
 two equal fifty-word windows have equal fingerprints, and a document has one
 fingerprint for each twenty words or so. A new batch of documents becomes a run,
-is merge-joined with the runs before it, and the matches are verified: the
-windows under a shared fingerprint are hashed again from the texts with two
-independent 64-bit hashes and compared whole. When runs of one level reach the
-fan-in they are merged into one run of the next.
+a table sorted and bucketed by fingerprint, and is merge-joined with the runs
+before it: buckets meet buckets, so the history is neither shuffled nor
+aggregated again. The matches are verified: the windows under a shared
+fingerprint are hashed again from the texts with two independent 64-bit hashes
+and compared whole. When runs of one level reach the fan-in they are merged into
+one run of the next, which later batches read in their stead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import BROADCAST_BYTES, Workspace
-from .text import ASCII_SPACE, SAME_CASE, chunks, ngrams, signed, sliding_min, split_words, text_bytes, windows
+from .text import ASCII_SPACE, SAME_CASE, Words, chunks, ngrams, release, signed, sliding_min, split_words, text_bytes, windows
 
 #: Words of the short windows whose least hash is the fingerprint of a long one.
 GRAM = 8
@@ -35,14 +38,15 @@ def _split(column: pa.Array):
         yield first, last, split_words(data[base : offsets[last]], offsets[first : last + 1] - base, ASCII_SPACE, SAME_CASE)
 
 
-def _fingerprints(grams: np.ndarray, part: slice, width: int) -> np.ndarray:
-    """The fingerprint of every long window of one document."""
-    return sliding_min(grams[part.start : part.stop - GRAM + 1], width - GRAM + 1)
+def _fingerprints(split: Words, width: int) -> np.ndarray:
+    """The fingerprint of the long window at every word; those that reach into the next document count for nothing."""
+    return signed(sliding_min(ngrams(split.hashes, GRAM), width - GRAM + 1))
 
 
-def _words(split, part: slice) -> list[bytes]:
-    raw = split.data.tobytes()
-    return [raw[a:b] for a, b in zip(split.starts[part], split.ends[part], strict=True)]
+def _identity(text: bytes) -> tuple[bytes, int, int]:
+    """SHA-256 of a word sequence, and two longs of it that tell which text a row is of."""
+    digest = hashlib.sha256(text).digest()
+    return digest, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:16], "little", signed=True)
 
 
 def text_key(text: Column) -> Column:
@@ -55,20 +59,21 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            rows = {k: [] for k in ("n_words", "sha", "t1", "t2", "prints")}
             for first, last, split in _split(batch.column(1)):
-                grams = ngrams(split.hashes, GRAM)
-                for d in range(last - first):
-                    part = split.of(d)
-                    n = part.stop - part.start
-                    digest = hashlib.sha256(b" ".join(_words(split, part))).digest()
-                    rows["n_words"].append(n)
-                    rows["sha"].append(digest)
-                    rows["t1"].append(int.from_bytes(digest[:8], "little", signed=True))
-                    rows["t2"].append(int.from_bytes(digest[8:16], "little", signed=True))
-                    rows["prints"].append(signed(np.unique(_fingerprints(grams, part, width))).tobytes() if n >= width else b"")
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]], names=["doc_id", "text_key", *rows])
+                at, prints = np.diff(split.docs), _fingerprints(split, width)
+                ids = [_identity(t) for t in split.joined()]
+                own = [np.unique(prints[split.docs[d] : split.docs[d + 1] - width + 1]).tobytes() if at[d] >= width else b"" for d in range(last - first)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, last - first),
+                        batch.column(2).slice(first, last - first),
+                        pa.array(at.astype(np.int64)),
+                        *[pa.array(v, t) for v, t in zip(zip(*ids, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)],
+                        pa.array(own, pa.binary()),
+                    ],
+                    names=["doc_id", "text_key", "n_words", "sha", "t1", "t2", "prints"],
+                )
+            release()
 
     return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(scan, "doc_id long, text_key long, n_words long, sha binary, t1 long, t2 long, prints binary")
 
@@ -90,34 +95,41 @@ def _unpacked(scanned: DataFrame) -> DataFrame:
 class FingerprintIndex:
     """Runs of historical fingerprints in a workspace folder; ``ingest`` adds a batch and says what it shares.
 
-    Run rows: print, doc_id, t1, t2 (which text), sorted by print inside files
-    dealt by print. Runs are never changed; a merge writes a new one.
+    Run rows: print, doc_id, t1, t2 (which text), in tables bucketed and sorted
+    by print. All runs of an index have the same buckets, so their joins need no
+    exchange. Runs are never changed; a merge writes a new one. A fingerprint
+    that many documents have fills one bucket with narrow rows, which the joins
+    stream past and never hold.
     """
 
-    def __init__(self, work: Workspace, fan_in: int = 2):
+    def __init__(self, work: Workspace, fan_in: int = 2, buckets: int | None = None):
         self.work, self.fan_in = work, fan_in
+        self.buckets = buckets or int(work.spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str, DataFrame]] = []
-        self.count = 0
 
-    def _write(self, rows: DataFrame, level: int) -> DataFrame:
-        name = f"run-{self.count}"
-        self.count += 1
-        run = self.work.keep(rows.repartition("print").sortWithinPartitions("print", "doc_id"), name)
-        self.runs.append((level, name, run))
-        return run
+    def _table(self, rows: DataFrame, kind: str) -> tuple[str, DataFrame]:
+        name = f"tidemark_{kind}_{uuid.uuid4().hex}"
+        dealt = rows.repartition(self.buckets, "print")
+        dealt.write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.work.path}/{name}").saveAsTable(name)
+        return name, self.work.spark.table(name)
 
-    def history(self) -> DataFrame | None:
-        return reduce(DataFrame.unionByName, (run for _, _, run in self.runs)) if self.runs else None
+    def _forget(self, name: str) -> None:
+        self.work.spark.sql(f"drop table {name}")
+        self.work.drop(name)
 
     def ingest(self, rows: DataFrame) -> DataFrame:
         """Add a batch; return (doc_id, t1, t2, print) of all texts, old and new, with a print that the batch shares with another text."""
-        before = self.history()
-        run = self._write(rows, 0)
-        every = run.withColumn("fresh", F.lit(1))
-        if before is not None:
-            every = every.unionByName(before.withColumn("fresh", F.lit(0)))
-        shared = every.groupBy("print").agg(F.max("fresh").alias("fresh"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("fresh = 1 and low <> high").select("print")
-        return every.join(shared, "print", "left_semi").select("doc_id", "t1", "t2", "print")
+        older = [run for _, _, run in self.runs]
+        name, run = self._table(rows, "run")
+        self.runs.append((0, name, run))
+        known = run.groupBy("print").agg((F.min("doc_id") < F.max("doc_id")).alias("met"))
+        for k, old in enumerate(older):
+            known = known.join(old.select("print").distinct().withColumn(f"in_{k}", F.lit(True)), "print", "left").withColumn("met", F.col("met") | F.coalesce(f"in_{k}", F.lit(False))).drop(f"in_{k}")
+        name, shared = self._table(known.where("met").select("print"), "shared")
+        found = reduce(DataFrame.unionByName, (r.join(shared, "print", "left_semi") for r in [run, *older]))
+        found = self.work.keep(found.select("doc_id", "t1", "t2", "print"), f"found-{name}")
+        self._forget(name)
+        return found
 
     def compact(self) -> None:
         """Merge the runs of a level that has reached the fan-in, level by level."""
@@ -125,12 +137,17 @@ class FingerprintIndex:
         while any(at == level for at, _, _ in self.runs):
             here = [r for r in self.runs if r[0] == level]
             if len(here) >= self.fan_in:
-                self.runs = [r for r in self.runs if r[0] != level]
-                self._write(reduce(DataFrame.unionByName, (run for _, _, run in here)), level + 1)
-                for _, name, _ in here:
-                    self.work.drop(name)
+                name, run = self._table(reduce(DataFrame.unionByName, (run for _, _, run in here)), "run")
+                self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, name, run)]
+                for _, old, _ in here:
+                    self._forget(old)
             level += 1
 
+    def close(self) -> None:
+        for _, name, _ in self.runs:
+            self._forget(name)
+        self.runs = []
+
 
 def _with_texts(docs: DataFrame, per_doc: DataFrame, column: str) -> DataFrame:
     """Texts beside their rows of a small table; the table is broadcast only if its measured bytes allow."""
@@ -138,46 +155,35 @@ def _with_texts(docs: DataFrame, per_doc: DataFrame, column: str) -> DataFrame:
     return docs.join(F.broadcast(per_doc) if size <= BROADCAST_BYTES else per_doc, "doc_id")
 
 
-
 def _shared_windows(docs: DataFrame, prints: DataFrame, width: int) -> DataFrame:
     """(h1, h2, doc_id, t1, t2, start): the windows under a shared fingerprint, hashed from the texts."""
     per_doc = prints.groupBy("doc_id", "t1", "t2").agg(F.array_join(F.collect_set(F.col("print").cast("string")), ",").alias("prints"))
 
     def find(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
             ids, t1s, t2s, wanted = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
-            for first, last, split in _split(batch.column(1)):
-                grams = ngrams(split.hashes, GRAM)
-                for d in range(last - first):
+            for first, _, split in _split(batch.column(1)):
+                prints, texts = _fingerprints(split, width), split.joined()
+                h1, h2 = (signed(windows(split.hashes, width, check)) for check in (False, True))
+                out: list[list[np.ndarray]] = [[] for _ in range(6)]
+                for d, text in enumerate(texts):
                     part, row = split.of(d), first + d
-                    if part.stop - part.start < width:
-                        continue
-                    if not _same_text(split, part, t1s[row], t2s[row]):
-                        continue  # another text with this doc_id
+                    if part.stop - part.start < width or _identity(text)[1:] != (t1s[row], t2s[row]):
+                        continue  # short, or another text with this doc_id
                     mine = np.sort(np.array(wanted[row].split(","), dtype=np.int64))
-                    prints_here = signed(_fingerprints(grams, part, width))
-                    place = np.minimum(np.searchsorted(mine, prints_here), len(mine) - 1)
-                    at = np.flatnonzero(mine[place] == prints_here)
-                    if len(at):
-                        h = split.hashes[part]
-                        out[0].append(signed(windows(h, width)[at]))
-                        out[1].append(signed(windows(h, width, check=True)[at]))
-                        out[5].append(at)
-                        for k, v in ((2, ids[row]), (3, t1s[row]), (4, t2s[row])):
-                            out[k].append(np.full(len(at), v, dtype=np.int64))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["h1", "h2", "doc_id", "t1", "t2", "start"])
+                    here = prints[part.start : part.stop - width + 1]
+                    at = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, here), len(mine) - 1)] == here)
+                    own = (np.full(len(at), v, dtype=np.int64) for v in (ids[row], t1s[row], t2s[row]))
+                    for column, values in zip(out, (h1[part.start + at], h2[part.start + at], *own, at), strict=True):
+                        column.append(values)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h1", "h2", "doc_id", "t1", "t2", "start"])
+            release()
 
     texts = _with_texts(docs, per_doc, "prints").select("doc_id", "text", "t1", "t2", "prints")
     return texts.mapInArrow(find, "h1 long, h2 long, doc_id long, t1 long, t2 long, start long")
 
 
-def _same_text(split, part: slice, t1: int, t2: int) -> bool:
-    digest = hashlib.sha256(b" ".join(_words(split, part))).digest()
-    return int.from_bytes(digest[:8], "little", signed=True) == t1 and int.from_bytes(digest[8:16], "little", signed=True) == t2
-
-
 def _removed(found: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(doc_id, t1, t2, starts) of windows that also start in a document with a smaller doc_id.
 
@@ -194,24 +200,26 @@ def _cut(docs: DataFrame, removed: DataFrame, width: int) -> DataFrame:
     """(doc_id, t1, t2, n_removed, kept_sha, kept) after the words of removed windows are gone."""
 
     def cut(batches):
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
             ids, t1s, t2s, starts = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
-            rows = []
-            for first, last, split in _split(batch.column(1)):
-                for d in range(last - first):
+            for first, _, split in _split(batch.column(1)):
+                edges, mine = np.zeros(len(split.hashes) + 1, dtype=np.int64), []
+                for d, text in enumerate(split.joined()):
                     part, row = split.of(d), first + d
-                    if not _same_text(split, part, t1s[row], t2s[row]):
-                        continue
-                    at = np.array(starts[row].split(","), dtype=np.int64)
-                    edges = np.zeros(part.stop - part.start + 1, dtype=np.int64)
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + width, -1)
-                    keep = np.cumsum(edges[:-1]) == 0
-                    kept = b" ".join(w for w, k in zip(_words(split, part), keep, strict=True) if k)
-                    rows.append((ids[row], t1s[row], t2s[row], int((~keep).sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "t1", "t2", "n_removed", "kept_sha", "kept"])
+                    if _identity(text)[1:] == (t1s[row], t2s[row]):
+                        at = part.start + np.array(starts[row].split(","), dtype=np.int64)
+                        np.add.at(edges, at, 1)
+                        np.add.at(edges, at + width, -1)
+                        mine.append(d)
+                keep = np.cumsum(edges[:-1]) == 0
+                gone = np.concatenate([[0], np.cumsum(~keep)])[split.docs]
+                kept = split.joined(keep)
+                rows = [(ids[first + d], t1s[first + d], t2s[first + d], int(gone[d + 1] - gone[d]), hashlib.sha256(kept[d]).hexdigest(), kept[d]) for d in mine]
+                if rows:
+                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns[:-1], columns[-1].cast(pa.string())], names=["doc_id", "t1", "t2", "n_removed", "kept_sha", "kept"])
+            release()
 
     texts = _with_texts(docs, removed, "starts").select("doc_id", "text", "t1", "t2", "starts")
     return texts.mapInArrow(cut, "doc_id long, t1 long, t2 long, n_removed long, kept_sha string, kept string")
@@ -226,7 +234,7 @@ def _batches(scanned: DataFrame, batches: int) -> list[DataFrame]:
     return [scanned.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)) for a, b in zip(edges, edges[1:], strict=False) if a < b]
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 2, fan_in: int = 2, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 3, fan_in: int = 2, with_text: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each row of ``docs``, and ``kept`` if with_text.
 
     A window is ``width`` consecutive words of one document. Words covered by a
@@ -251,24 +259,26 @@ def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 2, fan_in: i
     firsts = work.keep(firsts.select("doc_id", "t1", "t2", "prints"), "firsts")
 
     index = FingerprintIndex(work, fan_in)
-    cuts = []
-    for k, batch in enumerate(_batches(firsts, batches)):
-        shared = work.keep(index.ingest(_unpacked(batch)), f"shared-{k}")
+    gone = []
+    for k, batch in enumerate(every := _batches(firsts, batches)):
+        shared = index.ingest(_unpacked(batch))
         found = work.keep(_shared_windows(docs, shared, width), f"windows-{k}")
         low = batch.agg(F.min("doc_id")).first()[0]
-        removed = work.keep(_removed(found, work, f"least-{k}").where(F.col("doc_id") >= (low if low is not None else 0)), f"removed-{k}")
+        if low is not None:
+            gone.append(work.keep(_removed(found, work, f"least-{k}").where(F.col("doc_id") >= low), f"removed-{k}"))
+            work.drop(f"least-{k}")
         work.drop(f"windows-{k}")
-        work.drop(f"least-{k}")
-        work.drop(f"shared-{k}")
-        cuts.append(work.keep(_cut(docs, removed, width).select("doc_id", "t1", "t2", "n_removed", "kept_sha", *(["kept"] if with_text else [])), f"cut-{k}"))
-        index.compact()
+        if k + 1 < len(every):
+            index.compact()
+    index.close()
 
     copies = least.withColumnRenamed("doc_id", "least")
     rows = scanned.drop("prints").join(copies, ["t1", "t2"], "left")
     whole = F.col("least").isNotNull() & (F.col("least") < F.col("doc_id"))
     empty = hashlib.sha256(b"").hexdigest()
-    if cuts:
-        rows = rows.join(reduce(DataFrame.unionByName, cuts).dropDuplicates(["doc_id", "t1", "t2"]), ["doc_id", "t1", "t2"], "left")
+    if gone:
+        cuts = work.keep(_cut(docs, reduce(DataFrame.unionByName, gone), width).select("doc_id", "t1", "t2", "n_removed", "kept_sha", *(["kept"] if with_text else [])), "cut")
+        rows = rows.join(cuts.dropDuplicates(["doc_id", "t1", "t2"]), ["doc_id", "t1", "t2"], "left")
     else:
         rows = rows.withColumns({"n_removed": F.lit(None).cast("long"), "kept_sha": F.lit(None).cast("string")} | ({"kept": F.lit(None).cast("string")} if with_text else {}))
     out = [

@@ -7,17 +7,21 @@ Null texts count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+#: Bytes of the documents that are worked on at once; their arrays take some 60 times as much.
+CHUNK_BYTES = 1 << 18
 _U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 _CHECK_BASE = 0xAF251AF3B0F025B5
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 ASCII_SPACE = np.zeros(256, dtype=bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -62,29 +66,63 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of some documents: hashes, byte ranges, and where each document's words begin."""
+    """Words of some documents: hashes, byte ranges, and where each document's words and bytes begin."""
 
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     docs: np.ndarray  # n_docs + 1 offsets into the words
     data: np.ndarray
+    offsets: np.ndarray
+    word: np.ndarray  # which bytes are in words
 
     def of(self, doc: int) -> slice:
         return slice(self.docs[doc], self.docs[doc + 1])
 
+    def joined(self, keep: np.ndarray | None = None) -> list[bytes]:
+        """Each document's words (those that keep marks) with one space between them."""
+        stays, after = self.word, self.ends
+        if keep is not None:
+            edges = np.zeros(len(self.data) + 1, dtype=np.int8)
+            edges[self.starts[keep]] += 1
+            edges[self.ends[keep]] -= 1  # a word may end where the next document's begins
+            stays, after = np.cumsum(edges[:-1], dtype=np.int8) > 0, after[keep]
+        # The separator after a word stays as a space; the last word's goes, and at the end of a document there is none.
+        gaps = after[~np.isin(after, self.offsets)]
+        taken = stays.copy()
+        taken[gaps] = True
+        out = self.data.copy()
+        out[gaps] = 0x20
+        out, ends = out[taken], np.concatenate([[0], np.cumsum(taken)])[self.offsets]
+        raw = out.tobytes()
+        return [raw[a:b].removesuffix(b" ") for a, b in zip(ends, ends[1:], strict=False)]
+
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The concatenated bytes of a string column and its n + 1 offsets."""
+    """The concatenated bytes of a string column, where they lie, and its n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    for _ in range(2):
+        _, places, data = column.buffers()
+        offsets = np.frombuffer(places, dtype=np.int32 if pa.types.is_string(column.type) else np.int64)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        if not column.null_count or not np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():
+            break
+        column = column.fill_null("")  # bytes under a null
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers of one executor share its limit."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most ``most`` bytes each, or one longer document."""
     first, n = 0, len(offsets) - 1
@@ -99,7 +137,10 @@ def _hash_piece(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     up, down = _BYTES.upto(len(data))
     sums = np.empty(len(data) + 1, dtype=_U)
     sums[0] = 0
-    np.cumsum((data.astype(_U) + _U(1)) * up, out=sums[1:])
+    values = sums[1:]
+    np.add(data, _U(1), out=values)
+    values *= up
+    np.cumsum(values, out=values)
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
@@ -121,7 +162,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, separators=ASCII_SPACE, c
         upto = max(int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")), at + 1)
         hashes[at:upto] = _hash_piece(data[base : ends[upto - 1]], starts[at:upto] - base, ends[at:upto] - base)
         at = upto
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data)
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data, offsets, word)
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
