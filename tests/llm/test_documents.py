@@ -85,6 +85,43 @@ def test_open_links_counts_shingles_of_both_main_components(spark):
     assert {tuple(sorted(r)) for r in found.collect()} == {(1, 11)}
 
 
+def families(seed=3):
+    """Families of two variant groups whose centres alone link; one-word shingles, so that texts are plain sets."""
+    rng = random.Random(seed)
+    docs = []
+    for f in range(12):
+        core = [f"f{f}c{i}" for i in range(85)]
+        groups = []
+        for side in "xy":
+            own = core if side == "x" else [*core, *(f"f{f}y{i}" for i in range(15))]
+            groups.append(own)
+            docs.append(own)
+            for v in range(5):
+                swap = rng.sample(range(len(own)), 6)
+                docs.append([f"f{f}{side}{v}s{i}" if i in swap else w for i, w in enumerate(own)])
+    rng.shuffle(docs)
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+def test_families_that_link_by_their_centres(spark):
+    rows = families()
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame(spark, rows), 1, (85, 100), sketch_bits=18).collect()}
+    sets = [(i, set(t.split())) for i, t in rows]
+    least = {i: i for i, _ in sets}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if 100 * len(a & b) >= 85 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                least[y] = x
+    assert found == {i: root(i) for i, _ in rows}
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_remove_repeats(spark, batches):
     rows = corpus()

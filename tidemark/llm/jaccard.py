@@ -61,6 +61,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.array([sequence_hash(split.hashes[part])], dtype=np.uint64)
             else:
                 yield np.zeros(0, dtype=np.uint64)
+    release()
 
 
 def _frequency_classes(docs: DataFrame, words: int, bits: int) -> np.ndarray:
@@ -251,8 +252,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     near = near.where(f"shared >= least(need, 2) or size > {SHORT_LIST}").select("a", "b")
     first = components(_verified(work.keep(near, "near"), docs, work, "near", words, num, den), work, "first")
     first = work.keep(first, "first")
+    for name in ("near", "near-ids", "near-sets", "near-links"):
+        work.drop(name)
 
     rest = _open_links(lists, first, docs, work, words, num, den)
+    for name in ("lists", "open-rows", "open-labels", "open-blocks", "open-visits", "open-rolls", "open-ids", "open-sets"):
+        work.drop(name)
     # What is linked already counts as one node.
     tree = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     last = components(tree.unionByName(rest), work, "last") if rest.head(1) else first
@@ -338,14 +343,17 @@ def _open_links(lists: DataFrame, first: DataFrame, docs: DataFrame, work: Works
     visits = work.keep(visits, "open-visits")
 
     blocks = visits.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_VISITS).cast("int").alias("shares"))
-    members = placed.join(blocks, "block")
-    sets = _sets(members.select(F.col("doc").alias("doc_id")).union(visits.select("doc")).distinct(), docs, work, "open", words).withColumnRenamed("doc_id", "doc")
-    members = members.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).join(sets, "doc").select("block", "share", "doc", "component", "shingles")
+    members = placed.join(blocks, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     visitors = visits.join(blocks, "block").withColumn("share", F.pmod(F.xxhash64("doc"), "shares").cast("int"))
-    own = sets.select("doc", F.col("shingles").alias("own"))
-    visitors = visitors.join(own, "doc").select(*[F.col(c).alias(n) for c, n in (("block", "at"), ("share", "part"), ("doc", "doc"), ("component", "component"), ("own", "shingles"))])
-    def hold(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        links = _links_in_block(mine, others, num, den) if len(mine) and len(others) else []
+    # One join gives members and visitors their sets.
+    both = members.select("block", "share", "doc", "component", F.lit(False).alias("visits")).unionByName(visitors.select("block", "share", "doc", "component", F.lit(True).alias("visits")))
+    both = work.keep(both, "open-rolls")
+    sets = _sets(both.select(F.col("doc").alias("doc_id")).distinct(), docs, work, "open", words)
+
+    def hold(rows: pd.DataFrame) -> pd.DataFrame:
+        visits = rows["visits"].to_numpy()
+        links = _links_in_block(rows[~visits], rows[visits], num, den) if 0 < visits.sum() < len(rows) else []
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    return work.keep(members.groupBy("block", "share").cogroup(visitors.groupBy("at", "part")).applyInPandas(hold, "a long, b long"), "open-links")
+    full = both.withColumnRenamed("doc", "doc_id").join(sets, "doc_id").withColumnRenamed("doc_id", "doc")
+    return work.keep(full.groupBy("block", "share").applyInPandas(hold, "a long, b long"), "open-links")
