@@ -42,7 +42,9 @@ _SALT_CLASS = 13
 #: Lists up to this size propose a pair for every shingle in the first round.
 SHORT_LIST = 8
 #: Shingles of a block of sets, and sets that visit one task's block.
-BLOCK_SHINGLES, BLOCK_VISITS = 1 << 16, 512
+BLOCK_SHINGLES, BLOCK_VISITS = 1 << 18, 512
+#: Components of up to so many sets share blocks; larger ones have their own.
+SMALL_COMPONENT = 64
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -304,8 +306,8 @@ def _links_in_block(members: pd.DataFrame, visitors: pd.DataFrame, num: int, den
 def _open_links(lists: DataFrame, first: DataFrame, docs: DataFrame, work: Workspace, words: int, num: int, den: int) -> DataFrame:
     """Links between sets that the first round has left in two components; every such pair is held against the rules.
 
-    Sets of one component, and single sets that share their most frequent shingle,
-    form blocks of like sizes. A set visits a block if it shares as many prefix shingles with
+    Sets of one large component, and sets of small ones that share their most
+    frequent shingle, form blocks of like sizes. A set visits a block if it shares as many prefix shingles with
     its sets as the smaller l asks for; the task counts the overlaps with all
     sets of the block at once. So the rows are visits of blocks, not pairs, and a
     visitor returns one link a component. Of two components only the one of fewer
@@ -316,16 +318,16 @@ def _open_links(lists: DataFrame, first: DataFrame, docs: DataFrame, work: Works
     weights = work.keep(of.groupBy("component").agg(F.count("*").alias("weight")), "open-weights")
     of = of.join(hint_small(weights, 40), "component")
     rows = lists.select("token", "doc", "n", "matches", "rank").join(of, "doc", "left")
-    rows = rows.withColumns({"single": F.col("component").isNull(), "component": F.coalesce("component", "doc"), "weight": F.coalesce("weight", F.lit(1))})
+    rows = rows.withColumns({"component": F.coalesce("component", "doc"), "weight": F.coalesce("weight", F.lit(1))}).withColumn("small", F.col("weight") <= SMALL_COMPONENT)
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
     lists_open = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.sum("size").alias("length")).where("parts > 1").drop("parts")
     rows = work.keep(rows.join(lists_open, "token").dropDuplicates(["token", "doc"]), "open-rows")
 
-    # Single sets go together by their most frequent shingle, which those of one family share.
-    label = rows.groupBy("doc", "component", "single", "n").agg(F.max_by("token", F.struct("length", "token")).alias("token"))
-    label = label.select("doc", "component", "single", F.when(F.col("single"), F.col("token")).otherwise(F.col("component")).alias("label"), F.floor(F.log(F.col("n").cast("double")) / np.log(1.2)).cast("int").alias("band"), "n")
+    # Small components go together by the most frequent shingle, which the sets of one family share.
+    label = rows.groupBy("doc", "component", "small", "n").agg(F.max_by("token", F.struct("length", "token")).alias("token"))
+    label = label.select("doc", "component", "small", F.when(F.col("small"), F.col("token")).otherwise(F.col("component")).alias("label"), F.floor(F.log(F.col("n").cast("double")) / np.log(1.2)).cast("int").alias("band"), "n")
     label = work.keep(label, "open-labels")
-    group = ["label", "single", "band"]
+    group = ["label", "small", "band"]
     crowded = label.groupBy(*group).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts")).where("parts > 1")
     placed = label.join(hint_small(work.keep(crowded, "open-crowded"), 40), group, "left")
     block = F.xxhash64(*group, F.pmod(F.xxhash64("doc"), F.coalesce("parts", F.lit(1))))
