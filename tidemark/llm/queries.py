@@ -58,9 +58,8 @@ def op8_fixity(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     work = Workspace(spark, "replicas")
     modulus, rest = DAMAGE
-    first = work.keep(warc.write_replica(pages, f"{work.path}/a"), "manifest-a")
-    second = work.keep(warc.write_replica(pages, f"{work.path}/b", lambda i: i is not None and i % modulus == rest), "manifest-b")
-    return warc.audit(first, second)
+    manifest = work.keep(warc.write_replicas(pages, [f"{work.path}/a", f"{work.path}/b"], lambda replica, i: replica == 1 and i is not None and i % modulus == rest), "manifest")
+    return warc.audit(manifest.where("replica = 0"), manifest.where("replica = 1"))
 
 
 def op9_urls(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,98 +47,138 @@ def member(raw: bytes) -> bytes:
     return pack.compress(raw) + pack.flush()
 
 
-def write_replica(pages: DataFrame, folder: str, damaged=None, file_pages: int = FILE_PAGES) -> DataFrame:
-    """Write pages(page_id, url, html) as WARC files; return their manifest (file, path, records, bytes).
+def write_replicas(pages: DataFrame, folders: list[str], damaged=None, file_pages: int = FILE_PAGES) -> DataFrame:
+    """Write pages(page_id, url, html) as WARC files, once into each folder; return their manifest (replica, file, path, records, bytes).
 
-    File f holds the pages with that range of hashes of page_id, in order of
-    page_id, so every replica has the same files. damaged(page_id) -> bool spoils
-    one stored byte of a record (for audits of known faults).
+    replica counts the folders from 0. A file holds some ``file_pages`` records,
+    dealt at random and ordered by page_id, url and html, so neither null nor
+    repeated page_ids fill a file. All replicas come from one pass over the
+    dealt pages: they hold the same records at the same offsets. Null urls and
+    html are empty; null page_ids and repeated rows are records like others. A
+    table without rows writes no file.
+
+    damaged(replica, page_id) -> bool spoils one stored byte of a record (for
+    audits of known faults).
     """
+    schema = "replica int, file int, path string, records long, bytes long"
 
     def write(batches):
-        out, path, at, count, file = None, None, 0, 0, None
+        paths, outs, at, count, file = [], [], 0, 0, None
 
-        def row():
-            return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "path": [path], "records": [count], "bytes": [at]})
+        def rows():
+            n = len(paths)
+            return pa.RecordBatch.from_pydict({"replica": pa.array(range(n), pa.int32()), "file": pa.array([file] * n, pa.int32()), "path": paths, "records": [count] * n, "bytes": [at] * n})
 
         for batch in batches:
             for f, page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if f != file:
-                    if out is not None:
+                    for out in outs:
                         out.close()
-                        yield row()
-                    file, path, at, count = f, f"{folder}/{f:06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = writer(path)
-                raw = bytearray(member(record(page_id, url, html)))
-                if damaged is not None and damaged(page_id):
-                    raw[len(raw) // 2] ^= 0x5A
-                out.write(bytes(raw))
+                    if outs:
+                        yield rows()
+                    file, at, count = f, 0, 0
+                    paths = [f"{folder}/{f:06d}-{uuid.uuid4().hex}.warc.gz" for folder in folders]
+                    outs = [writer(path) for path in paths]
+                raw = member(record(page_id, url, html))
+                for k, out in enumerate(outs):
+                    if damaged is not None and damaged(k, page_id):
+                        place = len(raw) // 2
+                        out.write(raw[:place] + bytes([raw[place] ^ 0x5A]) + raw[place + 1 :])
+                    else:
+                        out.write(raw)
                 at += len(raw)
                 count += 1
-        if out is not None:
-            out.close()
-            yield row()
+        if outs:
+            for out in outs:
+                out.close()
+            yield rows()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     files = max(1, -(-rows.count() // file_pages))
-    placed = rows.withColumn("file", F.pmod(F.xxhash64("page_id"), F.lit(files)).cast("int")).select("file", "page_id", "url", "html")
-    return placed.repartition(files, "file").sortWithinPartitions("file", "page_id", "url", "html").mapInArrow(write, "file int, path string, records long, bytes long")
+    placed = rows.withColumn("file", F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.lit(files)).cast("int")).select("file", "page_id", "url", "html")
+    return placed.repartition(files, "file").sortWithinPartitions("file", "page_id", "url", "html").mapInArrow(write, schema)
+
+
+#: How every member starts: no name, no time.
+_HEADER = member(b"")[:10]
+_PIECE = 1 << 16
+#: Leaves of one record batch.
+_ROWS = 4_096
+
+
+class _Window:
+    """The bytes of a file from some place on, read a piece at a time."""
+
+    def __init__(self, file):
+        self.file, self.raw, self.at = file, bytearray(), 0
+
+    def more(self) -> bool:
+        piece = self.file.read(_PIECE)
+        self.raw += piece
+        return bool(piece)
+
+    def drop(self, n: int) -> None:
+        del self.raw[:n]
+        self.at += n
+
+    def inflate(self) -> tuple[int, bytes] | None:
+        """Stored bytes of the member that starts here, and its record's head; None if it can't be inflated."""
+        pack, head, fed = zlib.decompressobj(31), b"", 0
+        try:
+            while not pack.eof:
+                if fed == len(self.raw) and not self.more():
+                    return None
+                out = pack.decompress(bytes(self.raw[fed : fed + _PIECE]))
+                fed = min(fed + _PIECE, len(self.raw))
+                if b"\r\n\r\n" not in head:
+                    head += out
+        except zlib.error:
+            return None
+        return fed - len(pack.unused_data), head
+
+    def next_header(self) -> int:
+        """Where the next member after the one that starts here begins, or the end of the file."""
+        start = 1
+        while (found := self.raw.find(_HEADER, start)) < 0:
+            start = max(1, len(self.raw) - len(_HEADER) + 1)
+            if not self.more():
+                return len(self.raw)
+        return found
+
+
+def members(file):
+    """(offset, length, page_id, SHA-256) of each member of a file, which is read piece by piece."""
+    window = _Window(file)
+    while window.raw or window.more():
+        found = window.inflate()
+        end, head = found or (window.next_header(), b"")
+        name = head[: head.find(b"\r\n\r\n")].partition(b"<urn:page:")[2].partition(b">")[0]
+        yield window.at, end, int(name) if name.lstrip(b"-").isdigit() else None, hashlib.sha256(window.raw[:end]).hexdigest()
+        window.drop(end)
 
 
 def read_leaves(manifest: DataFrame) -> DataFrame:
     """(file, leaf, offset, length, page_id, digest) of every record of a replica, by one pass over its files.
 
     A member that can't be inflated ends where the next member's header starts;
-    it is a record like others, with a null page_id.
+    it is a record like others, with a null page_id. A task holds one record at
+    a time. A manifest without files gives no leaves.
     """
+    names = ["file", "leaf", "offset", "length", "page_id", "digest"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def read(batches):
         for batch in batches:
             for f, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with reader(path) as file:
-                    raw = file.read()
-                rows = []
-                at = 0
-                while at < len(raw):
-                    end, page_id = _member_end(raw, at)
-                    rows.append((f, len(rows), at, end - at, page_id, hashlib.sha256(raw[at:end]).hexdigest()))
-                    at = end
-                names = ["file", "leaf", "offset", "length", "page_id", "digest"]
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                    found = ((f, leaf, *row) for leaf, row in enumerate(members(file)))
+                    while rows := list(islice(found, _ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     spread = manifest.select("file", "path").repartition(max(1, manifest.count()), "file")
     return spread.mapInArrow(read, "file int, leaf long, offset long, length long, page_id long, digest string")
 
 
-#: How every member starts: no name, no time.
-_HEADER = member(b"")[:10]
-_PIECE = 1 << 16
-
-
-def _inflated(raw: bytes, at: int) -> tuple[bytes, int] | None:
-    pack, out = zlib.decompressobj(31), []
-    try:
-        while not pack.eof and at < len(raw):
-            out.append(pack.decompress(raw[at : at + _PIECE]))
-            at += _PIECE
-    except zlib.error:
-        return None
-    return (b"".join(out), min(at, len(raw)) - len(pack.unused_data)) if pack.eof else None
-
-
-def _member_end(raw: bytes, at: int) -> tuple[int, int | None]:
-    """Where the member at this offset ends, and the page_id its record names."""
-    found = _inflated(raw, at)
-    if found is None:
-        end = raw.find(_HEADER, at + 1)
-        return (end if end >= 0 else len(raw)), None
-    out, end = found
-    name = out[: out.find(b"\r\n\r\n")].partition(b"<urn:page:")[2].partition(b">")[0]
-    return end, int(name) if name.lstrip(b"-").isdigit() else None
-
-
 def _parents(nodes: DataFrame) -> DataFrame:
     """One level up: (file, node, digest) over ranges of FAN_OUT children in order."""
     inside = F.array_sort(F.collect_list(F.struct("node", "digest")))
@@ -183,7 +224,8 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
     first, second: manifests. status is ok, corrupt (the other replica's record
     at this place differs) or missing (it has none); a record that only the
-    second has is extra. Replicas without files give no rows.
+    second has is extra. Replicas without files give no rows. Records with null
+    or repeated page_ids are audited each, by file and offset.
     """
     work = Workspace(first.sparkSession, "warc")
     a, b = (work.keep(read_leaves(m), f"leaves-{n}") for m, n in ((first, "a"), (second, "b")))
