@@ -1,5 +1,6 @@
 """File-backed operators: exact round trips, lookups, known damage."""
 
+import hashlib
 import io
 import zlib
 
@@ -40,11 +41,10 @@ def test_shard_round_trip_and_lookup():
 
 def test_encode(spark):
     path = vocabularies.path("byte_bpe_50k.json")
-    rows = [(7, "Hello, world"), (-3, None), (2, ""), (2, "é漢" * 2000), (None, "null id"), (5, "<|endoftext|> is text")]
+    rows = [(7, "Hello, world"), (-3, None), (2, ""), (2, "é漢" * 2000), (None, "null id"), (5, "<|endoftext|> is text"), (6, "a <|endoftext|> b"), (8, "a<|endoftext|>  b")]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, start long, shard int")
     found = sstable.encode(docs, path)
     tokenizer = tokenizers.Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     at, want = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
@@ -69,11 +69,17 @@ def pages(spark, n=60):
     return spark.createDataFrame([*rows, (None, None, None), (n, "u\r\nx", ""), (n + 1, "v", "é" * 90_000)], "page_id long, url string, html string")
 
 
+def replicas(spark, tables, **options):
+    """The manifest of each table's files; each is a replica of its own."""
+    work = Workspace(spark, "test")
+    return [work.keep(warc.write_replicas(t, [f"{work.path}/files-{k}"], **options), f"manifest-{k}") for k, t in enumerate(tables)]
+
+
 def test_audit_finds_the_damage(spark):
     work = Workspace(spark, "test")
-    table = pages(spark)
-    first = work.keep(warc.write_replica(table, f"{work.path}/files-a", file_pages=20), "a")
-    second = work.keep(warc.write_replica(table, f"{work.path}/files-b", lambda i: i in (3, 17, 44, 61), file_pages=20), "b")
+    spoiled = lambda k, i: k == 1 and i in (3, 17, 44, 61)
+    both = work.keep(warc.write_replicas(pages(spark), [f"{work.path}/a", f"{work.path}/b"], spoiled, file_pages=20), "both")
+    first, second = (both.where(F.col("replica") == k) for k in (0, 1))
     found = warc.audit(first, second).collect()
     assert len(found) == 63
     assert {r["page_id"] for r in found if r["status"] == "corrupt"} == {3, 17, 44, 61}
@@ -82,17 +88,52 @@ def test_audit_finds_the_damage(spark):
     assert {r["status"] for r in same} == {"ok"}
 
 
+def test_audit_against_brute_force(spark):
+    """Leaves, offsets and digests by a plain reading of the files."""
+    from tidemark.llm.files import reader
+
+    (manifest,) = replicas(spark, [pages(spark)], file_pages=20)
+    want = set()
+    for m in manifest.collect():
+        with reader(m["path"]) as file:
+            raw = file.read()
+        at = leaf = 0
+        while at < len(raw):
+            pack = zlib.decompressobj(31)
+            body = pack.decompress(raw[at:])
+            end = len(raw) - len(pack.unused_data)
+            name = body.split(b"<urn:page:")[1].split(b">")[0]
+            want.add((m["file"], leaf, at, end - at, int(name) if name else None, hashlib.sha256(raw[at:end]).hexdigest()))
+            at, leaf = end, leaf + 1
+        assert leaf == m["records"] and at == m["bytes"]
+    assert {tuple(r) for r in warc.read_leaves(manifest).collect()} == want
+
+
 def test_audit_of_short_and_empty_replicas(spark):
-    work = Workspace(spark, "test")
-    table = pages(spark, 40)
-    first = work.keep(warc.write_replica(table, f"{work.path}/files-a", file_pages=1000), "a")
-    short = work.keep(warc.write_replica(table.where("page_id < 20 or page_id is null"), f"{work.path}/files-b", file_pages=1000), "b")
-    assert {r["status"]: r["count"] for r in warc.audit(first, short).groupBy("status").count().collect()} == {"ok": 21, "missing": 22}
-    assert warc.audit(short, first).where("status = 'extra'").count() == 22
-    empty = work.keep(warc.write_replica(table.limit(0), f"{work.path}/files-c"), "c")
+    rows = [(i, f"u{i}", "x" * i) for i in range(42)]
+    full, short, empty = replicas(spark, [spark.createDataFrame(r, "page_id long, url string, html string") for r in (rows, rows[:21], [])], file_pages=1000)
+    assert {r["status"]: r["count"] for r in warc.audit(full, short).groupBy("status").count().collect()} == {"ok": 21, "missing": 21}
+    assert warc.audit(short, full).where("status = 'extra'").count() == 21
     assert warc.audit(empty, empty).count() == 0
 
 
+def test_null_and_repeated_pages_are_dealt_over_files(spark):
+    rows = [(None, None, None)] * 40 + [(7, "u", "same")] * 40
+    (manifest,) = replicas(spark, [spark.createDataFrame(rows, "page_id long, url string, html string")], file_pages=10)
+    assert manifest.count() > 4 and max(m["records"] for m in manifest.collect()) < 30
+    assert warc.read_leaves(manifest).groupBy("page_id").count().orderBy("page_id").collect() == [(None, 40), (7, 40)]
+
+
+def test_damaged_members_end_at_the_next_header():
+    raws = [bytearray(warc.member(warc.record(i, "u", "text " * 60_000))) for i in range(5)]
+    raws[1][len(raws[1]) // 2] ^= 0x5A
+    raws[3][12] ^= 0xFF
+    found = list(warc.members(io.BytesIO(b"".join(raws))))
+    assert [r[2] for r in found] == [0, None, 2, None, 4]
+    assert [r[1] for r in found] == [len(r) for r in raws]
+    assert [r[3] for r in found] == [hashlib.sha256(r).hexdigest() for r in raws]
+
+
 def test_records_are_warc():
     raw = zlib.decompress(warc.member(warc.record(4, "http://x/", "<p>é</p>")), 31)
     head, _, body = raw.partition(b"\r\n\r\n")

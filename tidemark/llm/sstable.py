@@ -171,7 +171,8 @@ class Encoder:
     A byte-level tokenizer with its own pattern cuts before every single space
     between two other characters, and encodes the pieces one by one. Where that
     is so, texts are cut there and the pieces' ids are kept; texts with other
-    spaces, and other tokenizers, are encoded whole.
+    spaces, texts that spell an added token, and other tokenizers, are encoded
+    whole.
     """
 
     #: Pieces of a generation; two are kept, and a piece that is met again moves to the younger.
@@ -185,8 +186,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         rules = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in rules["added_tokens"]]
         cutter = rules["pre_tokenizer"] or {}
         self.by_piece = rules["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter["add_prefix_space"]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
@@ -238,13 +239,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw: list[bytes | None] = [None] * len(texts)
         if self.by_piece:
-            cut = [t.split(" ") for t in texts]
+            mine = [k for k, t in enumerate(texts) if not any(a in t for a in self.added)]
+            cut = [texts[k].split(" ") for k in mine]
             heads = [c.pop(0) for c in cut]
             pieces: set[str] = set()
             for c in cut:
                 pieces.update(c)
             first, after = self._learn(self.first, set(heads), ""), self._learn(self.after, pieces, " ").__getitem__
-            for k, (head, c) in enumerate(zip(heads, cut, strict=True)):
+            for k, head, c in zip(mine, heads, cut, strict=True):
                 ids = [first[head], *map(after, c)]
                 raw[k] = None if None in ids else b"".join(ids)
         whole = [k for k, r in enumerate(raw) if r is None]
