@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Workspace
-from .text import LOWER, NOT_ALNUM, chunks, mix, signed, split_words, text_bytes
+from .text import LOWER, NOT_ALNUM, chunks, mix, release, signed, split_words, text_bytes
 
 _U = np.uint64
 _BIGRAM, _SKIP = _U(0xD1342543DE82EF95), _U(0xAF251AF3B0F025B5)
@@ -91,6 +91,8 @@ def _slice_learner(shared, ftrl: Ftrl):
         ends = np.cumsum([len(known), *map(len, rows)])
         ftrl.learn([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], part["label"].to_numpy(), z, n, int(np.searchsorted(names, BIAS)))
         keep = (np.abs(z) > ftrl.l1 / 2) | (names == BIAS)
+        del rows, flat, counts
+        release()
         return pd.DataFrame({"feature": signed(names[keep]), "z": z[keep], "n": n[keep]})
 
     return learn
@@ -156,6 +158,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 hit = np.unique(place[(names[place] == f) & (f != BIAS)])
                 scores.append(1.0 / (1.0 + np.exp(-np.clip(bias + weights[hit].sum(), -35, 35))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*kept, "score"])
+            release()
 
     return docs.select(*kept).mapInArrow(apply, schema)
 
