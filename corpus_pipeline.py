@@ -23,13 +23,23 @@ def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7."""
+    """Documents whose toxicity score is below 0.7.
+
+    Null, empty and wordless texts score by the bias alone. Repeated rows and
+    null doc_ids are scored each. Without labels of both kinds every score is
+    0.5, so all stay; a table without rows gives none.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("score < 0.7").select(*docs.columns, F.monotonically_increasing_id().alias(ROW))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least doc_id of each class, null last: shingles of five words, similarity 0.8."""
+    """The row with the least doc_id of each class, null last: shingles of five words, similarity 0.8.
+
+    Rows are told apart by their key, so of exact repeats one stays, whatever
+    their doc_ids; of rows with one doc_id each is judged by its own text.
+    Null, empty and wordless texts are in no class and stay. No rows give none.
+    """
     work = Workspace(spark, "pipeline")
     docs = _keyed(docs, work)
     classes = jaccard.near_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text"), words=5, threshold=(80, 100))
@@ -42,7 +52,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of fifty words that an earlier document has; what is left empty by that goes."""
+    """Texts without passages of fifty words that an earlier document has; what is left empty by that goes.
+
+    Earlier is a smaller doc_id. Rows with a null doc_id stay whole and take
+    nothing from others; rows of one doc_id are not compared with each other.
+    Null and empty texts stay as they are. No rows give none.
+    """
     work = Workspace(spark, "pipeline")
     found = substring.remove_repeats(docs, width=50, with_text=True)
     changed = work.keep(found.where("n_removed > 0").select("doc_id", "text_key", "kept").dropDuplicates(["doc_id", "text_key"]), "changed")
@@ -53,7 +68,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no ten-word window of a benchmark item occurs."""
+    """Documents in which no ten-word window of a benchmark item occurs.
+
+    A row goes by its own text, whatever its doc_id: null and repeated doc_ids
+    are judged each. Null and empty texts stay; without items all stay.
+    """
     work = Workspace(spark, "pipeline")
     docs = _keyed(docs, work)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10, row=ROW)
@@ -62,7 +81,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's bucket, batch and place."""
+    """Each document's bucket, batch and place.
+
+    Every row is packed, repeats and null doc_ids too; null and empty texts have
+    no tokens and null places. No rows give none.
+    """
     return packing.pack(docs, buckets=8, budget=8192)
 
 
