@@ -68,14 +68,43 @@ def test_nearest(spark):
     assert neighbours.nearest(table.limit(0), table.limit(0), 10).count() == 0
 
 
-def test_quantisation_bounds():
+def test_bounds_hold():
     rng = np.random.default_rng(4)
-    a, b = rng.normal(size=(20, 2100)), rng.normal(size=(30, 2100)) * 100
-    qa, sa, ea = neighbours.quantise(a)
-    qb, sb, eb = neighbours.quantise(b)
-    near = neighbours.quantised_distances(qa, sa, qb, sb)
-    true = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    assert (np.abs(true - near) <= ea[:, None] + eb[None, :] + 1e-9).all()
+    line = rng.normal(size=64) * 8 / 8
+    blocks = [
+        (rng.normal(size=(20, 2100)), rng.normal(size=(30, 2100)) * 100),
+        (line + 1e-9 * rng.normal(size=(20, 64)), line + 1e-9 * rng.normal(size=(30, 64))),
+        (line * rng.choice([-1, 1], size=(20, 1)) * (1 + 1e-8 * rng.normal(size=(20, 1))), line * (1 + 1e-8 * rng.normal(size=(30, 1)))),
+        (rng.normal(size=(20, 5)) * 1e160, rng.normal(size=(30, 5)) * 1e-160),
+        (rng.normal(size=(20, 5)) * 1e-200, rng.normal(size=(30, 5)) * 1e-200),
+        (rng.normal(size=(20, 5)) * 1e-310, rng.normal(size=(30, 5)) * 1e-310),
+    ]
+    for a, b in blocks:
+        low, high = neighbours.distance_bounds(neighbours.quantise(a), neighbours.quantise(b))
+        true = np.array([neighbours.exact_distances(np.broadcast_to(x, b.shape), b) for x in a])
+        assert (low <= true).all() and (true <= high).all() and np.isfinite(high).all()
+        if np.abs(a).max() > 1e-3 and len(a[0]) > 1000:
+            assert (high - low < 0.1 * true).all()  # and they are of use
+
+
+@pytest.mark.parametrize("kind", ["collinear", "huge", "tiny", "equal"])
+def test_nearest_of_odd_vectors(spark, kind):
+    rng = np.random.default_rng(8)
+    line = rng.normal(size=6)
+    vectors = {
+        "collinear": line * rng.choice([-1.0, 1.0], size=(200, 1)) * (1 + 1e-8 * rng.normal(size=(200, 1))),
+        "huge": np.vstack([rng.normal(size=(190, 6)), rng.normal(size=(10, 6)) * 1e160])[rng.permutation(200)],
+        "tiny": rng.normal(size=(200, 6)) * 1e-200,
+        "equal": np.vstack([np.tile(line, (150, 1)), rng.normal(size=(50, 6))])[rng.permutation(200)],
+    }[kind]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table, table.where("vec_id % 10 = 0"), 10, query_rows=8, candidate_rows=64).collect()
+    want = {}
+    for q in range(0, 200, 10):
+        scores = neighbours.exact_distances(np.broadcast_to(vectors[q], vectors.shape), vectors)
+        want |= {(q, n + 1): (v, s) for n, (s, v) in enumerate(sorted((s, v) for v, s in enumerate(scores.tolist()) if v != q)[:10])}
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found} == want
 
 
 def test_cut_is_minimal():
