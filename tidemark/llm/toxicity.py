@@ -85,13 +85,15 @@ def _slice_learner(shared, ftrl: Ftrl):
             counts[place] = np.minimum(counts[place], 254) + 1
         counts[known >> _U(40)] = 255
         rows = [np.unique(np.append(f[counts[f >> _U(40)] > ftrl.l1 / 2], _U(BIAS))) for f in features(texts)]
-        names, flat = np.unique(np.concatenate([known, *rows]), return_inverse=True)
+        names = np.unique(np.concatenate([known, *rows]))
         z, n = np.zeros(len(names)), np.zeros(len(names))
-        z[flat[: len(known)]], n[flat[: len(known)]] = z0, n0
-        ends = np.cumsum([len(known), *map(len, rows)])
-        ftrl.learn([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], part["label"].to_numpy(), z, n, int(np.searchsorted(names, BIAS)))
+        at = np.searchsorted(names, known)
+        z[at], n[at] = z0, n0
+        for i, x in enumerate(rows):
+            rows[i] = np.searchsorted(names, x)
+        ftrl.learn(rows, part["label"].to_numpy(), z, n, int(np.searchsorted(names, BIAS)))
         keep = (np.abs(z) > ftrl.l1 / 2) | (names == BIAS)
-        del rows, flat, counts
+        del rows, counts
         release()
         return pd.DataFrame({"feature": signed(names[keep]), "z": z[keep], "n": n[keep]})
 
