@@ -30,7 +30,16 @@ def test_asof_matches_a_scan(spark, left, right, forward, strict):
     for i, (k, m) in enumerate(left):
         near = [(n, j) for j, (q, n) in enumerate(right) if q == k and n is not None and m is not None and (n >= m if forward else n < m if strict else n <= m)]
         best = (min(near, key=lambda x: (x[0], -x[1])) if forward else max(near)) if near else (None, None)
-        assert found[i] == best[1] if k is not None else True
+        assert found[i] == (best[1] if k is not None else None)
+
+
+def test_asof_null_keys_match_nothing(spark):
+    a = spark.createDataFrame([(1, None, at(10)), (2, "x", at(10))], "id long, k string, t timestamp")
+    b = spark.createDataFrame([(None, at(5), 7), ("x", at(5), 8)], "k string, u timestamp, v int")
+    for direction, times in (("backward", ("t", "u")), ("forward", ("u", "t"))):
+        left, right = (a, b) if direction == "backward" else (b.withColumnRenamed("v", "id"), a.withColumnRenamed("id", "v"))
+        found = asof.asof(left, right, ["k"], *times, ["v"], direction).collect()
+        assert {r["k"]: r["asof_v"] is None for r in found} == {None: True, "x": False}
 
 
 def test_versions_see_only_what_was_received(spark):

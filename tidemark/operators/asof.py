@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,7 +39,8 @@ def asof(
     kept = [F.col(c).alias(f"l_{c}") for c in left.columns]
     taken = F.struct(*[F.col(v) for v in values])
     a = left.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keys)], micros(left_time).alias(_TIME), F.struct(*kept).alias(_ROW), F.lit(1).alias(_LEFT))
-    b = right.where(F.col(right_time).isNotNull()).select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keys)], micros(right_time).alias(_TIME), taken.alias("_value"), F.lit(0).alias(_LEFT))
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, right_time)])
+    b = right.where(known).select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keys)], micros(right_time).alias(_TIME), taken.alias("_value"), F.lit(0).alias(_LEFT))
     key = [f"k_{i}" for i in range(len(keys))]
     both = a.unionByName(b, allowMissingColumns=True).withColumn("_slice", F.floor(F.col(_TIME) / (slice_seconds * 1_000_000)))
     # A strict join lets left rows come before right rows of the same time.
@@ -48,7 +52,7 @@ def asof(
     carried = slices.withColumn("_carried", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
     found = both.withColumn("_here", F.last("_value", ignorenulls=True).over(within)).where(f"{_LEFT} = 1").drop("_value")
     found = found.join(carried, [*key, "_slice"], "left").withColumn("_found", F.coalesce("_here", "_carried"))
-    usable = F.col(_TIME).isNotNull()
+    usable = reduce(and_, [F.col(c).isNotNull() for c in (*key, _TIME)])
     return found.select(*[F.col(f"{_ROW}.l_{c}").alias(c) for c in left.columns], *[F.when(usable, F.col(f"_found.{v}")).alias(f"asof_{v}") for v in values])
 
 

@@ -44,6 +44,19 @@ def asof_backward_strict(spark, folder):
     return found.select("event_id", F.col("asof_ts").alias("before_ts"))
 
 
+@query("""
+with e as (select event_id, nullif(user_id % 7, 0) as k, event_type, ts from events)
+select p.event_id, max(v.ts) as before_ts
+from e p left join e v on v.k = p.k and v.event_type = 'signup' and v.ts <= p.ts
+where p.event_type = 'purchase' group by p.event_id
+""")
+def asof_null_keys(spark, folder):
+    """For each purchase the last signup of its group of users at or before it; a seventh of the users has no group."""
+    events = table(spark, folder, "events", "event_id", "user_id", "event_type", "ts").withColumn("k", F.expr("nullif(user_id % 7, 0)"))
+    found = asof.asof(events.where("event_type = 'purchase'"), events.where("event_type = 'signup'"), ["k"], "ts", "ts", ["ts"])
+    return found.select("event_id", F.col("asof_ts").alias("before_ts"))
+
+
 @query("""
 select p.event_id, min(v.ts) as after_ts
 from events p left join events v on v.user_id = p.user_id and v.event_type = 'view' and v.ts >= p.ts + interval 60 minute
