@@ -107,6 +107,35 @@ def test_nearest_of_odd_vectors(spark, kind):
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found} == want
 
 
+def test_attributes_names_and_hints():
+    assert html.main_text("<article><p class=it's>Hello world one, two.</p><p>It's fine, thanks.</p></article>") == "Hello world one, two.\nIt's fine, thanks."
+    for name in ("id=related-work", 'class="search-results wide"', "class='header-note'"):
+        assert html.main_text(f"<article><p>{FIRST}</p><div {name}><p>{LAST}</p></div></article>") == f"{FIRST}\n{LAST}"
+    for name in ("id=comments", 'class="x related-posts"', "class='ad-slot-3'", "role=navigation"):
+        assert html.main_text(f"<article><p>{FIRST}</p><p>{LAST}</p><div {name}><p>Buy now!</p></div></article>") == f"{FIRST}\n{LAST}"
+    assert html.main_text(f"<article><p title='a > b' data-x=\"c > d\">{FIRST}</p></article>") == FIRST
+    assert html.main_text(f"<article><p title=\"never closed>{FIRST}</p></article>") == FIRST
+
+
+def test_cut_of_a_long_page_is_quick():
+    import time
+
+    rng, n = random.Random(2), 20_000
+    parents: dict[int, int] = {}
+    edges = []
+    for i in range(n):
+        parent = rng.randrange(i // 8 + 1)
+        if i:
+            edges.append((i - 1, i, html.ADJACENT))
+        if parent in parents:
+            edges.append((parents[parent], i, html.SIBLING))
+        parents[parent] = i
+    for odds in ([rng.gauss(0, 3) for _ in range(n)], [rng.choice([-0.3, 0.3]) for _ in range(n)], [5.0] + [-0.01] * (n - 1), [4.0] * (n // 2) + [-4.0] * (n // 2)):
+        began = time.process_time()
+        html.cut(odds, edges)
+        assert time.process_time() - began < 20
+
+
 def test_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(60):

@@ -12,7 +12,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -32,14 +31,21 @@ _FOREIGN = _HTML | frozenset("b big br center code em embed hr i img menu meta r
 #: HTML tags that end an open svg, math or select when they start; svg and math hold HTML again inside HOLDERS.
 ENDS = {"svg": _FOREIGN, "math": _FOREIGN, "select": _HTML - {"div"}}
 HOLDERS = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
-NAMED = re.compile(r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|nav\w*|menu|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|share|social|comments?|replies|respond|disqus|newsletter|subscribe|login|signup|search)(?![a-z])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAMES = r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|nav\w*|menu|breadcrumbs?|header|masthead|footer|side-?bar|widget|related|share|social|comments?|replies|respond|disqus|newsletter|subscribe|login|signup|search"
+_PARTS = r"area|articles?|bar|block|box|buttons?|container|content|form|inner|items?|lists?|links?|main|outer|panel|posts?|section|site|slot|stories|threads?|top|bottom|left|right|unit|wrap|wrapper|\d+"
+#: A class, id or role that is one of the names, alone or with words for a part of a page: NAMED. One that holds a name beside other words only hints at furniture.
+NAMED = re.compile(rf"(?:(?:{_PARTS})[-_])*(?:{_NAMES})(?:[-_](?:{_NAMES}|{_PARTS}))*", re.I)
+HINT = re.compile(rf"(?<![a-z])(?:{_NAMES})(?![a-z])", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
+#: A value is quoted only if a quote comes right after the equals sign; other values may hold quotes.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 #: An element that ends the listed open ones when it starts.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 
-#: Weights of the block score; above 0 is content.
-WEIGHTS = {"bias": 0.3, "words": 0.35, "stops": 0.4, "links": -4.0, "furniture": -8.0, "content": 3.0, "named": -6.0, "heading": 0.6}
+#: Weights of the block score; above 0 is content. They are set by hand, as log-odds: prose of twenty words and two
+#: stops outweighs a link or two; an element of the article outweighs missing prose; furniture and names of it outweigh
+#: both. A hint counts as a name outside of article and main; inside it is one soft cost, less than a sentence.
+WEIGHTS = {"bias": 0.3, "words": 0.35, "stops": 0.4, "links": -4.0, "furniture": -8.0, "content": 3.0, "named": -6.0, "hinted": -1.0, "heading": 0.6}
 ADJACENT, SIBLING = 0.5, 0.7
 
 
@@ -50,7 +56,8 @@ class Block:
     parent: int
     furniture: bool
     content: bool
-    named: bool
+    #: 2 under a name of furniture, 1 under a hint at one.
+    named: int
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -63,7 +70,7 @@ class _Open:
     number: int
     furniture: bool
     content: bool
-    named: bool
+    named: int
     #: svg, math or select, if tags are read by its rules here.
     inside: str = ""
 
@@ -82,7 +89,7 @@ def _ended(page: str, tag: str) -> set[int]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; scripts, styles, comments and markup leave none."""
     out: list[Block] = []
-    root = _Open("", 0, False, False, False)
+    root = _Open("", 0, False, False, 0)
     stack, count, current, links = [root], 0, None, 0
     at, size = 0, len(page)
     ended: dict[str, set[int]] = {}
@@ -145,8 +152,10 @@ def blocks(page: str) -> list[Block]:
             links -= sum(e.tag == "a" for e in stack[place:])
             del stack[place:]
         above = stack[-1]
-        names = " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role")) if "=" in attributes else ""
-        named = bool(names) and tag not in CONTENT and tag not in ("html", "body") and NAMED.search(names) is not None
+        named = 0
+        if "=" in attributes and tag not in CONTENT and tag not in ("html", "body"):
+            names = " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role")).split()
+            named = 2 if any(map(NAMED.fullmatch, names)) else 1 if any(map(HINT.search, names)) else 0
         hidden = "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden=.?true", attributes) is not None
         count += 1
         furniture = above.furniture or tag in FURNITURE and not (tag == "header" and above.content) or hidden
@@ -155,7 +164,7 @@ def blocks(page: str) -> list[Block]:
                 ended[tag] = _ended(page, tag)
             furniture = found.start() in ended[tag]
         inside = "" if tag == "template" or inside and tag in HOLDERS else tag if tag in ENDS else above.inside
-        stack.append(_Open(tag, count, furniture, above.content or tag in CONTENT, above.named or named, inside))
+        stack.append(_Open(tag, count, furniture, above.content or tag in CONTENT, max(above.named, named), inside))
         links += tag == "a"
 
     for block in out:
@@ -171,51 +180,76 @@ def score(block: Block) -> float:
     w = WEIGHTS
     return (
         w["bias"] + w["words"] * math.log(words) + w["stops"] * min(stops, 5) / 2 + w["links"] * block.linked / max(size, 1)
-        + w["furniture"] * block.furniture + w["content"] * block.content + w["named"] * block.named + w["heading"] * block.heading
+        + w["furniture"] * block.furniture + w["content"] * block.content + w["heading"] * block.heading
+        + (w["hinted"] if block.named == 1 and block.content else w["named"] * (block.named > 0))
     )
 
 
 def cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes lie on the source's side of a minimum cut; odds above 0 pull there.
 
-    Flow goes from nodes with an excess over shortest paths to those with a lack.
+    Max-flow by blocking flows: nodes with an excess send it in layers of equal
+    distance to nodes with a lack. Edges are few to a node and hold less than
+    most nodes want, so flow ends nearby and a few rounds over the page do.
     """
-    excess, near = list(odds), [[] for _ in odds]
-    room: dict[tuple[int, int], float] = {}
+    tiny, n, excess = 1e-12, len(odds), list(odds)
+    places: dict[tuple[int, int], int] = {}
+    near: list[list[int]] = [[] for _ in odds]
+    ends: list[int] = []
+    room: list[float] = []
     for a, b, capacity in edges:
-        if (a, b) not in room:
-            near[a].append(b)
-            near[b].append(a)
-        room[a, b] = room.get((a, b), 0.0) + capacity
-        room[b, a] = room.get((b, a), 0.0) + capacity
-    tiny = 1e-12
-
-    def reach(stop: bool):
-        came = {i: i for i, x in enumerate(excess) if x > tiny}
-        queue = deque(came)
-        while queue:
-            i = queue.popleft()
-            if stop and excess[i] < -tiny:
-                return came, i
-            for j in near[i]:
-                if j not in came and room[i, j] > tiny:
-                    came[j] = i
-                    queue.append(j)
-        return came, None
+        pair = (min(a, b), max(a, b))
+        if pair not in places:
+            places[pair] = len(ends)
+            near[a].append(len(ends))
+            near[b].append(len(ends) + 1)
+            ends += [b, a]
+            room += [0.0, 0.0]
+        e = places[pair]
+        room[e] += capacity
+        room[e + 1] += capacity
 
     while True:
-        came, end = reach(True)
-        if end is None:
-            return [i in came for i in range(len(odds))]
-        path = [end]
-        while came[path[-1]] != path[-1]:
-            path.append(came[path[-1]])
-        amount = min(-excess[end], excess[path[-1]], *(room[b, a] for a, b in zip(path, path[1:], strict=False)))
-        excess[end] += amount
-        excess[path[-1]] -= amount
-        for a, b in zip(path, path[1:], strict=False):
-            room[b, a] -= amount
-            room[a, b] += amount
+        layer, depth, found = [-1] * n, 0, False
+        sources = front = [i for i, x in enumerate(excess) if x > tiny]
+        for i in front:
+            layer[i] = 0
+        while front and not found:
+            depth, after = depth + 1, []
+            for i in front:
+                for e in near[i]:
+                    j = ends[e]
+                    if layer[j] < 0 and room[e] > tiny:
+                        layer[j] = depth
+                        after.append(j)
+                        found = found or excess[j] < -tiny
+            front = after
+        if not found:
+            return [x >= 0 for x in layer]
+        at = [0] * n
+        for source in sources:
+            path: list[int] = []
+            i = source
+            while excess[source] > tiny:
+                if excess[i] < -tiny:
+                    amount = min(excess[source], -excess[i], *(room[e] for e in path))
+                    excess[source] -= amount
+                    excess[i] += amount
+                    for e in path:
+                        room[e] -= amount
+                        room[e ^ 1] += amount
+                    path, i = [], source
+                    continue
+                while at[i] < len(near[i]) and not (room[near[i][at[i]]] > tiny and layer[ends[near[i][at[i]]]] == layer[i] + 1):
+                    at[i] += 1
+                if at[i] < len(near[i]):
+                    path.append(near[i][at[i]])
+                    i = ends[path[-1]]
+                elif path:
+                    i = ends[path.pop() ^ 1]
+                    at[i] += 1
+                else:
+                    break
 
 
 def main_text(page: str | None) -> str:
