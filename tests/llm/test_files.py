@@ -111,7 +111,7 @@ def test_audit_against_brute_force(spark):
 
 def test_audit_of_short_and_empty_replicas(spark):
     rows = [(i, f"u{i}", "x" * i) for i in range(42)]
-    full, short, empty = replicas(spark, [spark.createDataFrame(r, "page_id long, url string, html string") for r in (rows, rows[:21], [])], file_pages=1000)
+    full, short, empty = replicas(spark, [spark.createDataFrame(r, "page_id long, url string, html string").coalesce(1) for r in (rows, rows[:21], [])], file_pages=1000)
     assert {r["status"]: r["count"] for r in warc.audit(full, short).groupBy("status").count().collect()} == {"ok": 21, "missing": 21}
     assert warc.audit(short, full).where("status = 'extra'").count() == 21
     assert warc.audit(empty, empty).count() == 0

@@ -20,8 +20,8 @@ from .files import reader, writer
 from .storage import Workspace
 
 FAN_OUT = 16
-#: Pages of one WARC file.
-FILE_PAGES = 2_000
+#: Pages of one WARC file, and the numbers that a task has for its files.
+FILE_PAGES, TASK_FILES = 2_000, 1 << 32
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -50,34 +50,38 @@ def member(raw: bytes) -> bytes:
 def write_replicas(pages: DataFrame, folders: list[str], damaged=None, file_pages: int = FILE_PAGES) -> DataFrame:
     """Write pages(page_id, url, html) as WARC files, once into each folder; return their manifest (replica, file, path, records, bytes).
 
-    replica counts the folders from 0. A file holds some ``file_pages`` records,
-    dealt at random and ordered by page_id, url and html, so neither null nor
-    repeated page_ids fill a file. All replicas come from one pass over the
-    dealt pages: they hold the same records at the same offsets. Null urls and
+    replica counts the folders from 0. Each task writes its rows as they come, in
+    files of at most ``file_pages`` records; nothing is shuffled, and neither
+    null nor repeated page_ids fill a file. All replicas come from one pass over
+    the pages: they hold the same records at the same offsets. Null urls and
     html are empty; null page_ids and repeated rows are records like others. A
-    table without rows writes no file.
+    table without rows writes no file. A task that runs again writes files of
+    its own; only those in the manifest count.
 
     damaged(replica, page_id) -> bool spoils one stored byte of a record (for
     audits of known faults).
     """
-    schema = "replica int, file int, path string, records long, bytes long"
+    schema = "replica int, file long, path string, records long, bytes long"
 
     def write(batches):
-        paths, outs, at, count, file = [], [], 0, 0, None
+        from pyspark import TaskContext
 
-        def rows():
+        paths, outs, at, count, file = [], [], 0, 0, TaskContext.get().partitionId() * TASK_FILES
+
+        def ended():
+            for out in outs:
+                out.close()
             n = len(paths)
-            return pa.RecordBatch.from_pydict({"replica": pa.array(range(n), pa.int32()), "file": pa.array([file] * n, pa.int32()), "path": paths, "records": [count] * n, "bytes": [at] * n})
+            return pa.RecordBatch.from_pydict({"replica": pa.array(range(n), pa.int32()), "file": pa.array([file] * n, pa.int64()), "path": paths, "records": [count] * n, "bytes": [at] * n})
 
         for batch in batches:
-            for f, page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if f != file:
-                    for out in outs:
-                        out.close()
-                    if outs:
-                        yield rows()
-                    file, at, count = f, 0, 0
-                    paths = [f"{folder}/{f:06d}-{uuid.uuid4().hex}.warc.gz" for folder in folders]
+            for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if count == file_pages:
+                    yield ended()
+                    file, outs = file + 1, []
+                if not outs:
+                    at = count = 0
+                    paths = [f"{folder}/{file:012d}-{uuid.uuid4().hex}.warc.gz" for folder in folders]
                     outs = [writer(path) for path in paths]
                 raw = member(record(page_id, url, html))
                 for k, out in enumerate(outs):
@@ -89,14 +93,9 @@ def write_replicas(pages: DataFrame, folders: list[str], damaged=None, file_page
                 at += len(raw)
                 count += 1
         if outs:
-            for out in outs:
-                out.close()
-            yield rows()
+            yield ended()
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    files = max(1, -(-rows.count() // file_pages))
-    placed = rows.withColumn("file", F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.lit(files)).cast("int")).select("file", "page_id", "url", "html")
-    return placed.repartition(files, "file").sortWithinPartitions("file", "page_id", "url", "html").mapInArrow(write, schema)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(write, schema)
 
 
 #: How every member starts: no name, no time.
@@ -165,7 +164,7 @@ def read_leaves(manifest: DataFrame) -> DataFrame:
     a time. A manifest without files gives no leaves.
     """
     names = ["file", "leaf", "offset", "length", "page_id", "digest"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def read(batches):
         for batch in batches:
@@ -176,7 +175,7 @@ def read_leaves(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     spread = manifest.select("file", "path").repartition(max(1, manifest.count()), "file")
-    return spread.mapInArrow(read, "file int, leaf long, offset long, length long, page_id long, digest string")
+    return spread.mapInArrow(read, "file long, leaf long, offset long, length long, page_id long, digest string")
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
