@@ -113,7 +113,7 @@ def test_state_grid_has_no_future(spark):
 
 def test_screen(spark):
     quotes = spark.createDataFrame(
-        [("Y", "REALTIME", 0.4, 5, 0.02, 0.6, "00-06", "a", []), ("Y", "DELAYED", 0.4, 5, 0.02, 0.6, "00-06", "a", []), ("Y", "REALTIME", 0.4, 5, 0.02, None, "00-06", "a", []), ("Y", "REALTIME", 0.4, 5, 0.02, 0.6, "00-06", "b", []), ("N", "REALTIME", 0.4, 5, 0.02, 0.6, "00-06", "a", [])],
+        [("Y", "real_time", 0.4, 5, 0.02, 0.6, "00-06", "a", []), ("Y", "DELAYED", 0.4, 5, 0.02, 0.6, "00-06", "a", []), ("Y", "real_time", 0.4, 5, 0.02, None, "00-06", "a", []), ("Y", "real_time", 0.4, 5, 0.02, 0.6, "00-06", "b", []), ("N", "real_time", 0.4, 5, 0.02, 0.6, "00-06", "a", [])],
         "side string, delivery string, ask double, ask_size int, cost double, q double, block string, q_bin string, problems array<string>",
     )
     cells = spark.createDataFrame([("00-06", "a", 0.05)], "block string, q_bin string, slack double")

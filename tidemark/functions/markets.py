@@ -37,9 +37,13 @@ def parsed_number(text: Column) -> Column:
     return F.when(~trimmed.isin(SENTINELS) & F.rlike(plain, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), plain.try_cast("double"))
 
 
+#: Captured texts that hold nothing.
+ABSENT = ["", "-", "--", "None", "null"]
+
+
 def present(value: Column) -> Column:
     """Whether a captured field holds anything."""
-    return F.coalesce(~F.trim(value.cast("string")).isin(["", "-", "--", "None", "null"]), F.lit(False))
+    return F.coalesce(~F.trim(value.cast("string")).isin(ABSENT), F.lit(False))
 
 
 def field_presence(names: list[str]) -> Column:
@@ -63,11 +67,8 @@ def bucket(label: Column) -> Column:
 def event_date(ticker: Column) -> Column:
     """The date in a ticker's ``-yyMMMdd`` ending, or null."""
     part = F.regexp_extract(ticker, r"-(\d{2}[A-Z]{3}\d{2})$", 1)
-    months = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
-    place = F.instr(F.lit(months), F.substring(part, 3, 3))
-    month = (place + 2) / 3
-    text = F.concat(F.lit("20"), F.substring(part, 1, 2), F.lit("-"), F.lpad(month.cast("int").cast("string"), 2, "0"), F.lit("-"), F.substring(part, 6, 2))
-    return F.when((part != "") & (place > 0), F.try_to_date(text, "yyyy-MM-dd"))
+    named = F.concat(F.substring(part, 1, 2), F.initcap(F.substring(part, 3, 3)), F.substring(part, 6, 2))
+    return F.when(part != "", F.try_to_date(named, "yyMMMdd"))
 
 
 def taker_fee(price: Column) -> Column:
@@ -100,13 +101,20 @@ def conservative_cost(first_asks: list[Column], second_asks: list[Column], fee:
     return (F.ceil(total * 100) / F.lit(100)).cast("decimal(18,2)")
 
 
+#: The first two characters of a market-data code.
+DELIVERY = {"R": "real_time", "D": "delayed", "Z": "frozen", "Y": "frozen_delayed", "N": "not_subscribed", "i": "incomplete", "v": "vdr_exempt"}
+MODE = {"P": "snapshot", "p": "consolidated"}
+
+
 def availability(code: Column) -> Column:
-    """struct(delivery, mode, book) of a market-data code such as RPB."""
-    delivery = F.create_map(*[F.lit(x) for kv in {"R": "REALTIME", "D": "DELAYED", "Z": "FROZEN", "Y": "FROZEN_DELAYED", "N": "NOT_SUBSCRIBED"}.items() for x in kv])
-    mode = F.create_map(*[F.lit(x) for kv in {"P": "SNAPSHOT", "p": "CONSOLIDATED"}.items() for x in kv])
-    return F.struct(
-        F.try_element_at(delivery, F.substring(code, 1, 1)).alias("delivery"), F.try_element_at(mode, F.substring(code, 2, 1)).alias("mode"), (F.substring(code, 3, 1) == "B").alias("book")
-    )
+    """struct(delivery, mode, book) of a market-data code such as RPB; other characters are unknown, missing ones null."""
+
+    def meaning(place: int, known: dict[str, str]) -> Column:
+        char = F.nullif(F.substring(code, place, 1), F.lit(""))
+        named = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        return F.coalesce(F.try_element_at(named, char), F.concat(F.lit("unknown:"), char))
+
+    return F.struct(meaning(1, DELIVERY).alias("delivery"), meaning(2, MODE).alias("mode"), (F.substring(code, 3, 1) == "B").alias("book"))
 
 
 def rule_source(*texts: Column) -> Column:
@@ -133,7 +141,7 @@ def quote_problems(delivery: Column, ask: Column, size: Column) -> Column:
     """Why a quote can't be used, in order; an empty array if it can."""
     return reasons(
         [
-            ("NOT_REALTIME", F.coalesce(delivery != "REALTIME", F.lit(True))),
+            ("NOT_REALTIME", F.coalesce(delivery != "real_time", F.lit(True))),
             ("ASK_MISSING", ask.isNull()),
             ("SIZE_MISSING", size.isNull()),
             ("ASK_OUT_OF_RANGE", (ask <= 0) | (ask >= 1)),
