@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_BYTES, Workspace
+from .storage import BROADCAST_BYTES, Workspace, hint_small
 from .text import ASCII_SPACE, SAME_CASE, Words, chunks, ngrams, release, signed, sliding_min, split_words, text_bytes, windows
 
 #: Words of the short windows whose least hash is the fingerprint of a long one.
@@ -187,12 +187,13 @@ def _shared_windows(docs: DataFrame, prints: DataFrame, width: int) -> DataFrame
 def _removed(found: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(doc_id, t1, t2, starts) of windows that also start in a document with a smaller doc_id.
 
-    The least ids are written first: both sides of the join are then plain
-    shuffles, of which Spark splits the partitions that a frequent window fills.
+    The least ids are written first: they are broadcast if their counted rows
+    are few; else both sides of the join are plain shuffles, of which Spark
+    splits the partitions that a frequent window fills.
     """
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = work.keep(least, name)
-    hit = found.join(least, ["h1", "h2"]).where("least < doc_id")
+    hit = found.join(hint_small(least, 40), ["h1", "h2"]).where("least < doc_id")
     return hit.groupBy("doc_id", "t1", "t2").agg(F.array_join(F.collect_set(F.col("start").cast("string")), ",").alias("starts"))
 
 
