@@ -278,7 +278,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 3, fan_in: i
     whole = F.col("least").isNotNull() & (F.col("least") < F.col("doc_id"))
     empty = hashlib.sha256(b"").hexdigest()
     if gone:
-        cuts = work.keep(_cut(docs, reduce(DataFrame.unionByName, gone), width).select("doc_id", "t1", "t2", "n_removed", "kept_sha", *(["kept"] if with_text else [])), "cut")
+        # Batch by batch, so that each one's table may be small enough to meet the texts where they are.
+        cuts = work.keep(reduce(DataFrame.unionByName, (_cut(docs, removed, width) for removed in gone)).select("doc_id", "t1", "t2", "n_removed", "kept_sha", *(["kept"] if with_text else [])), "cut")
         rows = rows.join(cuts.dropDuplicates(["doc_id", "t1", "t2"]), ["doc_id", "t1", "t2"], "left")
     else:
         rows = rows.withColumns({"n_removed": F.lit(None).cast("long"), "kept_sha": F.lit(None).cast("string")} | ({"kept": F.lit(None).cast("string")} if with_text else {}))
