@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_BYTES, Workspace, hint_small
+from .storage import Workspace
 from .text import ASCII_SPACE, SAME_CASE, Words, chunks, ngrams, release, signed, sliding_min, split_words, text_bytes, windows
 
 #: Words of the short windows whose least hash is the fingerprint of a long one.
@@ -92,6 +92,22 @@ def _unpacked(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", "t1", "t2", "prints").mapInArrow(unpack, "print long, doc_id long, t1 long, t2 long")
 
 
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bucketed(work: Workspace, rows: DataFrame, key: str, buckets: int, kind: str) -> tuple[str, DataFrame]:
+    """A written table bucketed and sorted by a key, and its name."""
+    name = f"tidemark_{kind}_{uuid.uuid4().hex}"
+    rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{work.path}/{name}").saveAsTable(name)
+    return name, work.spark.table(name)
+
+
+def _forget(work: Workspace, name: str) -> None:
+    work.spark.sql(f"drop table {name}")
+    work.drop(name)
+
+
 class FingerprintIndex:
     """Runs of historical fingerprints in a workspace folder; ``ingest`` adds a batch and says what it shares.
 
@@ -104,18 +120,14 @@ class FingerprintIndex:
 
     def __init__(self, work: Workspace, fan_in: int = 2, buckets: int | None = None):
         self.work, self.fan_in = work, fan_in
-        self.buckets = buckets or int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or _partitions(work.spark)
         self.runs: list[tuple[int, str, DataFrame]] = []
 
     def _table(self, rows: DataFrame, kind: str) -> tuple[str, DataFrame]:
-        name = f"tidemark_{kind}_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, "print")
-        dealt.write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.work.path}/{name}").saveAsTable(name)
-        return name, self.work.spark.table(name)
+        return _bucketed(self.work, rows, "print", self.buckets, kind)
 
     def _forget(self, name: str) -> None:
-        self.work.spark.sql(f"drop table {name}")
-        self.work.drop(name)
+        _forget(self.work, name)
 
     def ingest(self, rows: DataFrame) -> DataFrame:
         """Add a batch; return (doc_id, t1, t2, print) of all texts, old and new, with a print that the batch shares with another text."""
@@ -149,13 +161,12 @@ class FingerprintIndex:
         self.runs = []
 
 
-def _with_texts(docs: DataFrame, per_doc: DataFrame, column: str) -> DataFrame:
-    """Texts beside their rows of a small table; the table is broadcast only if its measured bytes allow."""
-    size = per_doc.agg(F.sum(F.octet_length(column) + 40)).first()[0] or 0
-    return docs.join(F.broadcast(per_doc) if size <= BROADCAST_BYTES else per_doc, "doc_id")
+def _with_texts(texts: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """Texts beside their rows of a narrow table. The texts lie in buckets of doc_id and stay there: only the narrow rows travel, each to its bucket, at every size."""
+    return texts.join(per_doc.hint("shuffle_hash"), "doc_id")
 
 
-def _shared_windows(docs: DataFrame, prints: DataFrame, width: int) -> DataFrame:
+def _shared_windows(texts: DataFrame, prints: DataFrame, width: int) -> DataFrame:
     """(h1, h2, doc_id, t1, t2, start): the windows under a shared fingerprint, hashed from the texts."""
     per_doc = prints.groupBy("doc_id", "t1", "t2").agg(F.array_join(F.collect_set(F.col("print").cast("string")), ",").alias("prints"))
 
@@ -180,24 +191,24 @@ def _shared_windows(docs: DataFrame, prints: DataFrame, width: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h1", "h2", "doc_id", "t1", "t2", "start"])
             release()
 
-    texts = _with_texts(docs, per_doc, "prints").select("doc_id", "text", "t1", "t2", "prints")
-    return texts.mapInArrow(find, "h1 long, h2 long, doc_id long, t1 long, t2 long, start long")
+    rows = _with_texts(texts, per_doc).select("doc_id", "text", "t1", "t2", "prints")
+    return rows.mapInArrow(find, "h1 long, h2 long, doc_id long, t1 long, t2 long, start long")
 
 
 def _removed(found: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(doc_id, t1, t2, starts) of windows that also start in a document with a smaller doc_id.
 
-    The least ids are written first: they are broadcast if their counted rows
-    are few; else both sides of the join are plain shuffles, of which Spark
-    splits the partitions that a frequent window fills.
+    The least ids are written first, and both sides of their join are plain
+    shuffles at every size, of which Spark splits the partitions that a frequent
+    window fills.
     """
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = work.keep(least, name)
-    hit = found.join(hint_small(least, 40), ["h1", "h2"]).where("least < doc_id")
+    hit = found.join(least.hint("merge"), ["h1", "h2"]).where("least < doc_id")
     return hit.groupBy("doc_id", "t1", "t2").agg(F.array_join(F.collect_set(F.col("start").cast("string")), ",").alias("starts"))
 
 
-def _cut(docs: DataFrame, removed: DataFrame, width: int) -> DataFrame:
+def _cut(texts: DataFrame, removed: DataFrame, width: int) -> DataFrame:
     """(doc_id, t1, t2, n_removed, kept_sha, kept) after the words of removed windows are gone."""
 
     def cut(batches):
@@ -222,8 +233,8 @@ def _cut(docs: DataFrame, removed: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*columns[:-1], columns[-1].cast(pa.string())], names=["doc_id", "t1", "t2", "n_removed", "kept_sha", "kept"])
             release()
 
-    texts = _with_texts(docs, removed, "starts").select("doc_id", "text", "t1", "t2", "starts")
-    return texts.mapInArrow(cut, "doc_id long, t1 long, t2 long, n_removed long, kept_sha string, kept string")
+    rows = _with_texts(texts, removed).select("doc_id", "text", "t1", "t2", "starts")
+    return rows.mapInArrow(cut, "doc_id long, t1 long, t2 long, n_removed long, kept_sha string, kept string")
 
 
 def _batches(scanned: DataFrame, batches: int) -> list[DataFrame]:
@@ -259,11 +270,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 3, fan_in: i
     firsts = scanned.join(least, ["doc_id", "t1", "t2"], "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
     firsts = work.keep(firsts.select("doc_id", "t1", "t2", "prints"), "firsts")
 
+    # A text of so many words has so many bytes at least; shorter ones have no window.
+    long = docs.where((F.octet_length("text") >= 2 * width - 1) & F.col("doc_id").isNotNull())
+    texts_name, texts = _bucketed(work, long, "doc_id", _partitions(spark), "texts")
     index = FingerprintIndex(work, fan_in)
     gone = []
     for k, batch in enumerate(every := _batches(firsts, batches)):
         shared = index.ingest(_unpacked(batch))
-        found = work.keep(_shared_windows(docs, shared, width), f"windows-{k}")
+        found = work.keep(_shared_windows(texts, shared, width), f"windows-{k}")
         low = batch.agg(F.min("doc_id")).first()[0]
         if low is not None:
             gone.append(work.keep(_removed(found, work, f"least-{k}").where(F.col("doc_id") >= low), f"removed-{k}"))
@@ -278,11 +292,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, batches: int = 3, fan_in: i
     whole = F.col("least").isNotNull() & (F.col("least") < F.col("doc_id"))
     empty = hashlib.sha256(b"").hexdigest()
     if gone:
-        # Batch by batch, so that each one's table may be small enough to meet the texts where they are.
-        cuts = work.keep(reduce(DataFrame.unionByName, (_cut(docs, removed, width) for removed in gone)).select("doc_id", "t1", "t2", "n_removed", "kept_sha", *(["kept"] if with_text else [])), "cut")
+        cuts = work.keep(_cut(texts, reduce(DataFrame.unionByName, gone), width).select("doc_id", "t1", "t2", "n_removed", "kept_sha", *(["kept"] if with_text else [])), "cut")
         rows = rows.join(cuts.dropDuplicates(["doc_id", "t1", "t2"]), ["doc_id", "t1", "t2"], "left")
     else:
         rows = rows.withColumns({"n_removed": F.lit(None).cast("long"), "kept_sha": F.lit(None).cast("string")} | ({"kept": F.lit(None).cast("string")} if with_text else {}))
+    _forget(work, texts_name)
     out = [
         F.col("doc_id"),
         F.col("n_words"),
