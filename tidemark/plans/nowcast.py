@@ -36,7 +36,7 @@ def state_grid(days: DataFrame, observations: DataFrame, minutes: int = 30) -> D
     """
     grid = days.select("station", "event_date", "final_max_f", F.explode(clocks.day_grid(F.col("event_date"), F.col("timezone"), minutes)).alias("utc"))
     zones = days.select("station", "timezone").distinct()
-    dated = observations.join(F.broadcast(zones), "station").withColumn("event_date", F.to_date(F.from_utc_timestamp("utc", F.col("timezone")))).select("station", "event_date", "utc", "temperature_f")
+    dated = observations.join(zones, "station").withColumn("event_date", F.to_date(F.from_utc_timestamp("utc", F.col("timezone")))).select("station", "event_date", "utc", "temperature_f")
     stamped = dated.withColumn("observed_at", F.col("utc"))
     now = asof.asof(grid, stamped, ["station", "event_date"], "utc", "utc", ["temperature_f", "observed_at"]).withColumnsRenamed({"asof_temperature_f": "temperature_f", "asof_observed_at": "observed_at"})
     now = now.withColumn("hour_ago", F.col("utc") - F.expr("interval 60 minutes"))
@@ -120,7 +120,7 @@ def screen(quotes: DataFrame, cells: DataFrame, slack: str = "slack") -> DataFra
     quotes: side, delivery, ask, ask_size, cost, q, month, block, q_bin and
     problems of support; cells: (block, q_bin, slack) from calibration.
     """
-    joined = quotes.join(F.broadcast(cells.select("block", "q_bin", slack)), ["block", "q_bin"], "left")
+    joined = quotes.join(cells.select("block", "q_bin", slack), ["block", "q_bin"], "left")
     bad = markets.quote_problems(F.col("delivery"), F.col("ask"), F.col("ask_size"))
     verdict = markets.margin_status(F.col("side"), F.col("q") - F.col(slack), F.col("q") + F.col(slack), F.col("ask"), F.col("cost"))
     rows = joined.withColumns({"quote_problems": bad, "verdict": verdict})

@@ -15,7 +15,7 @@ KEYS = ["city", "event_date_local"]
 
 def decisions(city_days: DataFrame, zones: DataFrame, hour: int = 10) -> DataFrame:
     """(city, event_date_local, decision_time_utc): a local wall-clock hour of each city-day."""
-    return city_days.join(F.broadcast(zones), "city").select(*KEYS, clocks.local_to_utc(F.col("event_date_local"), hour, F.col("timezone")).alias("decision_time_utc"))
+    return city_days.join(zones, "city").select(*KEYS, clocks.local_to_utc(F.col("event_date_local"), hour, F.col("timezone")).alias("decision_time_utc"))
 
 
 def snapshots(panel: DataFrame, decided: DataFrame, members: int = 6) -> DataFrame:
