@@ -87,6 +87,34 @@ def test_weighted_quantile_and_crps(spark):
     assert aggregates.crps(scaled, ["k"], "v", "y").first()["crps"] == 1.5
 
 
+def test_cumulative_over_slices(spark):
+    """A hot key, a null key, ties and null values give the sums of a plain loop, whatever the slices."""
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else "cold", None if i % 13 == 0 else float(i * 37 % 101), float(i % 5 + 1)) for i in range(900)]
+    table = spark.createDataFrame(rows, "k string, v double, w double").repartition(7)
+    expected = {}
+    for k in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == k and r[1] is not None]
+        for v in {r[1] for r in mine}:
+            expected[k, v] = (sum(r[2] for r in mine if r[1] == v), sum(r[2] for r in mine if r[1] <= v), sum(r[2] for r in mine))
+    for slices in (1, 5, 64):
+        got = aggregates.cumulative(table, ["k"], "v", F.col("w"), slices).collect()
+        assert {(r["k"], r["v"]): (r["mass"], r["below"], r["total"]) for r in got} == expected and len(got) == len(expected)
+    assert aggregates.cumulative(table.where("false"), ["k"], "v", F.col("w")).count() == 0
+    assert aggregates.weighted_quantile(table.where("v is null"), ["k"], "v", "w", 0.5).count() == 0
+
+
+def test_weighted_ks_is_exact(spark):
+    rows = [(0.1, 1.0), (0.1001, 2.0), (0.7, 1.0), (None, 9.0)]
+    got = aggregates.pit_summary(spark.createDataFrame(rows, "p double, w double"), "p", "w").first()
+    assert abs(got["ks"] - (0.75 - 0.1001)) < 1e-12
+    assert abs(got["mean"] - 0.25005) < 1e-12
+
+
+def test_balanced_weights_keep_null_keys(spark):
+    rows = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert sorted((r["k"] or "", r["weight"]) for r in aggregates.balanced_weights(rows, "k").collect()) == [("", 1.0), ("a", 0.5), ("a", 0.5)]
+
+
 def test_concentration_and_pit(spark):
     rows = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "k string, v double")
     got = aggregates.concentration(rows, "k", "v").first()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,8 +33,12 @@ def two_level_mean(rows: DataFrame, keys: list[str], inner: str, value: str, nam
 
 
 def balanced_weights(rows: DataFrame, key: str, name: str = "weight") -> DataFrame:
-    """One over the number of rows of the row's group."""
-    return rows.withColumn(name, F.lit(1.0) / F.count("*").over(W.partitionBy(key)))
+    """One over the number of rows of the row's group; rows with a null key are one group.
+
+    The counts come back by a join, so no group is held or sorted by one task.
+    """
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    return rows.join(counts, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, F.lit(1.0) / F.col("_n")).drop("_key", "_n")
 
 
 def weighted_moments(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -42,15 +49,35 @@ def weighted_moments(rows: DataFrame, keys: list[str], value: str, weight: str)
     return sums.select(*keys, mean.alias("weighted_mean"), F.sqrt(F.greatest(F.col("c") / F.col("a") - mean * mean, F.lit(0.0))).alias("weighted_std"))
 
 
-def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
-    """(keys, quantile): the least value whose cumulative weight reaches q of the total (no interpolation).
+def cumulative(rows: DataFrame, keys: list[str], value: str, weight: Column, slices: int = 64) -> DataFrame:
+    """(keys, value, mass, below, total): each distinct value's weight, and the weight up to and including it.
 
-    Equal values are added up first, so a group's window has its distinct values.
+    The values are cut into slices at approximate quantiles of the whole table,
+    so a group that holds a third of all rows is many windows; the sums of the
+    slices before are added to each slice's own running sum. The cuts, at most
+    ``slices`` numbers, are read by the driver once, so that a task that runs
+    again cuts alike; they decide where the work lies, not the result. Null
+    values do not count; null keys are a group.
     """
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    w = W.partitionBy(*keys)
-    reached = sums.withColumns({"_c": F.sum("_w").over(w.orderBy(value)), "_t": F.sum("_w").over(w)}).where(F.col("_c") >= q * F.col("_t") - 1e-12)
-    return reached.groupBy(*keys).agg(F.min(value).alias("quantile"))
+    known = rows.where(F.col(value).isNotNull())
+    cuts = known.agg(F.percentile_approx(value, [k / slices for k in range(1, slices)], 1_000).alias("c")).first()["c"] or []
+    named = [f"_k{i}" for i in range(len(keys))]
+    mass = known.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(value).alias("_v")).agg(F.sum(weight).alias("_m"))
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
+    cut = mass.withColumn("_slice", part)
+    order = W.partitionBy(*named).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = cut.groupBy(*named, "_slice").agg(F.sum("_m").alias("_s"))
+    before = sums.select(*[F.col(n).alias(f"b{n}") for n in named], F.col("_slice").alias("b_slice"), F.coalesce(F.sum("_s").over(order), F.lit(0)).alias("_before"), F.sum("_s").over(W.partitionBy(*named)).alias("_total"))
+    here = cut.withColumn("_here", F.sum("_m").over(W.partitionBy(*named, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"b{n}")) for n in (*named, "_slice")])
+    out = here.join(before, same)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], F.col("_v").alias(value), F.col("_m").alias("mass"), (F.col("_before") + F.col("_here")).alias("below"), F.col("_total").alias("total"))
+
+
+def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
+    """(keys, quantile): the least value whose cumulative weight reaches q of the total (no interpolation)."""
+    run = cumulative(rows, keys, value, F.col(weight))
+    return run.where(F.col("below") >= q * F.col("total") - 1e-12).groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -95,21 +122,23 @@ def pnl_concentration(rows: DataFrame, keys: list[str], date: str, pnl: str) ->
 
 def ecdf(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, cdf, survival): P(X <= value) and P(X > value), one row for each distinct value."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = W.partitionBy(*keys)
-    cdf = F.sum("n").over(w.orderBy(value)) / F.sum("n").over(w)
-    return counts.select(*keys, value, cdf.alias("cdf"), (1 - cdf).alias("survival"))
+    cdf = F.col("below") / F.col("total")
+    return cumulative(rows, keys, value, F.lit(1)).select(*keys, value, cdf.alias("cdf"), (1 - cdf).alias("survival"))
 
 
 def crps(samples: DataFrame, keys: list[str], value: str, observed: str) -> DataFrame:
     """(keys, crps) of the samples' distribution against each group's ``observed``: E|X - y| - E|X - X'| / 2.
 
-    The mean difference comes from the sorted samples, not from pairs.
+    The mean difference comes from the ranks of the distinct values, not from
+    pairs. Null samples do not count; a group without others has null.
     """
-    w = W.partitionBy(*keys)
-    ranked = samples.withColumns({"_i": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
-    spread = F.sum((2 * F.col("_i") - F.col("_n") - 1) * F.col(value)) / F.first("_n") / F.first("_n")
-    return ranked.groupBy(*keys).agg((F.avg(F.abs(F.col(value) - F.col(observed))) - spread).alias("crps"))
+    run = cumulative(samples, keys, value, F.lit(1))
+    # The ranks of m equal samples that end at rank b add up to m (2 b - m + 1) / 2.
+    ranks = F.col("mass") * (2 * F.col("below") - F.col("mass") - F.col("total"))
+    spread = run.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg((F.sum(ranks * F.col(value)) / F.first("total") / F.first("total")).alias("_spread"))
+    near = samples.groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col(observed))).alias("_near"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
+    return near.join(spread, same, "left").select(*keys, (F.col("_near") - F.col("_spread")).alias("crps"))
 
 
 def pit_deciles(rows: DataFrame, pit: str, weight: str | None = None) -> DataFrame:
@@ -135,14 +164,12 @@ def support_cells(rows: DataFrame, keys: list[str], date: str, features: list[st
 
 
 def weighted_ks(rows: DataFrame, pit: str, weight: str) -> DataFrame:
-    """(ks): greatest distance of the weighted distribution of ``pit`` from the uniform one.
+    """(ks): greatest distance of the weighted distribution of ``pit`` from the uniform one, before and after each value."""
+    after, before = F.col("below") / F.col("total"), (F.col("below") - F.col("mass")) / F.col("total")
+    return cumulative(rows, [], pit, F.col(weight)).agg(F.max(F.greatest(F.abs(after - F.col(pit)), F.abs(before - F.col(pit)))).alias("ks"))
 
-    Values are counted in bins of 1/4096 first; bins are windows of one small
-    table, and the distance is exact at bin edges.
-    """
-    bins = rows.groupBy(F.least(F.floor(F.col(pit) * 4096), F.lit(4095)).alias("b")).agg(F.sum(weight).alias("m"))
-    order = W.orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = bins.select("b", F.sum("m").over(order).alias("c"), F.sum("m").over(W.partitionBy()).alias("t"), "m")
-    high = F.abs(F.col("c") / F.col("t") - (F.col("b") + 1) / 4096)
-    low = F.abs((F.col("c") - F.col("m")) / F.col("t") - F.col("b") / 4096)
-    return run.agg(F.max(F.greatest(high, low)).alias("ks"))
+
+def pit_summary(rows: DataFrame, pit: str, weight: str) -> DataFrame:
+    """One row: weighted mean, variance and distance from uniform (ks) of ``pit``."""
+    moments = weighted_moments(rows.where(F.col(pit).isNotNull()), [], pit, weight)
+    return moments.select(F.col("weighted_mean").alias("mean"), (F.col("weighted_std") * F.col("weighted_std")).alias("variance")).crossJoin(weighted_ks(rows, pit, weight))

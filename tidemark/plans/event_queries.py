@@ -265,6 +265,20 @@ def pit_deciles(spark, folder):
     return rounded(aggregates.pit_deciles(events, "pit", "w"), "mass")
 
 
+@query("""
+with p as (select (event_id * 7 % 1009) / 1010.0 as pit, user_id % 3 + 1 as w from events),
+     m as (select sum(w * pit) / sum(w) as mean, sum(w) as t from p),
+     d as (select pit, sum(w) as w from p group by pit),
+     c as (select pit, sum(w) over (order by pit) as below, w from d)
+select round((select mean from m), 6) as mean, round((select sum(w * (pit - mean) * (pit - mean)) / max(t) from p, m), 6) as variance,
+       round(max(greatest(abs(below / t - pit), abs((below - w) / t - pit))), 6) as ks from c, m
+""")
+def pit_summary(spark, folder):
+    """Mean, variance and distance from uniform of weighted numbers between 0 and 1."""
+    events = table(spark, folder, "events", "event_id", "user_id").select(((F.col("event_id") * 7 % 1009) / 1010.0).alias("pit"), (F.col("user_id") % 3 + 1).cast("double").alias("w"))
+    return rounded(aggregates.pit_summary(events, "pit", "w"), "mean", "variance", "ks")
+
+
 @query("""
 select d.user_id from (select distinct user_id from events) d
 where not exists (select 1 from events e where e.user_id = d.user_id and e.event_type = 'purchase' and e.value > 60)

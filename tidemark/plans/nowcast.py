@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..expect import ExpectationError
@@ -88,8 +87,7 @@ def fit_location_scale(train: DataFrame, calibrate: DataFrame, features: list[st
     model = LocationScale(features, centre, scale, location, fits.fit_ridge(spread, named, "log_abs", "w", alpha), np.zeros(0), np.zeros(0))
     mu, sigma = model.columns()
     z = aggregates.balanced_weights(calibrate, date, "w").select(((F.col(target) - mu) / sigma).alias("z"), "w")
-    total = z.agg(F.sum("w")).first()[0]
-    run = z.groupBy("z").agg(F.sum("w").alias("w")).withColumn("c", F.sum("w").over(W.orderBy("z").rowsBetween(W.unboundedPreceding, W.currentRow)) / total)
+    run = aggregates.cumulative(z, [], "z", F.col("w")).withColumn("c", F.col("below") / F.col("total"))
     steps = run.groupBy(F.ceil(F.col("c") * points).alias("k")).agg(F.max("z").alias("z"), F.max("c").alias("c")).orderBy("k").collect()
     model.z, model.cumulative = np.array([r["z"] for r in steps]), np.array([r["c"] for r in steps])
     return model
