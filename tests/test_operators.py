@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -103,6 +104,16 @@ def test_cumulative_over_slices(spark):
     assert aggregates.weighted_quantile(table.where("v is null"), ["k"], "v", "w", 0.5).count() == 0
 
 
+def test_quantiles_interpolate(spark):
+    rows = [(k, float(v * v % 97)) for k in ("a", "b", None) for v in range(40 if k else 3)] + [("a", None), ("c", None)]
+    got = {r["k"]: r for r in aggregates.describe(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k in ("a", "b", None):
+        mine = [v for key, v in rows if key == k and v is not None]
+        assert (got[k]["n"], got[k]["min"], got[k]["max"]) == (len(mine), min(mine), max(mine))
+        assert np.allclose([got[k]["p05"], got[k]["median"], got[k]["p95"]], np.quantile(mine, [0.05, 0.5, 0.95]))
+    assert got["c"]["n"] == 0 and got["c"]["median"] is None
+
+
 def test_weighted_ks_is_exact(spark):
     rows = [(0.1, 1.0), (0.1001, 2.0), (0.7, 1.0), (None, 9.0)]
     got = aggregates.pit_summary(spark.createDataFrame(rows, "p double, w double"), "p", "w").first()

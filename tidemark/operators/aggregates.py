@@ -80,12 +80,34 @@ def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str,
     return run.where(F.col("below") >= q * F.col("total") - 1e-12).groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of right's row of the same group; null keys are a group too."""
+    named = [f"_k{i}" for i in range(len(keys))]
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, named, strict=True)], F.lit(True))
+    return left.join(right.withColumnsRenamed(dict(zip(keys, named, strict=True))), same, "left").drop(*named)
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    """(keys, one column for each name): exact quantiles of the values that are not null, interpolated.
+
+    They are read off the running counts, so no task holds a group's values.
+    """
+    run = cumulative(rows, keys, value, F.lit(1))
+    v, found = F.col(value).cast("double"), {}
+    for name, q in named.items():
+        place = (F.col("total") - 1) * q
+        low, high = (F.min(F.when(F.col("below") > at, v)) for at in (F.floor(place), F.ceil(place)))
+        part = F.max(place - F.floor(place))
+        found[name] = low + (high - low) * part
+    return run.groupBy(*keys).agg(*[c.alias(n) for n, c in found.items()])
+
+
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median, std (n - 1), min, p05, p95, max; quantiles interpolate."""
     v = F.col(value)
-    return rows.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.lit(0.05)).alias("p05"), F.percentile(v, F.lit(0.95)).alias("p95"), F.max(v).alias("max")
-    )
+    sums = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    both = join_groups(sums, quantiles(rows, keys, value, {"median": 0.5, "p05": 0.05, "p95": 0.95}), keys)
+    return both.select(*keys, "n", "mean", "median", "std", "min", "p05", "p95", "max")
 
 
 def crosstab(rows: DataFrame, key: str, column: str, values: list[str]) -> DataFrame:
@@ -135,10 +157,9 @@ def crps(samples: DataFrame, keys: list[str], value: str, observed: str) -> Data
     run = cumulative(samples, keys, value, F.lit(1))
     # The ranks of m equal samples that end at rank b add up to m (2 b - m + 1) / 2.
     ranks = F.col("mass") * (2 * F.col("below") - F.col("mass") - F.col("total"))
-    spread = run.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg((F.sum(ranks * F.col(value)) / F.first("total") / F.first("total")).alias("_spread"))
+    spread = run.groupBy(*keys).agg((F.sum(ranks * F.col(value)) / F.first("total") / F.first("total")).alias("_spread"))
     near = samples.groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col(observed))).alias("_near"))
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
-    return near.join(spread, same, "left").select(*keys, (F.col("_near") - F.col("_spread")).alias("crps"))
+    return join_groups(near, spread, keys).select(*keys, (F.col("_near") - F.col("_spread")).alias("crps"))
 
 
 def pit_deciles(rows: DataFrame, pit: str, weight: str | None = None) -> DataFrame:
@@ -159,8 +180,10 @@ def calibration_cells(rows: DataFrame, keys: list[str], date: str, predicted: st
 
 def support_cells(rows: DataFrame, keys: list[str], date: str, features: list[str]) -> DataFrame:
     """(keys, dates, n, q01 and q99 of every feature)."""
-    bounds = [F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in features for q, n in ((0.01, "q01"), (0.99, "q99"))]
-    return rows.groupBy(*keys).agg(F.countDistinct(date).alias("dates"), F.count("*").alias("n"), *bounds)
+    cells = rows.groupBy(*keys).agg(F.countDistinct(date).alias("dates"), F.count("*").alias("n"))
+    for c in features:
+        cells = join_groups(cells, quantiles(rows, keys, c, {f"{c}_q01": 0.01, f"{c}_q99": 0.99}), keys)
+    return cells
 
 
 def weighted_ks(rows: DataFrame, pit: str, weight: str) -> DataFrame:

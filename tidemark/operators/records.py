@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records
+from . import aggregates
 
 
 def first_present(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -23,9 +24,8 @@ def value_counts(rows: DataFrame, column: str, dropna: bool = True) -> DataFrame
 
 
 def median_abs(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Median of the absolute value, by counts of distinct values: a group's rows are never in one place."""
-    counted = rows.select(*keys, F.abs(value).alias("x")).where("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("n"))
-    return counted.groupBy(*keys).agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("median_abs"))
+    """Median of the absolute value: a group's rows are never in one place."""
+    return aggregates.quantiles(rows.select(*keys, F.abs(value).alias("x")), keys, "x", {"median_abs": 0.5})
 
 
 def paired_mean(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -89,7 +89,8 @@ select l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) as q05, roun
 """)
 def quantile_summary(spark, folder):
     x = F.col("l_extendedprice")
-    return table(spark, folder, "lineitem", "l_returnflag", "l_extendedprice").groupBy("l_returnflag").agg(*[r6(F.percentile(x, F.lit(q))).alias(n) for q, n in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95"))])
+    lines = table(spark, folder, "lineitem", "l_returnflag", "l_extendedprice")
+    return rounded(aggregates.quantiles(lines, ["l_returnflag"], "l_extendedprice", {"q05": 0.05, "q50": 0.5, "q95": 0.95}), "q05", "q50", "q95")
 
 
 @query("""
