@@ -104,6 +104,15 @@ def test_cumulative_over_slices(spark):
     assert aggregates.weighted_quantile(table.where("v is null"), ["k"], "v", "w", 0.5).count() == 0
 
 
+def test_grid_over_days(spark):
+    """A value carries over days without one; nulls do not count."""
+    seen = [("k", at(5), 3.0), ("k", at(10), 1.0), ("k", at(0, 3), None), ("k", at(20, 4), 2.0), ("k", None, 99.0), (None, at(1), 7.0)]
+    points = [("k", at(0)), ("k", at(10)), ("k", at(0, 3)), ("k", at(20, 4)), ("k", None), (None, at(0, 2)), ("other", at(0, 2))]
+    got = windows.on_grid(spark.createDataFrame(points, "k string, t timestamp"), spark.createDataFrame(seen, "k string, t timestamp, v double"), ["k"], "t", "v")
+    found = {(r["k"], r["t"]): (r["last_value"], r["running_max"]) for r in got.collect()}
+    assert found == dict(zip(points, [(None, None), (1.0, 3.0), (1.0, 3.0), (2.0, 3.0), (None, None), (7.0, 7.0), (None, None)], strict=True))
+
+
 def test_quantiles_interpolate(spark):
     rows = [(k, float(v * v % 97)) for k in ("a", "b", None) for v in range(40 if k else 3)] + [("a", None), ("c", None)]
     got = {r["k"]: r for r in aggregates.describe(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}

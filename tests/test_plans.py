@@ -141,3 +141,33 @@ def test_questions_and_audits(spark):
     assert study.adjacent_pairs(contracts).first()["pair_id"] == "c|70|0|3"
     expected = spark.createDataFrame([(1,), (2,)], "slot int")
     assert {r["problem"]: r["rows"] for r in study.coverage(spark.createDataFrame([(1,), (1,), (9,)], "slot int"), expected, ["slot"]).collect()} == {"MISSING": 1, "UNKNOWN": 1, "REPEATED": 1}
+
+
+def test_order_interval_of_flags(spark):
+    """Against a plain loop over the same draws; constant series have no interval."""
+    import random
+
+    flags = [int(i % 3 == 0 or i > 15) for i in range(23)]
+    days = spark.createDataFrame(list(enumerate(flags)), "day int, y int")
+    draw, means = random.Random(7 + 4), []
+    for _ in range(60):
+        taken = []
+        while len(taken) < len(flags):
+            at = draw.choice(list(range(len(flags) - 3)))
+            taken += flags[at : at + 4]
+        means.append(sum(taken[: len(flags)]) / len(flags))
+    means.sort()
+    got = bootstrap.order_interval(days, "day", "y", 4, 60, 7).first()
+    assert abs(got["low"] - means[int(0.025 * 59)]) < 1e-12 and abs(got["high"] - means[int(0.975 * 59)]) < 1e-12
+    assert bootstrap.order_interval(days.where("day < 0"), "day", "y", 4, 60, 7).first()["low"] is None
+    assert bootstrap.order_interval(days.withColumn("y", F.lit(1)), "day", "y", 4, 60, 7).first()["high"] is None
+
+
+def test_date_intervals_share_one_draw(spark):
+    values = np.random.default_rng(1).normal(size=(17, 2))
+    days = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(values)], "day int, a double, b double")
+    rng = np.random.default_rng(3)
+    means = np.array([values[rng.integers(0, 17, size=17)].mean(axis=0) for _ in range(80)])
+    got = {r["metric"]: r for r in bootstrap.date_intervals(days, "day", ["a", "b"], 80, 3).collect()}
+    for j, m in enumerate(("a", "b")):
+        assert np.allclose([got[m]["estimate"], got[m]["low"], got[m]["high"]], [values[:, j].mean(), *np.quantile(means[:, j], [0.025, 0.975])])

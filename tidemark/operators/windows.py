@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,12 +52,24 @@ def changes(rows: DataFrame, keys: list[str], order: list[str], value: str, name
 
 
 def on_grid(grid: DataFrame, observations: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """Grid points with the last value and the running maximum of what was observed by then."""
+    """Grid points with the last value and the running maximum of what was observed by then.
+
+    Days are windows of their own, and each day's last value and maximum are
+    carried over the later ones, so one busy key is many groups. Null values and
+    observations without a time do not count; a grid point without a time has
+    nulls; null keys are a group.
+    """
     points = grid.select(*keys, time).withColumns({"_grid": F.lit(1), value: F.lit(None).cast(observations.schema[value].dataType)})
-    both = observations.select(*keys, time, value).withColumn("_grid", F.lit(0)).unionByName(points)
-    w = W.partitionBy(*keys).orderBy(time, "_grid", value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    carried = both.withColumns({"last_value": F.last(value, ignorenulls=True).over(w), "running_max": F.max(value).over(w)})
-    return carried.where("_grid = 1").select(*keys, time, "last_value", "running_max")
+    seen = observations.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(*keys, time, value).withColumn("_grid", F.lit(0))
+    both = seen.unionByName(points).withColumn("_day", F.to_date(time))
+    within = W.partitionBy(*keys, "_day").orderBy(time, "_grid", value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = both.withColumns({"_last": F.last(value, ignorenulls=True).over(within), "_max": F.max(value).over(within)}).where("_grid = 1")
+    days = both.groupBy(*keys, "_day").agg(F.max_by(value, F.when(F.col("_grid") == 0, F.struct(time, value))).alias("_l"), F.max(value).alias("_m"))
+    earlier = W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    named = [f"_k{i}" for i in range(len(keys))]
+    carried = days.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col("_day").alias("_on"), F.last("_l", ignorenulls=True).over(earlier).alias("_before"), F.max("_m").over(earlier).alias("_peak"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, "_day"], [*named, "_on"], strict=True)])
+    return here.join(carried, same).select(*keys, time, F.coalesce("_last", "_before").alias("last_value"), F.greatest("_max", "_peak").alias("running_max"))
 
 
 def first_qualifying(rows: DataFrame, keys: list[str], condition: Column, order: list[Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -54,3 +56,41 @@ def ratio_interval(days: DataFrame, day: str, numerator: str, denominator: str,
 def mean_interval(days: DataFrame, day: str, value: str, block: int, reps: int, seed: int) -> DataFrame:
     """The same for a mean of daily values."""
     return ratio_interval(days.withColumn("_one", F.lit(1.0)), day, value, "_one", block, reps, seed)
+
+
+def order_interval(days: DataFrame, day: str, flag: str, block: int, reps: int, seed: int) -> DataFrame:
+    """One row (low, high): moving-block interval of a 0/1 series' mean, from the sorted replicates' own values.
+
+    ``days`` has one row a day. The starts come from Python's generator seeded
+    with seed + block; the bounds are the replicates at the whole places below
+    2.5 and 97.5 %. A constant or empty series has nulls.
+    """
+    size = days.agg(F.count("*").alias("n"), F.countDistinct(flag).alias("kinds")).first()
+    if size["kinds"] < 2:
+        return days.sparkSession.createDataFrame([(None, None)], "low double, high double")
+    n = size["n"]
+    block = max(1, min(block, n))
+    if reps * n > MOST_DRAWS:
+        raise ValueError("too many draws for one index table")
+    draw = random.Random(seed + block)
+    starts = np.array([[draw.choice(range(n - block + 1)) for _ in range(-(-n // block))] for _ in range(reps)])
+    places = (starts[:, :, None] + np.arange(block)).reshape(reps, -1)[:, :n]
+    values = replicates(days.withColumn("_one", F.lit(1.0)), day, flag, "_one", places)
+    ranked = F.array_sort(F.collect_list("value"))
+    return values.agg(F.get(ranked, F.lit(int(0.025 * (reps - 1)))).alias("low"), F.get(ranked, F.lit(int(0.975 * (reps - 1)))).alias("high"))
+
+
+def date_intervals(days: DataFrame, day: str, metrics: list[str], reps: int, seed: int) -> DataFrame:
+    """(metric, estimate, low, high): means of daily metrics under one draw of whole dates for all of them."""
+    n = days.count()
+    if not n:
+        return days.sparkSession.createDataFrame([], "metric string, estimate double, low double, high double")
+    if reps * n > MOST_DRAWS:
+        raise ValueError("too many draws for one index table")
+    rng = np.random.default_rng(seed)
+    places = np.array([rng.integers(0, n, size=n) for _ in range(reps)])
+    numbered = days.withColumn("place", F.row_number().over(W.orderBy(day)) - 1)
+    long = numbered.unpivot(["place"], metrics, "metric", "v")
+    drawn = index_table(days.sparkSession, places).join(long, "place").groupBy("rep", "metric").agg((F.sum(F.col("v") * F.col("times")) / n).alias("value"))
+    bounds = drawn.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+    return long.groupBy("metric").agg(F.avg("v").alias("estimate")).join(bounds, "metric")
