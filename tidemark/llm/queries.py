@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, neighbours, packing, sstable, substring, toxicity, urls, warc
+from . import decontaminate, html, importance, jaccard, mtree, neighbours, packing, ranking, sstable, substring, toxicity, urls, warc
 from .storage import Workspace
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -70,6 +70,20 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 10)
 
 
+def op11_products(spark: SparkSession, folder: str) -> DataFrame:
+    table = _table(spark, folder, "embeddings")
+    return mtree.top_products(table, table.where("vec_id % 20 = 0"), 20)
+
+
+def op12_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 10)
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_neighbours, op3_packing, op4_main_text, op5_token_shards, op6_jaccard, op7_substring, op8_fixity, op9_urls, op10_decontamination]
+    found = [op1_toxicity, op2_neighbours, op3_packing, op4_main_text, op5_token_shards, op6_jaccard, op7_substring, op8_fixity, op9_urls, op10_decontamination, op11_products, op12_ranking, op13_resampling]
     return {f.__name__: f for f in found}
