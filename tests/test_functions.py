@@ -27,8 +27,6 @@ def test_labels_and_numbers(spark):
     assert one(spark, markets.outcome(F.lit(" Yes")), markets.outcome(F.lit("no")), markets.outcome(F.lit("?"))) == (1, 0, None)
     assert one(spark, markets.event_date(F.lit("KXHIGH-26SEP05")), markets.event_date(F.lit("KXHIGH-26XXX05"))) == (dt.date(2026, 9, 5), None)
     assert one(spark, markets.reasons([("A", F.lit(True)), ("B", F.lit(None).cast("boolean")), ("C", F.lit(True))]), markets.first_reason([("A", F.lit(False)), ("B", F.lit(True)), ("C", F.lit(True))])) == (["A", "C"], "B")
-    problems = one(spark, markets.quote_problems(F.lit("DELAYED"), F.lit(1.0), F.lit(0)), markets.quote_problems(F.lit("real_time"), F.lit(0.4), F.lit(2)))
-    assert problems == (["NOT_REALTIME", "ASK_OUT_OF_RANGE", "SIZE_NOT_POSITIVE"], [])
     assert tuple(one(spark, markets.availability(F.lit("RPB")))[0]) == ("real_time", "snapshot", True)
 
 

@@ -94,7 +94,7 @@ def test_location_scale(spark):
     rng = np.random.default_rng(8)
     rows = [(int(i // 10), float(x), float(2 + 3 * x + e)) for i, (x, e) in enumerate(zip(rng.normal(size=400), rng.normal(size=400), strict=True))]
     table = spark.createDataFrame(rows, "date int, x double, y double")
-    model = nowcast.fit_location_scale(table.where("date < 20"), table.where("date >= 20"), ["x"], "y", "date", alpha=0.1, points=64)
+    model = nowcast.fit_location_scale(table.where("date < 20"), table.where("date >= 20"), ["x"], "y", "date", alpha=0.1)
     got = nowcast.scored(table, model, "y").agg(F.avg("pit").alias("p"), F.avg(F.col("in_80").cast("int")).alias("c"), F.min("pit"), F.max("pit")).first()
     assert got["p"] == pytest.approx(0.5, abs=0.1) and got["c"] == pytest.approx(0.8, abs=0.12)
     with pytest.raises(ValueError):
@@ -111,15 +111,6 @@ def test_state_grid_has_no_future(spark):
     assert (late["temperature_f"], late["age_minutes"], late["change_60"], late["residual"]) == (66.0, 60.0, 0.0, 2.0)
 
 
-def test_screen(spark):
-    quotes = spark.createDataFrame(
-        [("Y", "real_time", 0.4, 5, 0.02, 0.6, "00-06", "a", []), ("Y", "DELAYED", 0.4, 5, 0.02, 0.6, "00-06", "a", []), ("Y", "real_time", 0.4, 5, 0.02, None, "00-06", "a", []), ("Y", "real_time", 0.4, 5, 0.02, 0.6, "00-06", "b", []), ("N", "real_time", 0.4, 5, 0.02, 0.6, "00-06", "a", [])],
-        "side string, delivery string, ask double, ask_size int, cost double, q double, block string, q_bin string, problems array<string>",
-    )
-    cells = spark.createDataFrame([("00-06", "a", 0.05)], "block string, q_bin string, slack double")
-    assert [r["status"] for r in nowcast.screen(quotes, cells).collect()] == ["POSITIVE", "INVALID", "UNAVAILABLE", "UNSUPPORTED", "NOT_POSITIVE"]
-
-
 def test_day_health_and_endpoint(spark):
     slots = spark.range(960).select(F.lit("d1").alias("date"), F.col("id").cast("int").alias("slot"), (~F.col("id").isin(5, 6, 100)).alias("valid"))
     broken = slots.withColumns({"date": F.lit("d2"), "valid": ~F.col("slot").isin(5, 6, 7)}).where("slot <> 8")

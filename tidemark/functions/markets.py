@@ -137,17 +137,27 @@ def first_reason(rules: list[tuple[str, Column]], otherwise: str | None = None)
     return reduce(lambda rest, r: F.when(r[1], F.lit(r[0])).otherwise(rest), reversed(rules), F.lit(otherwise).cast("string"))
 
 
-def quote_problems(delivery: Column, ask: Column, size: Column) -> Column:
-    """Why a quote can't be used, in order; an empty array if it can."""
-    return reasons(
-        [
-            ("NOT_REALTIME", F.coalesce(delivery != "real_time", F.lit(True))),
-            ("ASK_MISSING", ask.isNull()),
-            ("SIZE_MISSING", size.isNull()),
-            ("ASK_OUT_OF_RANGE", (ask <= 0) | (ask >= 1)),
-            ("SIZE_NOT_POSITIVE", size <= 0),
-        ]
-    )
+def displayed_number(text: Column, grouped: bool = False) -> Column:
+    """A number as a broker displays it; null if it is absent (empty, - or --), no number or not finite. grouped: commas part its digits."""
+    plain = F.trim(text.cast("string"))
+    number = (F.replace(plain, F.lit(","), F.lit("")) if grouped else plain).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
+#: Why a quote is no executable ask.
+QUOTE_REASONS = ["not_real_time", "ask_field_not_present", "ask_size_field_not_present", "invalid_or_missing_ask", "invalid_or_missing_ask_size"]
+
+
+def quote_problems(delivery: Column, ask_present: Column, size_present: Column, ask: Column, size: Column) -> Column:
+    """Which of QUOTE_REASONS hold, in order; an empty array if the ask can be taken.
+
+    The presence flags say whether the broker sent the field; the number itself
+    is judged beside that, so an absent ask has two reasons.
+    """
+    unless = lambda c: F.coalesce(~c, F.lit(True))
+    price, count = displayed_number(ask), displayed_number(size, grouped=True)
+    rules = [unless(delivery == "real_time"), unless(ask_present), unless(size_present), unless((price > 0) & (price < 1)), unless(count > 0)]
+    return reasons(list(zip(QUOTE_REASONS, rules, strict=True)))
 
 
 def margin_status(side: Column, q_low: Column, q_high: Column, ask: Column, cost: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,14 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, not once an element of what body makes of it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalised(v: Column) -> Column:
     """v over its sum; null unless the sum is positive and finite."""
-    s = total(v)
-    return F.when((s > 0) & (s < float("inf")), F.transform(v, lambda x: x / s))
+    return bound(v, lambda a: bound(total(a), lambda s: F.when((s > 0) & (s < float("inf")), F.transform(a, lambda x: x / s))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,8 +46,7 @@ def logs(v: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    high = F.array_max(scores)
-    return normalised(F.transform(scores, lambda x: F.exp(x - high)))
+    return normalised(bound(scores, lambda a: bound(F.array_max(a), lambda high: F.transform(a, lambda x: F.exp(x - high)))))
 
 
 def log_loss(p: Column, outcome: Column) -> Column:

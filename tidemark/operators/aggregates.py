@@ -5,10 +5,16 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..expect import ExpectationError
+
+#: Slices of a running sum: one for so many rows, and at most so many.
+SLICE_ROWS, MOST_SLICES = 1 << 18, 256
 
 def ratio_of_sums(rows: DataFrame, keys: list[str], numerator: str, denominator: str) -> DataFrame:
     """(keys, beta, n): sum over sum, null unless the denominator is positive."""
@@ -42,36 +48,64 @@ def balanced_weights(rows: DataFrame, key: str, name: str = "weight") -> DataFra
 
 
 def weighted_moments(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """(keys, weighted_mean, weighted_std) over the population."""
-    w, x = F.col(weight), F.col(value)
-    sums = rows.groupBy(*keys).agg(F.sum(w).alias("a"), F.sum(w * x).alias("b"), F.sum(w * x * x).alias("c"))
-    mean = F.col("b") / F.col("a")
-    return sums.select(*keys, mean.alias("weighted_mean"), F.sqrt(F.greatest(F.col("c") / F.col("a") - mean * mean, F.lit(0.0))).alias("weighted_std"))
+    """(keys, weighted_mean, weighted_std) over the population; null values do not count.
 
-
-def cumulative(rows: DataFrame, keys: list[str], value: str, weight: Column, slices: int = 64) -> DataFrame:
-    """(keys, value, mass, below, total): each distinct value's weight, and the weight up to and including it.
+    The mean comes back to the rows, so that squares are of what is left beside it.
+    """
+    w, x = F.col(weight), F.col(value)
+    known = rows.where(x.isNotNull())
+    means = known.groupBy(*keys).agg(F.try_divide(F.sum(w * x), F.sum(w)).alias("weighted_mean"))
+    both = join_groups(known, means, keys).withColumn("_d", x - F.col("weighted_mean"))
+    spread = both.groupBy(*keys).agg(F.sqrt(F.try_divide(F.sum(w * F.col("_d") * F.col("_d")), F.sum(w))).alias("weighted_std"))
+    return join_groups(means, spread, keys).select(*keys, "weighted_mean", "weighted_std")
+
+
+def centre_and_scale(rows: DataFrame, columns: list[str], weight: str, least: float = 1e-12) -> tuple[list[float], list[float]]:
+    """Weighted means and standard deviations of the columns; a weight that is not positive, or a column that hardly varies, is an error."""
+    w = F.col(weight)
+    first = rows.agg(F.sum(w).alias("w"), *[F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    if not first["w"] or first["w"] <= 0:
+        raise ExpectationError("the weights' sum is not positive")
+    means = [float(first[f"m{i}"]) for i in range(len(columns))]
+    second = rows.agg(*[F.sqrt(F.sum(w * (F.col(c) - m) * (F.col(c) - m)) / F.sum(w)).alias(f"s{i}") for i, (c, m) in enumerate(zip(columns, means, strict=True))]).first()
+    spread = [float(second[f"s{i}"]) for i in range(len(columns))]
+    if flat := [c for c, x in zip(columns, spread, strict=True) if x <= least]:
+        raise ExpectationError(f"columns that do not vary: {flat}")
+    return means, spread
+
+
+def running_sums(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column], slices: int | None = None) -> DataFrame:
+    """(keys, value, and for each name: name, upto_name, total_name): sums at each distinct value, up to and including it, and of the group.
 
     The values are cut into slices at approximate quantiles of the whole table,
     so a group that holds a third of all rows is many windows; the sums of the
-    slices before are added to each slice's own running sum. The cuts, at most
-    ``slices`` numbers, are read by the driver once, so that a task that runs
-    again cuts alike; they decide where the work lies, not the result. Null
-    values do not count; null keys are a group.
+    slices before are added to each slice's own running sum. There are more
+    slices the more rows there are, up to MOST_SLICES. The cuts are read by the
+    driver once, so that a task that runs again cuts alike; they decide where the
+    work lies, not the result. Null values do not count; null keys are a group.
     """
     known = rows.where(F.col(value).isNotNull())
-    cuts = known.agg(F.percentile_approx(value, [k / slices for k in range(1, slices)], 1_000).alias("c")).first()["c"] or []
-    named = [f"_k{i}" for i in range(len(keys))]
-    mass = known.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(value).alias("_v")).agg(F.sum(weight).alias("_m"))
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
+    found = known.agg(F.percentile_approx(value, [k / MOST_SLICES for k in range(1, MOST_SLICES)], 10_000).alias("c"), F.count("*").alias("n")).first()
+    n = slices or max(16, min(MOST_SLICES, found["n"] // SLICE_ROWS))
+    cuts = sorted({c for k, c in enumerate(found["c"] or [], 1) if k * n // MOST_SLICES > (k - 1) * n // MOST_SLICES})
+    named, names = [f"_k{i}" for i in range(len(keys))], list(sums)
+    mass = known.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(value).alias("_v")).agg(*[F.sum(c).alias(f"_m_{x}") for x, c in sums.items()])
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
     cut = mass.withColumn("_slice", part)
-    order = W.partitionBy(*named).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    sums = cut.groupBy(*named, "_slice").agg(F.sum("_m").alias("_s"))
-    before = sums.select(*[F.col(n).alias(f"b{n}") for n in named], F.col("_slice").alias("b_slice"), F.coalesce(F.sum("_s").over(order), F.lit(0)).alias("_before"), F.sum("_s").over(W.partitionBy(*named)).alias("_total"))
-    here = cut.withColumn("_here", F.sum("_m").over(W.partitionBy(*named, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    every, earlier = W.partitionBy(*named), W.partitionBy(*named).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy(*named, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = cut.groupBy(*named, "_slice").agg(*[F.sum(f"_m_{x}").alias(f"_s_{x}") for x in names])
+    before = parts.select(*[F.col(n).alias(f"b{n}") for n in [*named, "_slice"]], *[F.coalesce(F.sum(f"_s_{x}").over(earlier), F.lit(0)).alias(f"_b_{x}") for x in names], *[F.sum(f"_s_{x}").over(every).alias(f"_t_{x}") for x in names])
+    here = cut.withColumns({f"_h_{x}": F.sum(f"_m_{x}").over(within) for x in names})
     same = reduce(and_, [F.col(n).eqNullSafe(F.col(f"b{n}")) for n in (*named, "_slice")])
-    out = here.join(before, same)
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], F.col("_v").alias(value), F.col("_m").alias("mass"), (F.col("_before") + F.col("_here")).alias("below"), F.col("_total").alias("total"))
+    columns = [c for x in names for c in (F.col(f"_m_{x}").alias(x), (F.col(f"_b_{x}") + F.col(f"_h_{x}")).alias(f"upto_{x}"), F.col(f"_t_{x}").alias(f"total_{x}"))]
+    return here.join(before, same).select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], F.col("_v").alias(value), *columns)
+
+
+def cumulative(rows: DataFrame, keys: list[str], value: str, weight: Column, slices: int | None = None) -> DataFrame:
+    """(keys, value, mass, below, total): each distinct value's weight, and the weight up to and including it."""
+    run = running_sums(rows, keys, value, {"w": weight}, slices)
+    return run.select(*keys, value, F.col("w").alias("mass"), F.col("upto_w").alias("below"), F.col("total_w").alias("total"))
 
 
 def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
@@ -171,28 +205,57 @@ def pit_deciles(rows: DataFrame, pit: str, weight: str | None = None) -> DataFra
     return tens.join(sums, "decile", "left").crossJoin(F.broadcast(total)).select("decile", (F.coalesce("m", F.lit(0.0)) / F.col("t")).alias("mass"))
 
 
-def calibration_cells(rows: DataFrame, keys: list[str], date: str, predicted: str, hit: str, least_dates: int = 100) -> DataFrame:
-    """(keys, dates, mean_predicted, mean_hit, gap, supported): means of the dates' means."""
-    days = rows.groupBy(*keys, date).agg(F.avg(predicted).alias("p"), F.avg(hit).alias("h"))
-    cells = days.groupBy(*keys).agg(F.count("*").alias("dates"), F.avg("p").alias("mean_predicted"), F.avg("h").alias("mean_hit"))
-    return cells.withColumns({"gap": F.col("mean_hit") - F.col("mean_predicted"), "supported": F.col("dates") >= least_dates})
+def calibration_cells(rows: DataFrame, keys: list[str], date: str, predicted: str, hit: str, least_dates: int = 100, reps: int = 0, seed: int = 0) -> DataFrame:
+    """(keys, dates, n, mean_predicted, mean_hit, gap, supported): means of the dates' means.
+
+    With reps, also (low, high, slack): the 2.5 and 97.5 % quantiles of the gap's
+    mean over draws of whole dates, and the greater of their absolute values.
+    The cells draw from generators of their own, seeded with seed and the cell's
+    place in order of its keys, from 1. A cell's task holds one row a date.
+    """
+    days = rows.groupBy(*keys, date).agg(F.count("*").alias("c"), F.avg(predicted).alias("p"), F.avg(hit).alias("h"))
+    cells = days.groupBy(*keys).agg(F.count("*").alias("dates"), F.sum("c").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("h").alias("mean_hit"))
+    cells = cells.withColumns({"gap": F.col("mean_hit") - F.col("mean_predicted"), "supported": F.col("dates") >= least_dates})
+    if not reps:
+        return cells
+    places = cells.select(*keys, F.row_number().over(W.orderBy(*keys)).alias("_place"))  # cells, not rows
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        gaps = part.sort_values(date)["gap"].to_numpy()
+        rng = np.random.default_rng(seed + int(part["_place"].iloc[0]))
+        means = [gaps[rng.integers(0, len(gaps), size=len(gaps))].mean() for _ in range(reps)]
+        low, high = np.quantile(means, [0.025, 0.975])
+        return pd.DataFrame({"_place": part["_place"].iloc[:1], "low": [low], "high": [high]})
 
+    gaps = join_groups(days, places, keys).select("_place", date, (F.col("h") - F.col("p")).alias("gap"))
+    drawn = join_groups(cells, places, keys).join(gaps.groupBy("_place").applyInPandas(draw, "_place int, low double, high double"), "_place")
+    return drawn.withColumn("slack", F.greatest(F.abs("low"), F.abs("high"))).drop("_place")
 
-def support_cells(rows: DataFrame, keys: list[str], date: str, features: list[str]) -> DataFrame:
-    """(keys, dates, n, q01 and q99 of every feature)."""
-    cells = rows.groupBy(*keys).agg(F.countDistinct(date).alias("dates"), F.count("*").alias("n"))
+
+def support_cells(rows: DataFrame, keys: list[str], date: str, features: list[str], least_dates: int = 45, trend: str | None = None) -> DataFrame:
+    """(keys, dates, n, supported, and of every feature: how many are filled, q01 and q99).
+
+    trend: a column whose nulls are counted by their dates, as missing_trend_dates.
+    """
+    counts = [F.countDistinct(date).alias("dates"), F.count("*").alias("n"), *[F.count(c).alias(f"{c}_filled") for c in features]]
+    if trend is not None:
+        counts.append(F.countDistinct(F.when(F.col(trend).isNull(), F.col(date))).alias("missing_trend_dates"))
+    cells = rows.groupBy(*keys).agg(*counts).withColumn("supported", F.col("dates") >= least_dates)
     for c in features:
         cells = join_groups(cells, quantiles(rows, keys, c, {f"{c}_q01": 0.01, f"{c}_q99": 0.99}), keys)
     return cells
 
 
-def weighted_ks(rows: DataFrame, pit: str, weight: str) -> DataFrame:
-    """(ks): greatest distance of the weighted distribution of ``pit`` from the uniform one, before and after each value."""
+def weighted_ks(rows: DataFrame, pit: str, weight: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ks): greatest distance of the weighted distribution of ``pit`` from the uniform one, before and after each value."""
     after, before = F.col("below") / F.col("total"), (F.col("below") - F.col("mass")) / F.col("total")
-    return cumulative(rows, [], pit, F.col(weight)).agg(F.max(F.greatest(F.abs(after - F.col(pit)), F.abs(before - F.col(pit)))).alias("ks"))
+    run = cumulative(rows, keys or [], pit, F.col(weight))
+    return run.groupBy(*(keys or [])).agg(F.max(F.greatest(F.abs(after - F.col(pit)), F.abs(before - F.col(pit)))).alias("ks"))
 
 
-def pit_summary(rows: DataFrame, pit: str, weight: str) -> DataFrame:
-    """One row: weighted mean, variance and distance from uniform (ks) of ``pit``."""
-    moments = weighted_moments(rows.where(F.col(pit).isNotNull()), [], pit, weight)
-    return moments.select(F.col("weighted_mean").alias("mean"), (F.col("weighted_std") * F.col("weighted_std")).alias("variance")).crossJoin(weighted_ks(rows, pit, weight))
+def pit_summary(rows: DataFrame, pit: str, weight: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, mean, variance, ks): weighted mean, variance and distance from uniform of ``pit``; one row without keys."""
+    keys = keys or []
+    moments = weighted_moments(rows, keys, pit, weight)
+    moments = moments.select(*keys, F.col("weighted_mean").alias("mean"), (F.col("weighted_std") * F.col("weighted_std")).alias("variance"))
+    return join_groups(moments, weighted_ks(rows, pit, weight, keys), keys)

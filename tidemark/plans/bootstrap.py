@@ -5,39 +5,58 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Most draws (replicates x days) that an index table may hold; it is made on the driver.
-MOST_DRAWS = 20_000_000
+#: Most starts (replicates x blocks) that one bootstrap may draw; the driver holds and sends four bytes for each.
+MOST_STARTS = 20_000_000
 
 
-def block_starts(n: int, block: int, reps: int, rng: np.random.Generator) -> np.ndarray:
-    """Places drawn by a moving-block bootstrap: (reps, n). One generator can serve several calls in turn."""
+def draw_starts(n: int, block: int, reps: int, rng: np.random.Generator) -> np.ndarray:
+    """First days of the blocks that a moving-block bootstrap draws: (reps, blocks). One generator can serve several calls in turn."""
     if not 1 <= block <= n:
         raise ValueError("a block has between 1 and n days")
-    if reps * n > MOST_DRAWS:
-        raise ValueError("too many draws for one index table")
-    starts, blocks = np.arange(n - block + 1), -(-n // block)
-    rows = [np.concatenate([np.arange(s, s + block) for s in rng.choice(starts, size=blocks)])[:n] for _ in range(reps)]
-    return np.array(rows).reshape(reps, n)
-
-
-def index_table(spark: SparkSession, places: np.ndarray) -> DataFrame:
-    """(rep, place, times): how often each replicate draws each day."""
-    reps, n = places.shape
-    counts = np.zeros((reps, n), dtype=np.int32)
-    np.add.at(counts, (np.repeat(np.arange(reps), n), places.reshape(-1)), 1)
-    rows = [(r, [int(x) for x in counts[r]]) for r in range(reps)]
-    wide = spark.createDataFrame(rows, "rep int, times array<int>")
-    return wide.select("rep", F.posexplode("times").alias("place", "times")).where("times > 0")
-
-
-def replicates(days: DataFrame, day: str, numerator: str, denominator: str, places: np.ndarray) -> DataFrame:
-    """(rep, value): ratio of sums over each replicate's days; the days are numbered in order."""
-    numbered = days.withColumn("place", F.row_number().over(W.orderBy(day)) - 1).select("place", numerator, denominator)
-    drawn = index_table(days.sparkSession, places).join(numbered, "place")
+    blocks = -(-n // block)
+    if reps * blocks > MOST_STARTS:
+        raise ValueError("too many draws for one bootstrap")
+    starts = np.arange(n - block + 1)
+    return np.array([rng.choice(starts, size=blocks) for _ in range(reps)], dtype=np.int32).reshape(reps, blocks)
+
+
+def places_of(starts: np.ndarray, block: int, n: int) -> np.ndarray:
+    """The days of the drawn blocks in turn, cut at n: (reps, n)."""
+    return (starts[:, :, None] + np.arange(block, dtype=starts.dtype)).reshape(len(starts), -1)[:, :n]
+
+
+def block_starts(n: int, block: int, reps: int, rng: np.random.Generator) -> np.ndarray:
+    """Places drawn by a moving-block bootstrap: (reps, n)."""
+    return places_of(draw_starts(n, block, reps, rng), block, n)
+
+
+def index_table(spark: SparkSession, starts: np.ndarray, block: int, n: int) -> DataFrame:
+    """(rep, place, times): how often each replicate draws each day. Tasks expand the starts."""
+
+    def expand(batches):
+        for batch in batches:
+            for rep in batch.column(0).to_pylist():
+                times = np.bincount(places_of(starts[rep : rep + 1], block, n)[0], minlength=n)
+                drawn = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(drawn), rep), pa.int32()), pa.array(drawn, pa.int32()), pa.array(times[drawn], pa.int32())], names=["rep", "place", "times"])
+
+    return spark.range(len(starts)).mapInArrow(expand, "rep int, place int, times int")
+
+
+def numbered_days(days: DataFrame, day: str) -> DataFrame:
+    """days, one row a day and so few, with their place from 0 in order."""
+    return days.withColumn("place", F.row_number().over(W.orderBy(day)) - 1)
+
+
+def replicates(days: DataFrame, day: str, numerator: str, denominator: str, starts: np.ndarray, block: int = 1, n: int | None = None) -> DataFrame:
+    """(rep, value): ratio of sums over each replicate's days (blocks from the starts, cut at n days); the days are numbered in order."""
+    numbered = numbered_days(days, day).select("place", numerator, denominator)
+    drawn = index_table(days.sparkSession, starts, block, starts.shape[1] * block if n is None else n).join(numbered, "place")
     num, den = F.sum(F.col(numerator) * F.col("times")), F.sum(F.col(denominator) * F.col("times"))
     return drawn.groupBy("rep").agg(F.when(den > 0, num / den).alias("value")).where("value is not null")
 
@@ -47,7 +66,8 @@ def ratio_interval(days: DataFrame, day: str, numerator: str, denominator: str,
     n = days.count()
     if not n:
         return days.sparkSession.createDataFrame([], "estimate double, low double, high double, reps long")
-    values = replicates(days, day, numerator, denominator, block_starts(n, min(block, n), reps, np.random.default_rng(seed)))
+    block = min(block, n)
+    values = replicates(days, day, numerator, denominator, draw_starts(n, block, reps, np.random.default_rng(seed)), block, n)
     bounds = values.agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.count("*").alias("reps"))
     whole = days.agg((F.sum(numerator) / F.sum(denominator)).alias("estimate"))
     return whole.crossJoin(bounds)
@@ -70,12 +90,12 @@ def order_interval(days: DataFrame, day: str, flag: str, block: int, reps: int,
         return days.sparkSession.createDataFrame([(None, None)], "low double, high double")
     n = size["n"]
     block = max(1, min(block, n))
-    if reps * n > MOST_DRAWS:
-        raise ValueError("too many draws for one index table")
+    blocks = -(-n // block)
+    if reps * blocks > MOST_STARTS:
+        raise ValueError("too many draws for one bootstrap")
     draw = random.Random(seed + block)
-    starts = np.array([[draw.choice(range(n - block + 1)) for _ in range(-(-n // block))] for _ in range(reps)])
-    places = (starts[:, :, None] + np.arange(block)).reshape(reps, -1)[:, :n]
-    values = replicates(days.withColumn("_one", F.lit(1.0)), day, flag, "_one", places)
+    starts = np.array([[draw.choice(range(n - block + 1)) for _ in range(blocks)] for _ in range(reps)], dtype=np.int32)
+    values = replicates(days.withColumn("_one", F.lit(1.0)), day, flag, "_one", starts, block, n)
     ranked = F.array_sort(F.collect_list("value"))
     return values.agg(F.get(ranked, F.lit(int(0.025 * (reps - 1)))).alias("low"), F.get(ranked, F.lit(int(0.975 * (reps - 1)))).alias("high"))
 
@@ -85,12 +105,11 @@ def date_intervals(days: DataFrame, day: str, metrics: list[str], reps: int, see
     n = days.count()
     if not n:
         return days.sparkSession.createDataFrame([], "metric string, estimate double, low double, high double")
-    if reps * n > MOST_DRAWS:
-        raise ValueError("too many draws for one index table")
+    if reps * n > MOST_STARTS:
+        raise ValueError("too many draws for one bootstrap")
     rng = np.random.default_rng(seed)
-    places = np.array([rng.integers(0, n, size=n) for _ in range(reps)])
-    numbered = days.withColumn("place", F.row_number().over(W.orderBy(day)) - 1)
-    long = numbered.unpivot(["place"], metrics, "metric", "v")
-    drawn = index_table(days.sparkSession, places).join(long, "place").groupBy("rep", "metric").agg((F.sum(F.col("v") * F.col("times")) / n).alias("value"))
+    places = np.array([rng.integers(0, n, size=n) for _ in range(reps)], dtype=np.int32)
+    long = numbered_days(days, day).unpivot(["place"], metrics, "metric", "v")
+    drawn = index_table(days.sparkSession, places, 1, n).join(long, "place").groupBy("rep", "metric").agg((F.sum(F.col("v") * F.col("times")) / n).alias("value"))
     bounds = drawn.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
     return long.groupBy("metric").agg(F.avg("v").alias("estimate")).join(bounds, "metric")

@@ -127,8 +127,7 @@ def running_max_grid(spark, folder):
     """Hourly grid of January: last value and running maximum of each type by then."""
     events = table(spark, folder, "events", "event_type", "ts", "value")
     hours = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-31 23:00:00', interval 1 hour)")).alias("ts"))
-    grid = hours.withColumn("event_type", F.explode(F.array(*[F.lit(t) for t in TYPES])))
-    grid = grid.join(events.select("event_type").distinct(), "event_type", "left_semi")
+    grid = events.select("event_type").distinct().crossJoin(F.broadcast(hours))  # 744 hours beside each type
     return rounded(windows.on_grid(grid, events, ["event_type"], "ts", "value"), "last_value", "running_max")
 
 
@@ -218,9 +217,9 @@ def date_balanced_weight(spark, folder):
 
 
 @query("""
-with w as (select event_type, value, 1.0 / count(*) over (partition by cast(ts as date)) as w from events)
-select event_type, round(sum(w * value) / sum(w), 6) as weighted_mean, round(sqrt(greatest(sum(w * value * value) / sum(w) - (sum(w * value) / sum(w)) ** 2, 0)), 6) as weighted_std
-from w group by 1
+with w as (select event_type, value, 1.0 / count(*) over (partition by cast(ts as date)) as w from events),
+     m as (select event_type, sum(w * value) / sum(w) as mean from w group by 1)
+select event_type, round(any_value(mean), 6) as weighted_mean, round(sqrt(sum(w * (value - mean) * (value - mean)) / sum(w)), 6) as weighted_std from w join m using (event_type) group by 1
 """)
 def weighted_mean(spark, folder):
     events = table(spark, folder, "events", "event_type", "ts", "value").withColumn("day", F.to_date("ts"))

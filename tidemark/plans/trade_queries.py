@@ -286,7 +286,7 @@ select o_orderpriority, count(*) as dates, round(avg(p), 6) as mean_predicted, r
 def q_bin_cells(spark, folder):
     """Calibration cells: means of the days' means."""
     orders = table(spark, folder, "orders").select("o_orderpriority", F.to_date("o_orderdate").alias("day"), (F.col("o_totalprice") / 600000).alias("p"), (F.col("o_orderstatus") == "F").cast("double").alias("h"))
-    return rounded(aggregates.calibration_cells(orders, ["o_orderpriority"], "day", "p", "h"), "mean_predicted", "mean_hit", "gap")
+    return rounded(aggregates.calibration_cells(orders, ["o_orderpriority"], "day", "p", "h").drop("n"), "mean_predicted", "mean_hit", "gap")
 
 
 @query("""
@@ -294,4 +294,5 @@ select cast(extract(month from o_orderdate) as int) as month, count(distinct cas
 """)
 def support_cells(spark, folder):
     orders = table(spark, folder, "orders", "o_orderdate", "o_totalprice").withColumns({"month": F.month("o_orderdate"), "day": F.to_date("o_orderdate")})
-    return rounded(aggregates.support_cells(orders, ["month"], "day", ["o_totalprice"]), "o_totalprice_q01", "o_totalprice_q99")
+    cells = aggregates.support_cells(orders, ["month"], "day", ["o_totalprice"]).drop("supported", "o_totalprice_filled")
+    return rounded(cells, "o_totalprice_q01", "o_totalprice_q99")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -10,12 +12,12 @@ from ..sources import html_table
 from . import bootstrap, fits
 from .registry import query, r6, rounded, table
 
-_BASE = "select vec_id, list_transform(list_slice(embedding, 1, 6), lambda x: cast(x as double)) as v from embeddings"
+_BASE = "select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings"
 
 
-def _six(spark, folder):
-    """The first six components of each vector, as doubles."""
-    return table(spark, folder, "embeddings", "vec_id", "embedding").select("vec_id", F.slice("embedding", 1, 6).cast("array<double>").alias("v"))
+def _vectors(spark, folder):
+    """Every vector, as doubles."""
+    return table(spark, folder, "embeddings", "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
 @query(f"""
@@ -24,7 +26,7 @@ select vec_id, round(list_sum(list_transform(list_zip(v, u), lambda p: p[1] * p[
 """)
 def vector_dot_l1(spark, folder):
     """Dot product and L1 distance of consecutive vectors."""
-    e = _six(spark, folder)
+    e = _vectors(spark, folder)
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("u")), "vec_id")
     return pairs.select("vec_id", r6(vectors.dot(F.col("v"), F.col("u"))).alias("dot"), r6(vectors.l1(F.col("v"), F.col("u"))).alias("l1"))
 
@@ -38,7 +40,7 @@ select vec_id, round(-ln(c[1 + vec_id % 6] / list_sum(c)), 6) as log_loss,
 """)
 def normalize_log_brier(spark, folder):
     """Proper scores of vectors made into probabilities."""
-    p = _six(spark, folder).select("vec_id", vectors.normalised(F.transform("v", lambda x: F.abs(x) + 0.01)).alias("p"), (F.col("vec_id") % 6 + 1).cast("int").alias("y"))
+    p = _vectors(spark, folder).select("vec_id", vectors.normalised(F.transform("v", lambda x: F.abs(x) + 0.01)).alias("p"), (F.col("vec_id") % 6 + 1).cast("int").alias("y"))
     return p.select("vec_id", r6(vectors.log_loss(F.col("p"), F.col("y"))).alias("log_loss"), r6(vectors.brier(F.col("p"), F.col("y"))).alias("brier"), vectors.first_argmax(F.col("p")).alias("top"))
 
 
@@ -48,7 +50,7 @@ select vec_id, round(x[1] / list_sum(x), 6) as p1, round(list_max(x) / list_sum(
 """)
 def softmax_predict(spark, folder):
     """Softmax with fixed coefficients."""
-    s = _six(spark, folder).select("vec_id", vectors.softmax(F.transform("v", lambda x, i: 0.7 * x + 0.1 * (i + 1))).alias("p"))
+    s = _vectors(spark, folder).select("vec_id", vectors.softmax(F.transform("v", lambda x, i: 0.7 * x + 0.1 * (i + 1))).alias("p"))
     return s.select("vec_id", r6(F.element_at("p", 1)).alias("p1"), r6(F.array_max("p")).alias("p_max"))
 
 
@@ -83,8 +85,20 @@ def block_bootstrap_ci(spark, folder):
     return rounded(found, "estimate", "low", "high")
 
 
+#: Which features the models of the rolling fits use, and the penalties that are tried.
+MODELS, PENALTIES = {"M0": ("by_value",), "M1": ("by_mean",), "M2": ("by_value", "by_mean")}, [1e-3, 1e-2, 0.1, 1.0, 10.0]
+
+
 @query()
 def rolling_origin_fit(spark, folder):
-    """Softmax fits on expanding windows of days, each scored on the next day."""
-    events = table(spark, folder, "events", "event_id", "ts", "event_type", "value")
-    return fits.rolling_origin(fits.hourly_outcomes(events), lams=[0.01, 1.0], least_days=26)
+    """Softmax fits of three models and five penalties on expanding windows of days, each scored on the next day."""
+    rows, types = fits.hourly_outcomes(table(spark, folder, "events", "event_id", "ts", "event_type", "value"))
+    return rounded(fits.rolling_origin(rows, MODELS, PENALTIES, least_days=26, buckets=types), "log_loss", "brier", "top1")
+
+
+@query()
+def frozen_refit(spark, folder):
+    """The same models fitted once on the days before 2024-01-25, each with its frozen penalty, and scored on the days from then."""
+    rows, types = fits.hourly_outcomes(table(spark, folder, "events", "event_id", "ts", "event_type", "value"))
+    found = fits.frozen_evaluation(rows, MODELS, {"M0": 0.01, "M1": 1.0, "M2": 0.001}, dt.date(2024, 1, 25), types)
+    return rounded(found, "log_loss", "brier", "top1")
