@@ -200,6 +200,16 @@ def test_packing(spark):
         assert sorted((r["batch"], r["place"]) for r in mine) == [(k // room, k % room) for k in range(len(mine))]
 
 
+def test_long_and_repeated_rows_are_packed_exactly(spark):
+    """Lengths beyond 65,536 are boundaries as they are; rows of one doc_id and length part."""
+    lengths = [70_001, 70_002, 140_003, 3, 3, 5]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)] + [(None, 4)] * 50, "doc_id long, n long")
+    found = packing.pack(docs, buckets=6, budget=100_000, length=F.col("n"), slice_rows=10).collect()
+    assert {r["padded_length"] for r in found} == {3, 4, 5, 70_001, 70_002, 140_003}
+    fours = [r for r in found if r["padded_length"] == 4]
+    assert sorted((r["batch"], r["place"]) for r in fours) == [(0, k) for k in range(50)]
+
+
 def test_boundaries_are_optimal():
     import itertools
 

@@ -40,6 +40,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(held) > 200 and ((held["score"] >= 0.7) == wanted).mean() > 0.97
 
 
+def test_toxicity_sample_is_bounded_and_whole(spark):
+    """Repeated doc_ids do not stretch the sample; long rows and rows beyond the bytes stay out; the rest is learnt from at any size alike."""
+    rows, labels = toxic_corpus(n=300)
+    texts = dict((i, t) for i, t, *_ in rows)
+    table = spark.createDataFrame([(i, texts[i], t) for i, t, _ in labels for _ in range(2)] + [(i, "scum " * 300_000, 0) for i in range(5)] + [(None, "scum", 1), (1, None, 1), (1, "x", None)], "doc_id long, text string, label int")
+    counted = lambda **bounds: toxicity.train(table, **bounds)
+    few, many = counted(rows=50), counted()
+    weights = lambda m: dict(zip(m[0].tolist(), m[1].round(9).tolist(), strict=True))
+    assert weights(few) != weights(many) and weights(counted(sample_bytes=2000)) != weights(many)
+    assert weights(counted(row_bytes=100)) != weights(many) == weights(counted(row_bytes=1000))
+    again = toxicity.train(table.repartition(5))
+    assert (again[0] == many[0]).all() and np.allclose(again[1], many[1])
+
+
+def test_features_of_few_rows_never_weigh():
+    """Leaving out features whose rows times rounds are within L1 changes no weight."""
+    import pyarrow as pa
+
+    rows, labels = toxic_corpus(n=200)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t, *_ in rows]), pa.array([float(t) for _, t, _ in labels])], names=["text", "label"])
+    [mine] = toxicity._learner(toxicity.Ftrl(), 8)([batch])
+    every = toxicity._repeated
+    try:
+        toxicity._repeated = lambda texts, least: every(texts, 1)
+        [whole] = toxicity._learner(toxicity.Ftrl(), 8)([batch])
+    finally:
+        toxicity._repeated = every
+    assert mine["feature"].equals(whole["feature"]) and mine.num_rows > 3
+    assert np.allclose(mine["weight"].to_numpy(), whole["weight"].to_numpy(), rtol=1e-9)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -1,10 +1,9 @@
 """Toxicity scores from FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct unigrams, bigrams and one-gap skip-grams of a whole
-text, each a 64-bit hash. Training deals a bounded sample of labelled rows to
-slices; in each round every slice runs FTRL-proximal once over its rows from the
-common state, and the per-coordinate state (z, n) is averaged over the slices.
-L1 leaves few weights, which are broadcast for scoring.
+text, each a 64-bit hash. Training takes a sample of labelled rows, bounded in
+rows and in bytes, and goes over it in rounds with per-coordinate rates. L1
+leaves few weights, which are broadcast for scoring.
 """
 
 from __future__ import annotations
@@ -13,9 +12,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import Workspace
@@ -24,10 +23,8 @@ from .text import LOWER, NOT_ALNUM, chunks, mix, release, signed, split_words, t
 _U = np.uint64
 _BIGRAM, _SKIP = _U(0xD1342543DE82EF95), _U(0xAF251AF3B0F025B5)
 BIAS = 0
-#: Model size: coordinates of the largest |z| that a round keeps.
-MOST_WEIGHTS = 1 << 18
-#: A smaller sample is dealt to fewer slices, which then see enough rows each.
-SLICE_ROWS = 8_000
+#: States of a round that enter the mean.
+STATES = 16
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
@@ -47,9 +44,9 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
 class Ftrl:
     """Rates and penalties of FTRL-proximal; ``weights`` is its closed form of the state."""
 
-    alpha: float = 3.0
+    alpha: float = 5.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 8.0
     l2: float = 0.0
 
     def weights(self, z: np.ndarray, n: np.ndarray, free: np.ndarray | None = None) -> np.ndarray:
@@ -70,81 +67,93 @@ class Ftrl:
             n[x] += g * g
 
 
-def _slice_learner(shared, ftrl: Ftrl):
-    """One pass over a slice from the common state; coordinates that L1 clearly holds at 0 stay out."""
-
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["deal", "text"])
-        texts = pa.array(part["text"], pa.string())
-        known, z0, n0 = shared.value
-        # A new feature's |z| stays below the number of its rows. One that can't reach what is kept below has no
-        # weight meanwhile, so it is left out; rows are counted by leading bits, never too low.
-        counts = np.zeros(1 << 24, dtype=np.uint8)
-        for f in features(texts):
-            place = f >> _U(40)
-            counts[place] = np.minimum(counts[place], 254) + 1
-        counts[known >> _U(40)] = 255
-        rows = [np.unique(np.append(f[counts[f >> _U(40)] > ftrl.l1 / 2], _U(BIAS))) for f in features(texts)]
-        names = np.unique(np.concatenate([known, *rows]))
-        z, n = np.zeros(len(names)), np.zeros(len(names))
-        at = np.searchsorted(names, known)
-        z[at], n[at] = z0, n0
-        for i, x in enumerate(rows):
-            rows[i] = np.searchsorted(names, x)
-        ftrl.learn(rows, part["label"].to_numpy(), z, n, int(np.searchsorted(names, BIAS)))
-        keep = (np.abs(z) > ftrl.l1 / 2) | (names == BIAS)
-        del rows, counts
+def _distinct(column: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct features of each text, and the bias."""
+    return (np.unique(np.append(f, _U(BIAS))) for f in features(column))
+
+
+def _repeated(texts: list[pa.Array], least: int) -> np.ndarray:
+    """The features that at least so many texts have, in order, and the bias."""
+    every = np.concatenate([np.zeros(0, dtype=_U), *(x for t in texts for x in _distinct(t))])
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.append(first, len(every)))
+    return np.union1d(every[first[counts >= least]], [_U(BIAS)])
+
+
+def _learner(ftrl: Ftrl, rounds: int):
+    """All rounds over the sample (text, label) of one task; yields the weights that are not 0, and the bias.
+
+    The weights are those of the mean state (z, n) over the second half of the
+    rounds, so that the last rows do not decide.
+    While a weight is 0 an update changes its z by less than 1. A feature in so
+    few rows that rounds times rows is at most L1 is therefore 0 at all times and
+    has no part in any score: it is left out, which changes nothing.
+    """
+
+    def learn(batches):
+        texts, labels = [], []
+        for batch in batches:
+            texts.append(batch.column(0))
+            labels.append(batch.column(1).to_numpy(zero_copy_only=False))
+        names = _repeated(texts, int(ftrl.l1 // rounds) + 1)
+        rows = []
+        for x in (x for t in texts for x in _distinct(t)):
+            at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+            rows.append(at[names[at] == x].astype(np.int32))
+        bias = int(np.searchsorted(names, _U(BIAS)))
+        z, n, y = np.zeros(len(names)), np.zeros(len(names)), np.concatenate([np.zeros(0), *labels])
+        z_sum, n_sum, taken = np.zeros(len(names)), np.zeros(len(names)), 0
+        for k in range(rounds):
+            for part in np.array_split(np.arange(len(rows)), STATES):
+                ftrl.learn([rows[i] for i in part], y[part], z, n, bias)
+                if 2 * k >= rounds:
+                    z_sum, n_sum, taken = z_sum + z, n_sum + n, taken + 1
+        weights = ftrl.weights(z_sum / max(taken, 1), n_sum / max(taken, 1), np.arange(len(names)) == bias)
+        keep = (weights != 0) | (np.arange(len(names)) == bias)
+        del rows, texts
         release()
-        return pd.DataFrame({"feature": signed(names[keep]), "z": z[keep], "n": n[keep]})
+        yield pa.RecordBatch.from_arrays([pa.array(signed(names[keep])), pa.array(weights[keep])], names=["feature", "weight"])
 
     return learn
 
 
-def train(labelled: DataFrame, rows: int = 24_000, slices: int = 3, rounds: int = 4, ftrl: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
+def train(labelled: DataFrame, rows: int = 24_000, sample_bytes: int = 40 << 20, row_bytes: int = 1 << 20, rounds: int = 8, ftrl: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature hashes and their weights from labelled(doc_id, text, label).
 
-    rows: the bound on the sample; the rows with the least hash of doc_id are
-    taken. Rows with a null label or doc_id are left out. Without rows of both
-    labels the model is the bias alone (0: every score is 0.5).
+    The bounds of the sample: at most ``rows`` rows of together ``sample_bytes``
+    of text, none of more than ``row_bytes``; of the labelled rows those with the
+    least hash of doc_id and text are taken, whole. One task learns from them, at
+    every size of the input. Rows with a null label, doc_id or text are left out;
+    repeated doc_ids count as rows each. Without rows of both labels the model is
+    the bias alone (without any rows 0: every score is 0.5).
     """
-    spark = labelled.sparkSession
-    work = Workspace(spark, "toxicity")
-    sample = labelled.where("label is not null and doc_id is not null").withColumn("deal", F.xxhash64("doc_id"))
-    # By id first: texts of rows outside the sample are not sorted.
-    chosen = work.keep(sample.select("doc_id", "deal").orderBy("deal", "doc_id").limit(rows), "sample")
-    slices = max(1, min(slices, chosen.count() // SLICE_ROWS))
-    sample = sample.drop("deal").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
-    sample = work.keep(sample.select("deal", "text", F.col("label").cast("double").alias("label"), F.pmod("deal", F.lit(slices)).cast("int").alias("slice")).repartition(slices, "slice"), "rows")
-
-    state = (np.array([BIAS], dtype=_U), np.zeros(1), np.zeros(1))
-    for _ in range(rounds):
-        learn = _slice_learner(spark.sparkContext.broadcast(state), ftrl)
-        learnt = sample.groupBy("slice").applyInPandas(learn, "feature long, z double, n double")
-        mean = learnt.groupBy("feature").agg((F.sum("z") / slices).alias("z"), (F.sum("n") / slices).alias("n"))
-        top = mean.orderBy(F.col("feature") != BIAS, F.abs("z").desc(), "feature").limit(MOST_WEIGHTS).toPandas()
-        if not len(top):
-            break
-        state = (signed_to_hash(top["feature"]), top["z"].to_numpy(), top["n"].to_numpy())
-    names, z, n = state
-    weights = ftrl.weights(z, n, names == BIAS)
-    keep = (weights != 0) | (names == BIAS)
-    order = np.argsort(names[keep])
-    return names[keep][order], weights[keep][order]
+    work = Workspace(labelled.sparkSession, "toxicity")
+    known = labelled.where("label is not null and doc_id is not null and text is not null").select("doc_id", "text", F.col("label").cast("double").alias("label"), F.octet_length("text").cast("long").alias("size"))
+    known = known.where(F.col("size") <= row_bytes).withColumn("deal", F.xxhash64("doc_id", "text"))
+    # The rows are bounded before the bytes are added up, so this is a window over that many rows.
+    order = ["deal", "doc_id", "label"]
+    chosen = work.keep(known.orderBy(*order).limit(rows), "chosen")
+    sample = chosen.withColumn("sum", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("sum") <= sample_bytes)
+    learnt = sample.repartition(1).sortWithinPartitions(*order).select("text", "label").mapInArrow(_learner(ftrl, rounds), "feature long, weight double").toPandas()
+    names, weights = signed_to_hash(learnt["feature"]), learnt["weight"].to_numpy()
+    order = np.argsort(names)
+    return names[order], weights[order]
 
 
 def signed_to_hash(values) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.int64).view(_U)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` with ``score``: the probability of the positive label, from the whole text.
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of the positive label, from the whole text.
 
     Null, empty and wordless texts get the score of the bias alone. All other
-    columns stay; one named score is replaced.
+    columns stay; one of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*kept).schema.add("score", "double")
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    schema = docs.select(*kept).schema.add(name, "double")
     at = kept.index("text")
 
     def apply(batches):
@@ -159,7 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 place = np.minimum(np.searchsorted(names, f), len(names) - 1)
                 hit = np.unique(place[(names[place] == f) & (f != BIAS)])
                 scores.append(1.0 / (1.0 + np.exp(-np.clip(bias + weights[hit].sum(), -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*kept, name])
             release()
 
     return docs.select(*kept).mapInArrow(apply, schema)
@@ -173,8 +182,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, **options) -> tuple[np.ndarray, np.ndarray]:
     """A model from the rows of docs that labels(doc_id, toxic) marks and that are not held out."""
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = options.get("rows", 24_000)
-    # The sample is bounded before the texts are read: the marks are a table of that many rows.
+    # The marks are bounded before the texts are read: a table of that many rows.
     work = Workspace(docs.sparkSession, "toxicity-marks")
-    some = work.keep(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "marks")
+    some = work.keep(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.get("rows", 24_000)), "marks")
     return train(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), **options)
