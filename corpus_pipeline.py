@@ -1,8 +1,9 @@
 """Corpus pipeline: toxic documents go, one of each near-duplicate class stays, repeated passages and
 benchmark-contaminated documents go, and the rest is packed into batches.
 
-doc_ids may repeat or be null. The first stage gives each row a key, which is
-written with its result; what goes by near copies or contamination goes by that.
+doc_ids may repeat or be null. Stages that decide by row write a copy of what
+they get with a key of their own, under a name that no column has, and return
+the columns that they got.
 """
 
 from __future__ import annotations
@@ -13,13 +14,22 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, jaccard, packing, substring, toxicity
 from tidemark.llm.storage import Workspace, hint_small
 
-#: Tells rows apart from the first stage to the last but one.
-ROW = "row_key"
 
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as make them names of no column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
-    """docs with written row keys."""
-    return docs if ROW in docs.columns else work.keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+def _keyed(docs: DataFrame, work: Workspace) -> tuple[DataFrame, str]:
+    """A written copy of docs with row keys, and the keys' name."""
+    [row] = _fresh(docs, "row_key")
+    return work.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +37,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and wordless texts score by the bias alone. Repeated rows and
     null doc_ids are scored each. Without labels of both kinds every score is
-    0.5, so all stay; a table without rows gives none.
+    that of the bias, 0.5 without labels, so that all stay then; a table without
+    rows gives none.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score < 0.7").select(*docs.columns, F.monotonically_increasing_id().alias(ROW))
+    [score] = _fresh(docs, "score")
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.7).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +53,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null, empty and wordless texts are in no class and stay. No rows give none.
     """
     work = Workspace(spark, "pipeline")
-    docs = _keyed(docs, work)
-    classes = jaccard.near_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text"), words=5, threshold=(80, 100))
-    linked = work.keep(classes.where("component_id <> doc_id").select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component")), "linked")
-    members = work.keep(linked.unionByName(linked.select(F.col("component").alias(ROW), "component").distinct()), "members")
-    members = work.keep(docs.select(ROW, "doc_id").join(hint_small(members, 32), ROW), "members-ids")
-    stays = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW))[ROW].alias("stays"))
-    gone = work.keep(members.join(hint_small(work.keep(stays, "stays"), 32), "component").where(F.col(ROW) != F.col("stays")).select(ROW), "duplicates")
-    return docs.join(gone, ROW, "left_anti").select(*docs.columns)
+    keyed, row = _keyed(docs, work)
+    classes = jaccard.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), words=5, threshold=(80, 100))
+    linked = work.keep(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "linked")
+    members = work.keep(linked.unionByName(linked.select(F.col("component").alias("row"), "component").distinct()), "members")
+    members = work.keep(keyed.select(F.col(row).alias("row"), "doc_id").join(hint_small(members, 32), "row"), "members-ids")
+    stays = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))["row"].alias("stays"))
+    gone = members.join(hint_small(work.keep(stays, "stays"), 32), "component").where("row <> stays")
+    return keyed.join(work.keep(gone.select(F.col("row").alias(row)), "duplicates"), row, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,28 +68,34 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Earlier is a smaller doc_id. Rows with a null doc_id stay whole and take
     nothing from others; rows of one doc_id are not compared with each other.
-    Null and empty texts stay as they are. No rows give none.
+    Null and empty texts stay as they are. n_chars, if there is one, follows the
+    text. No rows give none.
     """
     work = Workspace(spark, "pipeline")
-    found = substring.remove_repeats(docs, width=50, with_text=True)
-    changed = work.keep(found.where("n_removed > 0").select("doc_id", "text_key", "kept").dropDuplicates(["doc_id", "text_key"]), "changed")
-    joined = docs.withColumn("text_key", substring.text_key(F.col("text"))).join(changed, ["doc_id", "text_key"], "left")
-    whole = joined.where("kept is null or kept <> ''")
-    text = F.coalesce("kept", "text")
-    return whole.withColumns({"n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType), "text": text}).select(*docs.columns)
+    key, kept = _fresh(docs, "text_key", "kept")
+    found = substring.remove_repeats(docs.select("doc_id", "text"), width=50, with_text=True)
+    changed = work.keep(found.where("n_removed > 0").select("doc_id", F.col("text_key").alias(key), F.col("kept").alias(kept)).dropDuplicates(["doc_id", key]), "changed")
+    joined = docs.withColumn(key, substring.text_key(F.col("text"))).join(changed, ["doc_id", key], "left")
+    whole = joined.where(F.col(kept).isNull() | (F.col(kept) != ""))
+    new = {"text": F.coalesce(kept, "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+    return whole.withColumns(new).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs.
 
     A row goes by its own text, whatever its doc_id: null and repeated doc_ids
-    are judged each. Null and empty texts stay; without items all stay.
+    are judged each. Null and empty texts stay; without items all stay. No rows
+    give none.
     """
     work = Workspace(spark, "pipeline")
-    docs = _keyed(docs, work)
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10, row=ROW)
-    gone = work.keep(found.where("contaminated").select(ROW), "contaminated")
-    return docs.join(gone, ROW, "left_anti").select(*docs.columns)
+    keyed, row = _keyed(docs, work)
+    texts = keyed.select(F.col(row).alias("row"), "doc_id", "text")
+    found = decontaminate.contamination(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10, row="row")
+    gone = work.keep(found.where("contaminated").select(F.col("row").alias(row)), "contaminated")
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
