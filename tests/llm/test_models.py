@@ -244,3 +244,56 @@ def test_urls(spark):
             assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
     assert urls.judge(pages.limit(0), URL_RULES).count() == 0
     assert {r["verdict"] for r in urls.judge(pages.where("page_id = 900"), URL_RULES).collect()} == {"allow"}
+
+
+PROSE = "It was a bright cold day in April, and the clocks were striking thirteen. Someone slipped quickly through the doors."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="content-sidebar-wrap"><main><article><p>{PROSE}</p></article></main><aside class="sidebar"><p>More of it here.</p></aside></div>', [PROSE]),
+        (f'<div id="banner-container"><main><p>{PROSE}</p></main></div>', [PROSE]),
+        (f'<div class="layout with-sidebar"><div id="text"><h1>A title</h1><p>{PROSE}</p></div></div>', ["A title", PROSE]),
+        (f'<div class="sidebar-layout"><h1>A title</h1><p>{PROSE}</p><p>{PROSE}</p><div class="sidebar"><p>Follow us, read more.</p></div></div>', ["A title", PROSE, PROSE]),
+        (f'<article><div class="article-header"><h1>A title</h1></div><p>{PROSE}</p></article>', ["A title", PROSE]),
+        (f'<article><h1 class="header">A title</h1><p>{PROSE}</p><p class="search">{PROSE}</p></article>', ["A title", PROSE, PROSE]),
+        (f'<article><h1>A title</h1><p>{PROSE}</p></article><section class="comments"><article class="comment"><p>{PROSE * 4}</p></article><article><p>{PROSE * 3}</p></article></section>', ["A title", PROSE]),
+        (f'<div class="post"><h1>A title</h1><p>{PROSE}</p></div><div id="comments">' + f'<div class="reply"><p>{PROSE * 2}</p></div>' * 6 + "</div>", ["A title", PROSE]),
+        ('<nav><a href="x">Home</a></nav><div class="cookie-notice"><p>We use cookies to make this site better for you, and for others.</p></div>', []),
+        (f'<div class="sidebar"><h3>More</h3><p>{PROSE}</p></div><article><p>{PROSE}</p><p>{PROSE}</p></article>', [PROSE, PROSE]),
+    ],
+)
+def test_names_of_wrappers_do_not_empty_an_article(page, want):
+    assert html.main_text(f"<html><body><header class='site'><a href='/'>Home</a></header>{page}<footer>All rights reserved.</footer></body></html>").split("\n") == (want or [""])
+
+
+def test_trees_learn_from_what_urls_look_like(spark, tmp_path):
+    """Labels that follow digits and parameters, not suffixes: hosts that were not trained on, and suffixes that no rule knows, are told apart."""
+    from tidemark.llm.storage import Workspace
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = []
+    for i in range(900):
+        suffix = rng.choice(["com", "net"]) if i < 700 else rng.choice(["org", "info", "io"])
+        spam = i % 2
+        url = f"http://{word(4)}{digits(6)}.{suffix}/{digits(9)}?a={digits(5)}&b={digits(4)}" if spam else f"https://{word(9)}.{suffix}/{word(6)}/{word(5)}"
+        rows.append((i, url, float(spam)))
+    table = urls.lexical(spark.createDataFrame(rows, "page_id long, url string, label double"))
+    work = Workspace(spark, "test-urls")
+    quality = urls.held_out_quality(table.where("page_id < 700"), work, trees=4).first()
+    assert quality["rows"] > 80 and quality["accuracy"] > 0.95 > quality["commonest"] and quality["log_loss"] < 0.3
+    model = urls.train(urls.folded(table.where("page_id < 700")), work, trees=4)
+    scored = model.score(table.where("page_id >= 700").withColumn("fold", F.lit(-1))).collect()
+    assert len(scored) == 200 and np.mean([(r["block_score"] >= 0.5) == (r["label"] == 1) for r in scored]) > 0.95
+    with pytest.raises(ValueError):
+        urls.held_out_quality(table.withColumn("label", F.lit(0.0)), work)
+
+
+def test_suffix_statistics_leave_the_fold_out(spark):
+    rows = [("com", f, float(y)) for f in range(3) for y in (0, 0, f == 1)] + [("net", 0, 1.0)]
+    got = {(r["suffix"], r["fold"]): r for r in urls.suffix_statistics(spark.createDataFrame(rows, "suffix string, fold int, label double"), 0.2).collect()}
+    assert got["com", 1]["suffix_odds"] == pytest.approx(np.log((0 + 2) / (6 + 8))) and got["com", -1]["suffix_odds"] == pytest.approx(np.log((1 + 2) / (8 + 8)))
+    assert got["net", 0]["suffix_odds"] == pytest.approx(np.log(0.2 / 0.8)) and got["net", 0]["suffix_seen"] == 0

@@ -59,11 +59,12 @@ def test_stages_with_clashing_names_nulls_and_repeats(spark, tmp_path):
     """Every stage beside columns that are named as those that it makes; with null and repeated doc_ids; and on no rows."""
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(3, 7)))
+    some = lambda n: " ".join(word() for _ in range(n))
     labelled = [(i, " ".join([word() for _ in range(30)] + ["scum", "vile"] * (i % 4 == 0))) for i in range(300)]
     clean = [" ".join(word() for _ in range(120)) for _ in range(4)]
     passage, item = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(12))
     rows = labelled + [(None, f"scum vile {word()} scum"), (8, "vile scum"), (7, clean[0]), (None, clean[1]), (None, clean[1]), (1000, clean[2]), (1000, clean[2]), (1000, clean[2])]
-    rows += [(2000, f"{clean[3]} {passage}"), (2001, f"{passage} {word()}"), (None, f"{word()} {passage}"), (3000, f"{item} {' '.join(word() for _ in range(60))}"), (None, f"{word()} {item}"), (None, None), (None, ""), (7, "")]
+    rows += [(2000, f"{clean[3]} {passage}"), (2001, f"{passage} {some(60)}"), (None, f"{some(60)} {passage}"), (3000, f"{item} {some(60)}"), (None, f"{word()} {item}"), (None, None), (None, ""), (7, "")]
     schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)
     docs = spark.createDataFrame([(i, t, *[f"{c}{k}" for c in CLASHES]) for k, (i, t) in enumerate(rows)], schema)
     spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

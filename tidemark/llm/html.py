@@ -36,6 +36,12 @@ _PARTS = r"area|articles?|bar|block|box|buttons?|container|content|form|inner|it
 #: A class, id or role that is one of the names, alone or with words for a part of a page: NAMED. One that holds a name beside other words only hints at furniture.
 NAMED = re.compile(rf"(?:(?:{_PARTS})[-_])*(?:{_NAMES})(?:[-_](?:{_NAMES}|{_PARTS}))*", re.I)
 HINT = re.compile(rf"(?<![a-z])(?:{_NAMES})(?![a-z])", re.I)
+#: Names of what readers write: they hold for all inside, articles too.
+READERS = re.compile(r"(?<![a-z])(?:comments?|replies|respond|disqus)(?![a-z])", re.I)
+#: Names of an article's own head, which count for nothing inside one.
+HEADS = re.compile(rf"(?:(?:{_PARTS})[-_])*(?:header|masthead)(?:[-_](?:{_PARTS}))*", re.I)
+#: Elements of text itself: a name on one inside an article is only a hint.
+TEXTUAL = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 #: A value is quoted only if a quote comes right after the equals sign; other values may hold quotes.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
@@ -44,9 +50,36 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"
 
 #: Weights of the block score; above 0 is content. They are set by hand, as log-odds: prose of twenty words and two
 #: stops outweighs a link or two; an element of the article outweighs missing prose; furniture and names of it outweigh
-#: both. A hint counts as a name outside of article and main; inside it is one soft cost, less than a sentence.
+#: both. A hint counts as a name outside of article and main; inside it is one soft cost, less than a sentence. A name
+#: counts only for what surrounds the article, not for a wrapper of it (see Name).
 WEIGHTS = {"bias": 0.3, "words": 0.35, "stops": 0.4, "links": -4.0, "furniture": -8.0, "content": 3.0, "named": -6.0, "hinted": -1.0, "heading": 0.6}
 ADJACENT, SIBLING = 0.5, 0.7
+#: A wrapper holds so much of the page's prose: text of blocks of so many words that are not mostly links.
+WRAPPER_SHARE, PROSE_WORDS = 0.8, 8
+
+
+@dataclass(eq=False)
+class Name:
+    """An element with a name of furniture (level 2) or a hint at one (1), and what its subtree holds.
+
+    It is taken for a wrapper of the article, and its name counts for nothing, if
+    it holds an article or main element, or WRAPPER_SHARE of the page's prose:
+    under a hint at once, under a full name if that is several blocks below a
+    heading. Names of reader comments always count.
+    """
+
+    level: int
+    readers: bool
+    article: bool = False
+    heading: bool = False
+    prose: int = 0
+    prose_blocks: int = 0
+
+    def wraps(self, prose: int) -> bool:
+        if self.readers:
+            return False
+        most = prose > 0 and self.prose >= WRAPPER_SHARE * prose
+        return self.article or most and (self.level == 1 or self.heading and self.prose_blocks > 1)
 
 
 @dataclass
@@ -56,9 +89,11 @@ class Block:
     parent: int
     furniture: bool
     content: bool
-    #: 2 under a name of furniture, 1 under a hint at one.
-    named: int
+    #: The names over it, up to the article that it lies in.
+    names: tuple[Name, ...]
     heading: bool
+    #: 2 under a name of furniture, 1 under a hint at one.
+    named: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -70,7 +105,7 @@ class _Open:
     number: int
     furniture: bool
     content: bool
-    named: int
+    names: tuple[Name, ...]
     #: svg, math or select, if tags are read by its rules here.
     inside: str = ""
 
@@ -89,7 +124,7 @@ def _ended(page: str, tag: str) -> set[int]:
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; scripts, styles, comments and markup leave none."""
     out: list[Block] = []
-    root = _Open("", 0, False, False, 0)
+    root = _Open("", 0, False, False, ())
     stack, count, current, links = [root], 0, None, 0
     at, size = 0, len(page)
     ended: dict[str, set[int]] = {}
@@ -102,7 +137,7 @@ def blocks(page: str) -> list[Block]:
             holder = next((e for e in reversed(stack) if e.tag not in INLINE), root)
             top = stack[-1]
             outer = stack[-2].number if holder is stack[-1] and len(stack) > 1 else holder.number
-            current = Block(outer, top.furniture, top.content, top.named, holder.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+            current = Block(outer, top.furniture, top.content, top.names, holder.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
             out.append(current)
         current.parts.append(raw)
         if links:
@@ -152,10 +187,20 @@ def blocks(page: str) -> list[Block]:
             links -= sum(e.tag == "a" for e in stack[place:])
             del stack[place:]
         above = stack[-1]
-        named = 0
-        if "=" in attributes and tag not in CONTENT and tag not in ("html", "body"):
-            names = " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role")).split()
-            named = 2 if any(map(NAMED.fullmatch, names)) else 1 if any(map(HINT.search, names)) else 0
+        names, content = above.names, above.content
+        if "=" in attributes and tag not in ("html", "body"):
+            words = " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role")).split()
+            readers = any(map(READERS.search, words))
+            if content:
+                words = [w for w in words if not HEADS.fullmatch(w)]
+            full, hinted = any(map(NAMED.fullmatch, words)), any(map(HINT.search, words))
+            if hinted and (tag not in CONTENT or readers):
+                names = (*names, Name(1 if not full or content and tag in TEXTUAL else 2, readers))
+        if tag in CONTENT and not any(n.readers for n in names):
+            content = True
+            for name in names:
+                name.article = True
+            names = ()
         hidden = "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden=.?true", attributes) is not None
         count += 1
         furniture = above.furniture or tag in FURNITURE and not (tag == "header" and above.content) or hidden
@@ -164,12 +209,28 @@ def blocks(page: str) -> list[Block]:
                 ended[tag] = _ended(page, tag)
             furniture = found.start() in ended[tag]
         inside = "" if tag == "template" or inside and tag in HOLDERS else tag if tag in ENDS else above.inside
-        stack.append(_Open(tag, count, furniture, above.content or tag in CONTENT, max(above.named, named), inside))
+        stack.append(_Open(tag, count, furniture, content, names, inside))
         links += tag == "a"
 
     for block in out:
         block.text = " ".join(html.unescape("".join(block.parts)).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _settle(out)
+    return out
+
+
+def _settle(found: list[Block]) -> None:
+    """Decide which names count for each block, now that all of the page is known."""
+    total = 0
+    for block in found:
+        prose = len(block.text) if block.text.count(" ") + 1 >= PROSE_WORDS and 2 * block.linked < sum(map(len, block.parts)) and not block.furniture else 0
+        total += prose
+        for name in block.names:
+            name.heading |= block.heading
+            name.prose += prose
+            name.prose_blocks += prose > 0
+    for block in found:
+        block.named = max((n.level for n in block.names if not n.wraps(total)), default=0)
 
 
 def score(block: Block) -> float:

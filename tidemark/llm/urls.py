@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+import uuid
+from dataclasses import dataclass
+
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -12,6 +15,8 @@ from .storage import Workspace, hint_small
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
+#: Folds of hosts, and the urls' weight that draws a suffix's odds to those of all urls.
+FOLDS, PRIOR = 5, 10.0
 FEATURES = ["length", "host_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "secure", "suffix_seen", "suffix_odds"]
 
 
@@ -70,25 +75,85 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(suffix, suffix_seen, suffix_odds) over all labelled rows: log count and smoothed log-odds of a block."""
-    counts = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-    odds = F.log((F.col("blocked") + 1) / (F.col("n") - F.col("blocked") + 1))
-    return counts.select("suffix", F.log1p("n").alias("suffix_seen"), odds.alias("suffix_odds"))
+def _odds(blocked: Column, n: Column, base: float) -> Column:
+    """Log-odds of a block, drawn to those of all urls as if by PRIOR urls more."""
+    return F.log((blocked + PRIOR * base) / (n - blocked + PRIOR * (1 - base)))
+
+
+def suffix_statistics(labelled: DataFrame, base: float) -> DataFrame:
+    """(suffix, fold, suffix_seen, suffix_odds) over all labelled rows: log count and smoothed log-odds of a block.
+
+    Those of a fold leave out the hosts of that fold, so that no url's own label
+    is in its features; fold -1 has all, for urls without a label.
+    """
+    each = labelled.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    every = each.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"))
+    others = each.join(every, "suffix").select("suffix", "fold", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_blocked") - F.col("blocked")).alias("blocked"))
+    whole = every.select("suffix", F.lit(-1).alias("fold"), F.col("all_n").alias("n"), F.col("all_blocked").alias("blocked"))
+    return others.unionByName(whole).select("suffix", "fold", F.log1p("n").alias("suffix_seen"), _odds(F.col("blocked"), F.col("n"), base).alias("suffix_odds"))
+
+
+@dataclass
+class UrlModel:
+    """Trees over lexical features and suffix statistics."""
+
+    trees: GBTClassificationModel
+    statistics: DataFrame
+    base: float
+
+    def score(self, rows: DataFrame, name: str = "block_score") -> DataFrame:
+        """rows of lexical with a fold (-1: not trained on) and the probability of a block."""
+        scored = self.trees.transform(_assembled(rows.join(self.statistics, ["suffix", "fold"], "left"), self.base))
+        return scored.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "suffix_seen", "suffix_odds")
+
 
+def _assembled(rows: DataFrame, base: float) -> DataFrame:
+    """rows with the feature vector; a suffix that was not seen has the odds of all urls."""
+    unseen = F.log(F.lit(base / (1 - base)))
+    rows = rows.withColumns({"suffix_seen": F.coalesce("suffix_seen", F.lit(0.0)), "suffix_odds": F.coalesce("suffix_odds", unseen)})
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 
-def _with_statistics(rows: DataFrame, statistics: DataFrame) -> DataFrame:
-    joined = rows.join(statistics, "suffix", "left").na.fill(0.0, ["suffix_seen", "suffix_odds"])
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined)
 
+def folded(labelled: DataFrame) -> DataFrame:
+    """labelled with the fold of each host."""
+    return labelled.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
 
-def train(labelled: DataFrame, statistics: DataFrame, work: Workspace, rows: int = 20_000, trees: int = 12, depth: int = 4):
-    """Boosted trees from at most ``rows`` labelled rows (least hash of the url); None unless both labels occur."""
-    features = [c for c in FEATURES if not c.startswith("suffix_")]
-    sample = work.keep(labelled.select("suffix", "label", *features, F.xxhash64("url", "host").alias("deal")).orderBy("deal").limit(rows), "sample")
-    if sample.select("label").distinct().count() < 2:
+
+def train(labelled: DataFrame, work: Workspace, rows: int = 20_000, trees: int = 12, depth: int = 4) -> UrlModel | None:
+    """A model from labelled(url, label, the columns of lexical and folded); None unless both labels occur.
+
+    The statistics cover all rows; the trees learn from at most ``rows`` of them
+    (least hash of the url). Each is learnt from twice, with its suffix's
+    statistics from the other hosts and as if its suffix had not been seen, so
+    that urls of new suffixes are judged by what they look like.
+    """
+    known = labelled.agg(F.avg("label")).first()[0]
+    if known is None or known in (0.0, 1.0):
         return None
-    return GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=7).fit(_with_statistics(sample, statistics).select("features", "label"))
+    statistics = hint_small(work.keep(suffix_statistics(labelled, known), f"suffixes-{uuid.uuid4().hex}"), 100)
+    lexical_only = [c for c in FEATURES if not c.startswith("suffix_")]
+    sample = work.keep(labelled.select("suffix", "fold", "label", *lexical_only, F.xxhash64("url", "host").alias("deal")).orderBy("deal").limit(rows), f"sample-{uuid.uuid4().hex}")
+    unseen = sample.withColumns({"suffix_seen": F.lit(None).cast("double"), "suffix_odds": F.lit(None).cast("double")})
+    both = sample.join(statistics, ["suffix", "fold"], "left").unionByName(unseen)
+    if both.select("label").distinct().count() < 2:
+        return None
+    fitted = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=7).fit(_assembled(both, known).select("features", "label"))
+    return UrlModel(fitted, statistics, known)
+
+
+def held_out_quality(labelled: DataFrame, work: Workspace, **options) -> DataFrame:
+    """One row (rows, accuracy, commonest, log_loss): a model of all folds but the first, on the hosts of the first.
+
+    commonest is the accuracy of always naming the commoner label.
+    """
+    rows = folded(labelled)
+    model = train(rows.where("fold <> 0"), work, **options)
+    if model is None:
+        raise ValueError("urls of both labels are wanted")
+    scored = model.score(rows.where("fold = 0").withColumn("fold", F.lit(-1)))
+    p = F.least(F.greatest("block_score", F.lit(1e-6)), F.lit(1 - 1e-6))
+    right = ((F.col("block_score") >= 0.5) == (F.col("label") == 1)).cast("double")
+    return scored.agg(F.count("*").alias("rows"), F.avg(right).alias("accuracy"), F.greatest(F.avg("label"), 1 - F.avg("label")).alias("commonest"), F.avg(-F.log(F.when(F.col("label") == 1, p).otherwise(1 - p))).alias("log_loss"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, **options) -> DataFrame:
@@ -104,13 +169,12 @@ def judge(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, **options
     verdict, name = first_rule(rules, lambda r: r[0]), first_rule(rules, lambda r: r[1] + r[2])
     rows = lexical(pages.select("page_id", "url")).withColumns({"ruled": verdict, "rule": name})
     rows = work.keep(rows, "features")
-    labelled = rows.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    statistics = hint_small(work.keep(suffix_statistics(labelled), "suffixes"), 100)
-    model = train(labelled, statistics, work, **options)
+    labelled = folded(rows.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double")))
+    model = train(labelled, work, **options)
     if model is None:
         only = labelled.agg(F.coalesce(F.max("label"), F.lit(0.0))).first()[0]
         scored = rows.withColumn("block_score", F.lit(float(only)))
     else:
-        scored = model.transform(_with_statistics(rows, statistics)).withColumn("block_score", vector_to_array("probability")[1])
+        scored = model.score(rows.withColumn("fold", F.lit(-1)))
     learnt = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", learnt).alias("verdict"), "block_score")
