@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.sources import captures, html_table, rest
+from tidemark.operators import census
 from tidemark.streaming import jobs
 
 
@@ -139,7 +140,9 @@ def test_raw_batches_are_stored_before_they_are_parsed(spark, tmp_path):
 
 
 def test_missing_and_pending(spark):
-    seen = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "cycle int, conid string")
-    lost = jobs.missing_per_cycle(spark.createDataFrame([("a",), ("b",)], "conid string"), seen, "cycle", "conid")
-    assert [tuple(r) for r in lost.collect()] == [(2, ["b"])]
-    assert jobs.pending(seen.select("cycle").distinct(), spark.createDataFrame([(1, "PASS"), (2, "FAIL")], "cycle int, status string"), "cycle").count() == 1
+    seen = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (4, "c")], "cycle int, conid string").withColumn("s", F.lit("x"))
+    cycles = spark.createDataFrame([("x", c) for c in (1, 2, 3)] + [("y", 1)], "s string, cycle int")
+    expected = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "a")], "s string, conid string")
+    lost = census.missing_keys(cycles, expected, seen, ["s"], ["cycle"], ["conid"])
+    assert sorted(tuple(r) for r in lost.collect()) == [("x", 2, "b"), ("x", 3, "a"), ("x", 3, "b")]
+    assert jobs.pending(seen.select("cycle").distinct(), spark.createDataFrame([(1, "PASS"), (2, "FAIL")], "cycle int, status string"), "cycle").count() == 2

@@ -76,22 +76,27 @@ def complete_groups(rows: DataFrame, keys: list[str], time: str, member: str, si
 
 
 def latest_complete(rows: DataFrame, decisions: DataFrame, keys: list[str], time: str, decision: str, member: str, size: int, filled: Column | None = None) -> DataFrame:
-    """The rows of each key's last complete snapshot at or before its decision, with the decision beside them."""
-    known = rows.join(decisions, keys).where(F.col(time) <= F.col(decision))
-    chosen = complete_groups(known, [*keys, decision], time, member, size, filled).groupBy(*keys, decision).agg(F.max(time).alias(time))
-    return rows.join(chosen, [*keys, time])
+    """The rows of each key's last complete snapshot at or before its decision, with the decision beside them.
+
+    Whether a snapshot is complete does not depend on the decision, so the
+    complete ones are carried to the decisions by ``asof``.
+    """
+    complete = complete_groups(rows, keys, time, member, size, filled)
+    chosen = asof(decisions.select(*keys, decision).distinct(), complete, keys, decision, time, [time]).withColumnRenamed(f"asof_{time}", time)
+    return rows.join(chosen.where(F.col(time).isNotNull()), [*keys, time])
 
 
 def latest_versions(observations: DataFrame, decisions: DataFrame, keys: list[str], issue: str, received: str, value: str, decision: str) -> DataFrame:
     """For each decision, every issue's last receipt among those issued and received by then.
 
     conflict is true where the last receipt has several values; a correction
-    that arrives later is not seen.
+    that arrives later is not seen. Each version has the span in which it is the
+    last, so a decision meets one version of an issue and no others are ranked.
     """
-    known = observations.join(decisions, keys).where((F.col(received) <= F.col(decision)) & (F.col(issue) <= F.col(decision)))
-    last = F.max(received).over(W.partitionBy(*keys, decision, issue))
-    tied = known.withColumn("_last", last).where(F.col(received) == F.col("_last"))
-    return tied.groupBy(*keys, decision, issue).agg(F.max(received).alias(received), F.max(value).alias(value), (F.min(value) != F.max(value)).alias("conflict"))
+    each = observations.groupBy(*keys, issue, received).agg(F.max(value).alias(value), (F.min(value) != F.max(value)).alias("conflict"))
+    spans = each.withColumn("_until", F.lead(received).over(W.partitionBy(*keys, issue).orderBy(received)))
+    known = (F.col(received) <= F.col(decision)) & (F.col(issue) <= F.col(decision)) & (F.col("_until").isNull() | (F.col("_until") > F.col(decision)))
+    return decisions.select(*keys, decision).distinct().join(spans, keys).where(known).select(*keys, decision, issue, received, value, "conflict")
 
 
 def exactly_one(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

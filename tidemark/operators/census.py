@@ -44,6 +44,15 @@ def slot_states(slots: DataFrame, records: DataFrame, keys: list[str], due: str,
     return joined.withColumn("status", F.when(F.col(started).isNull(), "ABSENT").when(F.col("delay_seconds") > late_seconds, "MISSED_LATE_START").otherwise("STARTED"))
 
 
+def missing_keys(cycles: DataFrame, expected: DataFrame, seen: DataFrame, session: list[str], cycle: list[str], key: list[str]) -> DataFrame:
+    """(session, cycle, key): expected keys of a session that one of its cycles has no record of; cycles without any record too.
+
+    cycles has session and cycle, expected session and key, seen all three.
+    """
+    wanted = cycles.select(*session, *cycle).distinct().join(expected.select(*session, *key).distinct(), session)
+    return wanted.join(seen.select(*session, *cycle, *key), [*session, *cycle, *key], "left_anti").select(*session, *cycle, *key)
+
+
 def quote_records(items: DataFrame, kept: list[str], sent_ns: str, received_ns: str) -> DataFrame:
     """Columns named by field code under their names, absent ones null, with the request's milliseconds."""
     fields = [(F.col(f"`{code}`") if code in items.columns else F.lit(None).cast("string")).alias(name) for code, name in QUOTE_FIELDS.items()]

@@ -83,3 +83,17 @@ def first_pairs(spark, folder):
     """The first five pairs of each nation: a top-k report."""
     contracts = table(spark, folder, "customer", "c_nationkey", "c_mktsegment", "c_custkey").withColumns({"strike": F.floor(F.col("c_custkey") / 2), "side": F.when(F.col("c_custkey") % 2 == 0, "Y").otherwise("N")})
     return census.first_pairs(contracts, ["c_nationkey"], "c_mktsegment", "strike", "side", "c_custkey", 5)
+
+
+@query("""
+with h as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-31 23:00:00', interval 1 hour)) as hour),
+     w as (select u.session, h.hour, u.event_type from h, (select distinct user_id % 3 as session, event_type from events) u)
+select w.session, w.hour, w.event_type from w left join (select distinct user_id % 3 as session, date_trunc('hour', ts) as hour, event_type from events) e
+on e.session = w.session and e.hour = w.hour and e.event_type = w.event_type where e.session is null
+""")
+def missing_keys(spark, folder):
+    """Types of event that a group of users lacks in an hour of January; hours without any event too."""
+    events = table(spark, folder, "events", "user_id", "ts", "event_type").select((F.col("user_id") % 3).alias("session"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type")
+    hours = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-31 23:00:00', interval 1 hour)")).alias("hour"))
+    cycles = events.select("session").distinct().crossJoin(F.broadcast(hours))  # 744 hours beside each group
+    return census.missing_keys(cycles, events, events, ["session"], ["hour"], ["event_type"])

@@ -26,83 +26,93 @@ def slot_counts(stream: DataFrame, time: str, keys: list[str], slot: str = "30 s
     return slots.agg(F.count("*").alias("records")).select(F.col("window.start").alias("slot"), *keys, "records")
 
 
-def _confirm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, low: float, high: float) -> Iterator[pd.DataFrame]:
+def _in_order(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """A key's rows of one trigger as tuples in the order of the columns, times as seconds."""
+    rows = []
+    for batch in batches:
+        parts = [batch[c].map(lambda t: t.timestamp()) if str(batch[c].dtype).startswith("datetime") else batch[c] for c in columns]
+        rows += zip(*(p.tolist() for p in parts), strict=True)
+    return sorted(rows)
+
+
+def _stateful(rows: DataFrame, keys: list[str], step: Callable, output: str, state: str, idle_hours: float) -> DataFrame:
+    """step(key, batches, state) for each key with new rows; the state of a key without any for ``idle_hours`` goes."""
+
+    def run(key, batches, now):
+        if now.hasTimedOut:
+            now.remove()
+            return
+        yield step(key, batches, now)
+        if now.exists:
+            now.setTimeoutDuration(round(idle_hours * 3_600_000))
+
+    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _confirm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, low: float, high: float) -> pd.DataFrame:
     slot, at = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values(["slot", "received_at"])
     out = []
-    for r in rows.itertuples():
-        now = r.received_at.timestamp()
-        if not r.valid:
+    for number, now, valid in _in_order(batches, ["slot", "received_at", "valid"]):
+        if not valid:
             status, slot, at = "INVALID_RESET", None, None
         elif slot is None:
-            status, slot, at = "PENDING_FIRST", int(r.slot), now
-        elif r.slot == slot + 1 and low <= now - at <= high:
-            status, slot, at = "CONFIRMED_TWO_POLL", int(r.slot), now
+            status, slot, at = "PENDING_FIRST", int(number), now
+        elif number == slot + 1 and low <= now - at <= high:
+            status, slot, at = "CONFIRMED_TWO_POLL", int(number), now
         else:
-            status, slot, at = "RESET_NEW_FIRST", int(r.slot), now
-        out.append((*key, int(r.slot), status))
-    if slot is None:
-        if state.exists:
-            state.remove()
-    else:
+            status, slot, at = "RESET_NEW_FIRST", int(number), now
+        out.append((*key, int(number), status))
+    if slot is not None:
         state.update((slot, at))
-    yield pd.DataFrame(out, columns=["pair_id", "slot", "status"])
+    elif state.exists:
+        state.remove()
+    return pd.DataFrame(out, columns=["pair_id", "slot", "status"])
 
 
-def two_poll_confirmation(stream: DataFrame, low: float = 25, high: float = 35) -> DataFrame:
+def two_poll_confirmation(stream: DataFrame, low: float = 25, high: float = 35, idle_hours: float = 48) -> DataFrame:
     """(pair_id, slot, status) for observations(pair_id, slot, received_at, valid).
 
     A pair is confirmed when two consecutive slots are valid and their receipts
     lie 25 to 35 seconds apart. An invalid one forgets the first; a gap starts
     anew. The state of a pair is one slot and one time.
     """
+    rows = stream.select("pair_id", "slot", "received_at", "valid")
+    return _stateful(rows, ["pair_id"], lambda k, b, s: _confirm(k, b, s, low, high), "pair_id string, slot long, status string", "slot long, at double", idle_hours)
 
-    def step(key, batches, state):
-        return _confirm(key, batches, state, low, high)
 
-    rows = stream.select("pair_id", "slot", "received_at", "valid").groupBy("pair_id")
-    return rows.applyInPandasWithState(step, "pair_id string, slot long, status string", "slot long, at double", "append", GroupStateTimeout.NoTimeout)
-
-
-def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> pd.DataFrame:
     last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("received_at")
     out = []
-    for r in rows.itertuples():
-        if r.digest != last:
-            out.append((*key, r.received_at, r.digest))
-            last = r.digest
+    for now, _, digest in _in_order(batches, ["received_at", "tie", "digest"]):
+        if digest != last:
+            out.append((*key, pd.Timestamp(now, unit="s"), digest))
+            last = digest
     if last is not None:
         state.update((last,))
-    yield pd.DataFrame(out, columns=["source", "received_at", "digest"])
+    return pd.DataFrame(out, columns=["source", "received_at", "digest"])
 
 
-def changed(stream: DataFrame) -> DataFrame:
-    """Records(source, received_at, digest) whose digest differs from the source's last one."""
-    rows = stream.select("source", "received_at", "digest").groupBy("source")
-    return rows.applyInPandasWithState(_changed, "source string, received_at timestamp, digest string", "digest string", "append", GroupStateTimeout.NoTimeout)
+def changed(stream: DataFrame, tie: str | None = None, idle_hours: float = 48) -> DataFrame:
+    """Records(source, received_at, digest) whose digest differs from the source's last one; records of one time in the order of ``tie``, or of the digest."""
+    rows = stream.select("source", "received_at", F.col(tie or "digest").alias("tie"), "digest")
+    return _stateful(rows, ["source"], _changed, "source string, received_at timestamp, digest string", "digest string", idle_hours)
 
 
-def _gaps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit: float) -> Iterator[pd.DataFrame]:
+def _gaps(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, limit: float) -> pd.DataFrame:
     last = state.get[0] if state.exists else None
     out = []
-    for t in sorted(pd.concat(list(batches))["started_at"]):
-        now = t.timestamp()
+    for (now,) in _in_order(batches, ["started_at"]):
         if last is not None and now - last > limit:
-            out.append((*key, t, now - last))
+            out.append((*key, pd.Timestamp(now, unit="s"), now - last))
         last = now if last is None else max(last, now)
     state.update((last,))
-    yield pd.DataFrame(out, columns=["session_id", "started_at", "gap_seconds"])
+    return pd.DataFrame(out, columns=["session_id", "started_at", "gap_seconds"])
 
 
-def cadence_gaps(stream: DataFrame, cadence_seconds: float, slack: float = 1.75) -> DataFrame:
+def cadence_gaps(stream: DataFrame, cadence_seconds: float, slack: float = 1.75, idle_hours: float = 48) -> DataFrame:
     """(session_id, started_at, gap_seconds): cycles that start more than ``slack`` cadences after the one before."""
-
-    def step(key, batches, state):
-        return _gaps(key, batches, state, cadence_seconds * slack)
-
-    rows = stream.select("session_id", "started_at").groupBy("session_id")
-    return rows.applyInPandasWithState(step, "session_id string, started_at timestamp, gap_seconds double", "at double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("session_id", "started_at")
+    return _stateful(rows, ["session_id"], lambda k, b, s: _gaps(k, b, s, cadence_seconds * slack), "session_id string, started_at timestamp, gap_seconds double", "at double", idle_hours)
 
 
 def raw_first(stream: DataFrame, archive: str, parsed: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], trigger: dict | None = None):
@@ -119,13 +129,6 @@ def raw_first(stream: DataFrame, archive: str, parsed: str, checkpoint: str, par
     return stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def missing_per_cycle(expected: DataFrame, seen: DataFrame, cycle: str, key: str) -> DataFrame:
-    """(cycle, missing): expected keys that a finished cycle lacks."""
-    cycles = seen.groupBy(cycle).agg(F.collect_set(key).alias("_seen"))
-    wanted = expected.agg(F.collect_set(key).alias("_all"))
-    return cycles.crossJoin(F.broadcast(wanted)).select(cycle, F.array_sort(F.array_except("_all", "_seen")).alias("missing")).where(F.size("missing") > 0)
-
-
 def pending(planned: DataFrame, status: DataFrame, key: str) -> DataFrame:
     """Planned keys that have not passed yet, for a resumed run."""
     return planned.join(status.where("status = 'PASS'").select(key), key, "left_anti")
