@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import census
+from . import revisions
 from .registry import query, rounded, table
 
 
@@ -97,3 +98,26 @@ def missing_keys(spark, folder):
     hours = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-31 23:00:00', interval 1 hour)")).alias("hour"))
     cycles = events.select("session").distinct().crossJoin(F.broadcast(hours))  # 744 hours beside each group
     return census.missing_keys(cycles, events, events, ["session"], ["hour"], ["event_type"])
+
+
+@query("""
+with q as (select user_id % 4 as k, date_trunc('hour', ts) as h, event_type, avg(value) as v from events group by 1, 2, 3),
+     s as (select k, h, count(*) as n, list(event_type order by event_type) as types, bool_and(event_type <> 'error' or extract(hour from h) < 20) as open from q group by 1, 2),
+     e as (select k, h, extract(hour from h) % 2 = 1 as soon from s),
+     j as (select e.*, a.n as n0, b.n as n1, c.n as n2, a.types as t0, b.types as t1, c.types as t2, coalesce(a.open, false) and coalesce(b.open, false) and coalesce(c.open, false) as open
+           from e join s a on a.k = e.k and a.h = e.h left join s b on b.k = e.k and b.h = e.h + interval 1 hour left join s c on c.k = e.k and c.h = e.h + interval 2 hour)
+select count(*) as events, 0::bigint as pre_not_after_publication, 0::bigint as pre_not_before_old, 0::bigint as in_order, 0::bigint as post1_after_publication, 0::bigint as post2_after_publication, 0::bigint as post1_before_next,
+       count(*) filter (soon) as post2_before_next, 0::bigint as pre_staleness_matches, 0::bigint as post1_lateness_matches, count(*) filter (k = 3) as post2_lateness_matches,
+       count(*) filter (not (n0 = 5 and coalesce(n1, 0) = 5 and coalesce(n2, 0) = 5)) as whole_snapshots,
+       count(*) filter (not (t0 = coalesce(t1, []) and t0 = coalesce(t2, []))) as same_members, count(*) filter (not (t0 = coalesce(t1, []) and t0 = coalesce(t2, []))) as same_labels,
+       count(*) filter (not open) as before_close, false as passed from j
+""")
+def snapshot_audit(spark, folder):
+    """Three hourly snapshots of the five types of event around made-up publications, some of which break the rules."""
+    seen = table(spark, folder, "events", "user_id", "ts", "event_type", "value").select((F.col("user_id") % 4).alias("k"), F.date_trunc("hour", "ts").cast("timestamp").alias("h"), "event_type", "value")
+    quotes = seen.groupBy("k", "h", "event_type").agg(F.avg("value").alias("v")).withColumns({"label": F.upper("event_type"), "is_pre_close": (F.col("event_type") != "error") | (F.hour("h") < 20)})
+    after = lambda minutes: F.col("h") + F.expr(f"interval {minutes} minutes")
+    times = {"old_publication": after(-30), "new_publication": after(30), "next_publication": F.when(F.hour("h") % 2 == 1, after(100)), "pre": F.col("h"), "post1": after(60), "post2": after(120), "post1_target": after(60), "post2_target": after(120)}
+    stored = {"pre_staleness": F.lit(30.0), "post1_lateness": F.lit(0.0), "post2_lateness": F.when(F.col("k") == 3, 1.0).otherwise(0.0)}
+    events = seen.select("k", "h").distinct().select("k", *[c.alias(n) for n, c in (times | stored).items()])
+    return revisions.snapshot_audit(events, quotes, ["k"], "event_type", "label", "h", size=5, filled="v")

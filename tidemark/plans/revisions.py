@@ -77,3 +77,42 @@ def placebo_times(revisions: DataFrame, complete: DataFrame, minutes: int = 60)
     shifted = revisions.withColumn("placebo_utc", F.col("pre_utc") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)))
     there = complete.select(*KEYS, F.col("timestamp_utc").alias("placebo_utc")).distinct()
     return shifted.join(there, [*KEYS, "placebo_utc"], "left_semi")
+
+
+#: The three snapshots of an event, in order.
+SNAPSHOTS = ("pre", "post1", "post2")
+
+
+def snapshot_audit(events: DataFrame, quotes: DataFrame, keys: list[str], member: str, label: str, time: str, size: int = 6, filled: str = "midpoint_close", tolerance: float = 1e-6) -> DataFrame:
+    """One row: how many events break each rule of their three snapshots, recomputed from times and quotes alone, and whether none does.
+
+    events: keys, old_publication, new_publication, next_publication (null if
+    none), and pre, post1, post2 with post1_target, post2_target, and the stored
+    pre_staleness, post1_lateness, post2_lateness in minutes; quotes: keys,
+    member, label, time, ``filled``, is_pre_close. A snapshot is ``size`` rows of as
+    many members, all filled; the three have the same members under the same
+    labels, before the close. Null breaks a rule.
+    """
+    minutes = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / 60e6
+    near = lambda a, b: F.abs(a - b) <= tolerance
+    before_next = lambda c: F.col("next_publication").isNull() | (F.col(c) < F.col("next_publication"))
+    numbered = events.withColumn("_event", F.sha2(F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}), 256))
+    taken = F.explode(F.array(*[F.struct(F.lit(s).alias("which"), F.col(s).alias(time)) for s in SNAPSHOTS])).alias("s")
+    long = numbered.dropDuplicates(["_event"]).select("_event", *keys, taken).select("_event", *keys, "s.*")
+    named = F.sort_array(F.collect_list(F.struct(member, label)))
+    seen = long.join(quotes, [*keys, time], "left").groupBy("_event", "which").agg(
+        F.count(member).alias("n"), F.countDistinct(member).alias("members"), F.count(filled).alias("filled"),
+        F.sort_array(F.collect_list(member)).alias("set"), named.alias("map"), F.bool_and(F.coalesce("is_pre_close", F.lit(False))).alias("open"),
+    )
+    whole = (F.col("n") == size) & (F.col("members") == size) & (F.col("filled") == size)
+    each = seen.groupBy("_event").agg(F.count_if(whole).alias("whole"), F.count_distinct("set").alias("sets"), F.count_distinct("map").alias("maps"), F.bool_and("open").alias("open"))
+    c = F.col
+    rules = {
+        "pre_not_after_publication": c("pre") <= c("new_publication"), "pre_not_before_old": c("pre") >= c("old_publication"), "in_order": (c("pre") < c("post1")) & (c("post1") < c("post2")),
+        "post1_after_publication": c("post1") > c("new_publication"), "post2_after_publication": c("post2") > c("new_publication"), "post1_before_next": before_next("post1"), "post2_before_next": before_next("post2"),
+        "pre_staleness_matches": near(minutes("new_publication", "pre"), c("pre_staleness")), "post1_lateness_matches": near(minutes("post1", "post1_target"), c("post1_lateness")), "post2_lateness_matches": near(minutes("post2", "post2_target"), c("post2_lateness")),
+        "whole_snapshots": c("whole") == len(SNAPSHOTS), "same_members": c("sets") == 1, "same_labels": c("maps") == 1, "before_close": c("open"),
+    }
+    checked = numbered.join(each, "_event", "left")
+    counts = checked.agg(F.count("*").alias("events"), *[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
+    return counts.withColumn("passed", sum((c(n) for n in rules), F.lit(0)) == 0)

@@ -89,3 +89,35 @@ def publication_census(days: DataFrame, heads: DataFrame) -> DataFrame:
     """(keys, margin_minutes, violation): whether each day's cycle was public by its decision: heads(cycle, last_modified)."""
     margin = (F.unix_micros("decision_time_utc") - F.unix_micros("last_modified")) / 60e6
     return days.join(heads, "cycle", "left").withColumns({"margin_minutes": margin, "violation": F.coalesce(margin < 0, F.lit(True))})
+
+
+#: What a day's health may say.
+DATE_STATUSES = ["VALID", "ABORTED_RETAIN_IN_DENOMINATOR", "STUDY_BLOCKER"]
+
+
+def health_record(text: Column, event_date: Column, protocol: Column) -> Column:
+    """struct(value struct(date_status, study_blocker, body), reason) of a day-health file's text: one of the two is null.
+
+    A record that can't be read does not fail the scan but says why: missing,
+    malformed, not an object, of another protocol or date, or with a status of
+    the wrong type or unknown. A readable blocker of the right protocol and date
+    counts before faults of the status.
+    """
+    body = F.try_parse_json(text)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(body, path, "variant"))
+    field = lambda name: F.when(kind(f"$.{name}") == "STRING", F.try_variant_get(body, f"$.{name}", "string"))
+    blocker, status = field("study_blocker"), field("date_status")
+    absent = F.coalesce(kind("$.study_blocker"), F.lit("VOID")) == "VOID"
+    reason = (
+        F.when(text.isNull(), "missing day_health_summary.json")
+        .when(body.isNull(), "malformed JSON")
+        .when(~F.startswith(F.schema_of_variant(body), F.lit("OBJECT")), "day_health_summary.json must contain a JSON object")
+        .when(~F.coalesce(field("protocol_id") == protocol, F.lit(False)), "day health protocol_id mismatch")
+        .when(~F.coalesce(field("event_date") == event_date.cast("string"), F.lit(False)), "day health event_date mismatch")
+        .when(~absent & blocker.isNull(), "day health study_blocker must be a string when present")
+        .when(~absent & (blocker != ""), None)
+        .when(status.isNull(), "day health date_status must be a string")
+        .when(~status.isin(DATE_STATUSES), F.concat(F.lit("unknown day health date_status: "), status))
+    )
+    value = F.when(reason.isNull(), F.struct(status.alias("date_status"), F.nullif(blocker, F.lit("")).alias("study_blocker"), F.to_json(body).alias("body")))
+    return F.struct(value.alias("value"), reason.alias("reason"))
