@@ -57,6 +57,33 @@ def schedule_open(intervals: Column, minute: Column) -> Column:
     return F.coalesce(F.exists(intervals, inside), F.lit(False))
 
 
+def schedule_status(timezone: Column, entries: Column, now: Column) -> Column:
+    """struct(open, problem) of a venue at a UTC instant; problem says why it does not count as open.
+
+    entries: array<struct<day_of_week, trading_times: array<struct<open, close>>>>
+    with times such as "8:30 AM". Exactly one entry must name the local weekday.
+    An interval holds its opening and not its closing; one that closes before it
+    opens ends the day after. A day's entry says nothing of the hours after its
+    midnight, which the next day's does.
+    """
+    local = F.from_utc_timestamp(now, timezone)
+    rows = F.filter(entries, lambda e: e["day_of_week"] == F.date_format(local, "EEEE"))
+    times = F.get(rows, F.lit(0))["trading_times"]
+    minute = lambda text: F.hour(F.try_to_timestamp(F.trim(text), F.lit("h:mm a"))) * 60 + F.minute(F.try_to_timestamp(F.trim(text), F.lit("h:mm a")))
+    blank = lambda text: text.isNull() | (text == "")
+    at = F.hour(local) * 60 + F.minute(local)
+    inside = lambda x: (minute(x["open"]) <= at) & ((at < minute(x["close"])) | (minute(x["close"]) < minute(x["open"])))
+    problem = (
+        F.when(blank(timezone) | entries.isNull(), "schedule missing timezone/trading_schedules")
+        .when(F.size(rows) != 1, "schedule missing/ambiguous weekday row")
+        .when(F.coalesce(F.size(times), F.lit(0)) <= 0, "no trading intervals")
+        .when(F.exists(times, lambda x: blank(x["open"]) | blank(x["close"])), "malformed trading interval")
+        .when(F.exists(times, lambda x: minute(x["open"]).isNull() | minute(x["close"]).isNull()), "unparseable trading interval")
+        .when(~F.exists(times, inside), "market schedule closed")
+    )
+    return F.struct(problem.isNull().alias("open"), problem.alias("problem"))
+
+
 def season(minute: Column, date: Column) -> list[Column]:
     """Sine and cosine of the time of day and of the day of the year (leap years have their own length)."""
     year = F.datediff(F.make_date(F.year(date) + 1, F.lit(1), F.lit(1)), F.make_date(F.year(date), F.lit(1), F.lit(1)))

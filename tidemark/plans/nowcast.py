@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -146,13 +145,6 @@ def probability_above(states: DataFrame, model: LocationScale, threshold: str, r
     return found.withColumn("q", distributions.survival()).drop("_cut", "upto_w", "upto_wz", "total_w", "total_wz")
 
 
-def local_block(minute: Column) -> Column:
-    """The quarter of the local day that a minute lies in, such as 06-12."""
-    start = F.floor(minute / 360) * 6
-    two = lambda h: F.lpad(h.cast("string"), 2, "0")
-    return F.concat(two(start), F.lit("-"), two(start + 6))
-
-
 def q_bin(q: Column, low: float = 0.05, high: float = 0.95, width: float = 0.05) -> Column:
     """The bin of a probability, such as 0.10-0.15; the last is closed; null outside."""
     last = round((high - low) / width) - 1
@@ -163,9 +155,8 @@ def q_bin(q: Column, low: float = 0.05, high: float = 0.95, width: float = 0.05)
 
 def model_features(states: DataFrame, date: str, minute: str) -> DataFrame:
     """states of versions.state_at with the model's features: clock and season on circles, the state, and the change with a flag where it is missing."""
-    turn = lambda part: 2 * math.pi * part
-    day, clock = turn((F.dayofyear(date) - 1) / F.dayofyear(F.make_date(F.year(date), F.lit(12), F.lit(31)))), turn(F.col(minute) / 1440)
-    named = {"sin_clock": F.sin(clock), "cos_clock": F.cos(clock), "sin_day": F.sin(day), "cos_day": F.cos(day), "change_filled": F.coalesce("change", F.lit(0.0)), "change_missing": F.col("change").isNull().cast("double")}
+    circles = dict(zip(("sin_clock", "cos_clock", "sin_day", "cos_day"), clocks.season(F.col(minute), F.col(date)), strict=True))
+    named = circles | {"change_filled": F.coalesce("change", F.lit(0.0)), "change_missing": F.col("change").isNull().cast("double")}
     return states.withColumns(named)
 
 
@@ -231,7 +222,7 @@ def screen(quotes: DataFrame, observations: DataFrame, model: LocationScale, sta
         raise ExpectationError("several temperatures of one issue and receipt")
     known = known.drop("clash").withColumns({"minute": F.when(F.col("known") > 0, F.hour(local) * 60 + F.minute(local)), "month": F.month("event_date")})
     rows = probability_above(model_features(known, "event_date", "minute"), model, "threshold", "running_max")
-    rows = rows.withColumns({"block": local_block(F.col("minute")), "q_bin": q_bin(F.col("q"))})
+    rows = rows.withColumns({"block": clocks.day_block(F.col("minute")), "q_bin": q_bin(F.col("q"))})
     cells = state_cells.select("month", "block", F.struct(*[c for c in state_cells.columns if c not in ("month", "block")]).alias("_cell"))
     slacks = calibration.select("block", "q_bin", F.struct("supported", "slack").alias("_calibration"))
     rows = rows.join(cells, ["month", "block"], "left").join(slacks, ["block", "q_bin"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markets
 from ..operators import ladder, sets, windows
 
 #: Limits of a healthy day of 960 slots (fixed values).
@@ -18,6 +19,55 @@ def question(text: Column) -> Column:
     return F.when(date.isNotNull() & threshold.isNotNull(), F.struct(date.alias("date"), threshold.alias("threshold")))
 
 
+def event_question(text: Column, station: Column) -> Column:
+    """struct(date, threshold, problem) of a contract's question about a station's daily high; closed unless all of it is there."""
+    found = question(text)
+    lower = F.lower(F.trim(text))
+    problem = (
+        F.when(F.coalesce(F.trim(text), F.lit("")) == "", "missing contract question")
+        .when(~(F.contains(lower, F.lit("highest temperature")) & F.contains(lower, F.lit("exceed"))), "unexpected question predicate")
+        .when(~F.coalesce(F.contains(lower, F.lower(station)), F.lit(False)), "question does not identify expected station")
+        .when(found.isNull(), "question date/threshold could not be parsed")
+    )
+    return F.struct(F.when(problem.isNull(), found["date"]).alias("date"), F.when(problem.isNull(), found["threshold"]).alias("threshold"), problem.alias("problem"))
+
+
+#: The bounds of a pair snapshot in seconds, and the first moment that a broker's clock can name (milliseconds).
+MOST_ELAPSED, OLD_AGE, MOST_FUTURE, OLD_SKEW, FIRST_BROKER_MS = 5.0, 60.0, 1.0, 5.0, 946_684_800_000
+
+
+def pair_snapshot(payload: Column, first: Column, second: Column, elapsed: Column, received: Column) -> Column:
+    """struct(failure_class, reason, rows, skew, skew_is_old) of one request for both legs of a pair.
+
+    payload: array<struct<conid, availability, updated, ask, ask_size>>; received:
+    epoch seconds. What is wrong with the response itself comes first, on either
+    leg, and is a structural_failure; an ask or a size that can't be taken is
+    quote_unavailable. Age and skew are reported, not judged.
+    """
+    expected = F.array(first, second)
+    leg = lambda conid: F.get(F.filter(payload, lambda x: x["conid"] == conid), F.lit(0))
+    legs = [(first, leg(first)), (second, leg(second))]
+    seconds = lambda x: x["updated"].cast("double") / 1000
+    bad = lambda c: F.coalesce(c, F.lit(True))
+    rules = [
+        ("request elapsed outside frozen bound", bad(~elapsed.between(0, MOST_ELAPSED))), ("invalid response received epoch", bad(~((received > 0) & (received < float("inf"))))),
+        ("pair response must contain exactly two rows", bad(F.size(payload) != 2)), ("invalid quote row/conid", bad(F.exists(payload, lambda x: x["conid"].isNull()))),
+        ("duplicate conid in pair response", F.size(F.array_distinct(F.transform(payload, lambda x: x["conid"]))) < F.size(payload)), ("unexpected conid in pair response", F.exists(payload, lambda x: ~F.array_contains(expected, x["conid"]))),
+    ]
+    for _, x in legs:
+        rules += [("non-real-time delivery", bad(markets.availability(x["availability"])["delivery"] != "real_time")), ("missing/invalid broker _updated", x["updated"].isNull()), ("broker _updated epoch is invalid", bad(x["updated"] < FIRST_BROKER_MS)), ("broker _updated timestamp is implausibly future", bad(received - seconds(x) < -MOST_FUTURE))]
+    structural = markets.first_reason(rules)
+    ask, size = (lambda x: markets.displayed_number(x["ask"])), (lambda x: markets.displayed_number(x["ask_size"], grouped=True))
+    whole = lambda x: (size(x) > 0) & (size(x) == F.floor(size(x)))
+    faults = [(conid, F.when(bad(~((ask(x) > 0) & (ask(x) < 1))), "ask").when(bad(~whole(x)), "ask_size")) for conid, x in legs]
+    unavailable = F.array_join(F.array_compact(F.array(*[F.when(f.isNotNull(), F.concat(conid.cast("string"), F.lit(":"), f)) for conid, f in faults])), "; ")
+    failure = F.when(structural.isNotNull(), "structural_failure").when(unavailable != "", "quote_unavailable")
+    skew = F.abs(seconds(legs[0][1]) - seconds(legs[1][1]))
+    rows = F.array(*[F.struct(conid.alias("conid"), ask(x).alias("ask"), size(x).cast("long").alias("ask_size"), (received - seconds(x)).alias("age"), (received - seconds(x) > OLD_AGE).alias("is_old")) for conid, x in legs])
+    fine = lambda c: F.when(failure.isNull(), c)
+    return F.struct(failure.alias("failure_class"), F.coalesce(structural, F.nullif(unavailable, F.lit(""))).alias("reason"), fine(rows).alias("rows"), fine(skew).alias("skew"), fine(skew > OLD_SKEW).alias("skew_is_old"))
+
+
 def adjacent_pairs(contracts: DataFrame) -> DataFrame:
     """Adjacent thresholds of each city and date whose rules are all the same: contracts(city, date, threshold, side, conid, rules_hash)."""
     keys = ["city", "date"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import sets
 from ..sources import html_table
-from . import bootstrap, fits
+from . import bootstrap, fits, market_scores
 from .registry import query, r6, rounded, table
 
 _BASE = "select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings"
@@ -54,6 +54,20 @@ def softmax_predict(spark, folder):
     return s.select("vec_id", r6(F.element_at("p", 1)).alias("p1"), r6(F.array_max("p")).alias("p_max"))
 
 
+@query(f"""
+with e as ({_BASE}), a as (select vec_id, list_transform(v, lambda x: greatest(x, 0.0)) as v from e), n as (select vec_id, list_transform(v, lambda x: x / list_sum(v)) as p, cast(vec_id % 64 + 1 as int) as y from a),
+     c as (select *, list_transform(p, lambda x: least(greatest(x, 1e-6), 1 - 1e-6)) as c from n), s as (select *, list_transform(c, lambda x: x / list_sum(c)) as s from c)
+select vec_id % 10 as city, count(*) as events, round(avg(-ln(s[y])), 6) as log_loss, round(avg(list_sum(list_transform(s, lambda x, i: (x - (case when i = y then 1.0 else 0.0 end)) ** 2))), 6) as brier,
+       round(avg(case when list_position(p, list_max(p)) = y then 1.0 else 0.0 end), 6) as top1, round(avg(p[y]), 6) as winner_prob, round(median(p[y]), 6) as median_winner_prob, count(*) filter (p[y] = 0) as zero_winners
+from s group by 1
+""")
+def market_summary(spark, folder):
+    """Scores of vectors as markets' probabilities (negative components are 0), by groups of ten."""
+    p = _vectors(spark, folder).select("vec_id", vectors.normalised(F.transform("v", lambda x: F.greatest(x, F.lit(0.0)))).alias("p"), (F.col("vec_id") % 64 + 1).cast("int").alias("y"), (F.col("vec_id") % 10).alias("city"))
+    names = ["log_loss", "brier", "top1", "winner_prob", "median_winner_prob"]
+    return rounded(market_scores.summary(market_scores.event_scores(p, "p", "y"), ["city"]), *names)
+
+
 @query("""
 select sha256(text) as text_sha, count(*) as n, min(doc_id) as first_doc from documents where text is not null group by 1 having count(*) > 1
 """)

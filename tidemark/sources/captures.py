@@ -119,6 +119,27 @@ def check_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(here, "name", "left").select("name", F.when(F.col("_found").isNull(), "MISSING").when(F.col("_found") == F.col("sha256"), "OK").otherwise("CHANGED").alias("status"))
 
 
+def check_frozen(files: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
+    """manifest(name, length, sha256) with status OK, UNSAFE, MISSING, SIZE or CHANGED against files(path, length, sha256) below a folder.
+
+    Names are relative paths; one that is absolute, climbs out of the folder or
+    is not in its plain form is UNSAFE and not looked up.
+    """
+    root = "/" + re.sub(r"^(?:\w+:/*|/+)", "", folder.rstrip("/"))
+    here = files.select(F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), F.lit(f"^{re.escape(root)}/"), F.lit("")).alias("name"), F.col("length").alias("_length"), F.col("sha256").alias("_found"))
+    parts = F.split("name", "/")
+    unsafe = F.col("name").isNull() | F.exists(parts, lambda p: p.isin("", ".", "..")) | F.contains("name", F.lit("\\")) | F.rlike("name", F.lit(r"^\w+:"))
+    status = F.when(unsafe, "UNSAFE").when(F.col("_found").isNull(), "MISSING").when(F.col("_length") != F.col("length"), "SIZE").when(F.col("_found") != F.col("sha256"), "CHANGED").otherwise("OK")
+    return manifest.join(here, "name", "left").select("name", status.alias("status"))
+
+
+def check_pdf(files: DataFrame, sha256: Column) -> DataFrame:
+    """binaryFile rows(path, content) with status OK, NOT_PDF or CHANGED against the frozen hash."""
+    digest = F.sha2("content", 256)
+    status = F.when(F.substring("content", 1, 4) != F.lit(b"%PDF"), "NOT_PDF").when(digest != sha256, "CHANGED").otherwise("OK")
+    return files.select("path", digest.alias("sha256"), status.alias("status"))
+
+
 def require_unchanged(files: DataFrame, manifest: DataFrame) -> None:
     """Fail unless every file of the manifest is there as it was."""
     bad = check_manifest(files, manifest).where("status <> 'OK'").limit(5).collect()
@@ -129,11 +150,18 @@ def require_unchanged(files: DataFrame, manifest: DataFrame) -> None:
 def station_csv(rows: DataFrame, text: str, station: str, date: str) -> DataFrame:
     """Station reports from CSV text (station,valid,tmpf,metar), one row each, with the running maximum.
 
-    A wrong station or date anywhere fails the batch; sentinels are null.
+    A header without one of the columns, a wrong station or date, or a report
+    whose METAR names another station anywhere fails the batch; sentinels are null.
     """
+    header = F.split(F.trim(F.get(F.split(F.col(text), "\n"), F.lit(0))), ",")
+    named = F.forall(F.array(*[F.lit(c) for c in ("station", "valid", "tmpf", "metar")]), lambda c: F.array_contains(header, c))
+    rows = rows.where(F.when(F.coalesce(named, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a required column is missing")).cast("boolean")))
     lines = rows.select("received_at", F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw")).where("line > 0 and length(trim(raw)) > 0")
     parsed = lines.select("received_at", "line", F.from_csv("raw", F.lit("station string, valid string, tmpf string, metar string")).alias("r")).select("received_at", "line", "r.*")
-    right = (F.col("station") == station) & F.startswith("valid", F.lit(date))
+    # The report's own station is its first token that is no word of the report's kind.
+    token = F.regexp_extract("metar", r"^\s*(?:(?:METAR|SPECI|COR)\s+)*([A-Z0-9]{3,4})\b", 1)
+    own = F.col("metar").isNull() | (token == "") | token.endswith(station)
+    right = (F.col("station") == station) & F.startswith("valid", F.lit(date)) & own
     checked = parsed.where(F.when(F.coalesce(right, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("wrong station or date")).cast("boolean")))
     order = W.partitionBy("received_at").orderBy("valid", "line").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = checked.withColumns({"valid": F.to_timestamp("valid", "yyyy-MM-dd HH:mm"), "tmpf": markets.parsed_number(F.col("tmpf"))})
