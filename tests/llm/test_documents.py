@@ -174,15 +174,38 @@ def test_contamination(spark):
     assert sum(w[5] for w in want) > 20
 
 
-def test_proximity(spark):
+def test_contamination_counts_near_items(spark):
+    """Items of which a window's words all lie near each other, shuffled or not, beside those that occur as they are."""
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = [(1, f"x {item} y"), (2, "ten nine eight seven six five x four three two one"), (3, "ten nine eight seven six x x x x x x x x x x five four three two one"), (4, "one two"), (5, None), (1, item)]
+    items = spark.createDataFrame([(1, item), (2, "two one"), (2, "two one"), (3, None), (4, "absent")], "item_id long, text string")
+    found = decontaminate.contamination(frame(spark, docs), items, 10, near=12).collect()
+    assert sorted((r["doc_id"], r["n_items"], r["n_near"]) for r in found) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 1), (4, 0, 1), (5, 0, 0)]
+
+
+@pytest.mark.parametrize("span", [3, 7])
+def test_proximity(spark, span):
+    """Least runs of words with all terms of a window, against every run of every document."""
     from tidemark.llm.storage import Workspace
 
-    docs = spark.createDataFrame([(1, "a x x b"), (2, "a x x x x b"), (3, "b a")], "doc_id long, text string")
-    windows, _ = decontaminate.item_windows(spark.createDataFrame([(1, "a b")], "item_id long, text string"), 10)
+    rng = random.Random(span)
+    docs = [(i, " ".join(rng.choice("aabcdef") for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(70, "a b c b a c"), (71, None), (72, ""), (73, "x " * 5), (None, "c b a"), (70, "a b c")]
+    items = [(1, "a b c"), (2, "a a"), (3, "d e f d"), (4, "b"), (5, "a zz"), (6, None), (7, "f a"), (8, "a b c d e f")]
+    windows, _ = decontaminate.item_windows(spark.createDataFrame(items, "item_id long, text string"), 10)
     work = Workspace(spark, "test")
-    index = decontaminate.PositionalIndex(docs, work.keep(spark.createDataFrame([("a",), ("b",), ("",)], "term string"), "v"), work)
-    near = index.proximity(work.keep(windows, "w"), 3).join(index.documents(), "row")
-    assert sorted(r["doc_id"] for r in near.collect()) == [1, 3]
+    windows = work.keep(windows, "w")
+    vocabulary = work.keep(windows.select(F.explode("terms").alias("term")).unionByName(spark.createDataFrame([("",)], "term string")).distinct(), "v")
+    index = decontaminate.PositionalIndex(spark.createDataFrame(docs, "doc_id long, text string"), vocabulary, work)
+    found = index.proximity(windows, span).join(windows, "window").join(index.documents(), "row").collect()
+    want = []
+    for i, text in docs:
+        w = (text or "").split()
+        for _, item in items:
+            terms = set((item or "").split())
+            runs = [b - a for a in range(len(w)) for b in range(a + 1, len(w) + 1) if terms and terms <= set(w[a:b])]
+            if runs and min(runs) <= span:
+                want.append((i, tuple(sorted(terms)), min(runs)))
+    assert sorted(((r["doc_id"], tuple(sorted(set(r["terms"]))), r["least"]) for r in found), key=str) == sorted(want, key=str) and len(want) > 40
 
 
 def test_packing(spark):

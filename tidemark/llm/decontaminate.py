@@ -100,25 +100,57 @@ class PositionalIndex:
         found = starts.where("pairs = 1").unionByName(second.where("pairs = 2")).unionByName(rest)
         return single.unionByName(found.select("row", "start", "window", (F.col("pairs") + 1).alias("length")))
 
-    def proximity(self, windows: DataFrame, slop: int) -> DataFrame:
-        """(row, window, first, second): places of a window's two rarest terms within ``slop`` words of each other."""
-        terms = windows.select("window", F.explode(F.array_distinct("terms")).alias("term"))
-        counts = self.postings.groupBy("term").agg(F.count("*").alias("n"))
-        ranked = terms.join(counts, "term").withColumn("rank", F.row_number().over(W.partitionBy("window").orderBy("n", "term")))
-
-        def places(rank: int, name: str) -> DataFrame:
-            return self.postings.join(ranked.where(f"rank = {rank}").select("term", "window"), "term").select("row", "window", F.col("pos").alias(name))
-
-        # Equal or neighbouring blocks of slop words hold all places that are near enough.
-        first = places(1, "first").withColumn("block", F.explode(F.expr(f"array(first div {slop} - 1, first div {slop}, first div {slop} + 1)")))
-        second = places(2, "second").withColumn("block", F.expr(f"second div {slop}"))
-        return first.join(second, ["row", "window", "block"]).where(f"abs(first - second) <= {slop}").select("row", "window", "first", "second")
-
-
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, row: str | None = None) -> DataFrame:
+    def proximity(self, windows: DataFrame, span: int) -> DataFrame:
+        """(row, window, least): the least number of words in a row that hold all distinct terms of windows(window, terms), in any order, where that is at most ``span``.
+
+        Every such run holds an occurrence of the window's rarest term, and one
+        of the next rarest within ``span`` words of it. Only the anchors that
+        have both look for the others; what an anchor meets lies in less than
+        twice ``span`` places of one document. A window of one distinct term is
+        near wherever that occurs (least is 1).
+        """
+        work, postings = self.work, self.postings.where(F.col("term") != END).select("row", "term", "pos")
+        terms = windows.select("window", F.array_distinct("terms").alias("t")).select("window", F.size("t").alias("n"), F.explode("t").alias("term"))
+        wanted = hint_small(work.keep(terms.select("term").distinct(), "near-terms"), 80)
+        counts = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("count"))
+        rarity = W.partitionBy("window").orderBy("count", "term")
+        ranked = terms.join(counts, "term", "left").withColumns({"count": F.coalesce("count", F.lit(0)), "rank": F.row_number().over(rarity)})
+        # A window with a term that no document has is near nowhere.
+        ranked = work.keep(ranked.withColumn("least", F.min("count").over(W.partitionBy("window"))).where("least > 0").drop("least", "count"), "near-ranked")
+
+        def places(ranks: str, of: DataFrame, name: str) -> DataFrame:
+            return of.join(hint_small(ranked.where(ranks), 100).select("term", "window", "rank", "n"), "term").select("row", "window", "n", "rank", F.col("pos").alias(name))
+
+        block = lambda c: F.floor(F.col(c) / span)
+        near = F.abs(F.col("at") - F.col("anchor")) < span
+        around = F.explode(F.array(block("anchor") - 1, block("anchor"), block("anchor") + 1))
+        first = places("rank = 1", postings, "anchor")
+        single = first.where("n = 1").select("row", "window", F.lit(1).alias("least"))
+        second = places("rank = 2", postings, "at").withColumn("block", block("at")).select("row", "window", "block", "at")
+        met = first.where("n > 1").withColumn("block", around).join(second, ["row", "window", "block"]).where(near)
+        pairs = work.keep(met.select("row", "window", "n", "anchor", "at"), "near-pairs")
+        anchors = work.keep(pairs.select("row", "window", "n", "anchor").distinct(), "near-anchors")
+        rows = hint_small(work.keep(anchors.select("row").distinct(), "near-rows"), 16)
+        rest = places("rank > 2", postings.join(rows, "row", "left_semi"), "at").withColumn("block", block("at")).select("row", "window", "block", "rank", "at")
+        others = anchors.where("n > 2").withColumn("block", around).join(rest, ["row", "window", "block"]).where(near).select("row", "window", "n", "anchor", "rank", "at")
+        seen = others.unionByName(pairs.withColumn("rank", F.lit(2))).unionByName(anchors.withColumns({"rank": F.lit(1), "at": F.col("anchor")}))
+
+        # For the run that ends at each place: the last place of every term up to there. The anchor is in the run.
+        here = W.partitionBy("row", "window", "anchor").orderBy("at")
+        lasts = F.array_agg(F.struct("rank", "at")).over(here.rowsBetween(W.unboundedPreceding, W.currentRow))
+        newest = F.array_min(F.map_values(F.map_from_entries(F.transform(F.array_distinct(F.transform(lasts, lambda x: x["rank"])), lambda r: F.struct(r, F.array_max(F.transform(F.filter(lasts, lambda x: x["rank"] == r), lambda x: x["at"])))))))
+        full = F.size(F.array_distinct(F.transform(lasts, lambda x: x["rank"]))) == F.col("n")
+        ends = seen.select("row", "window", "n", "at", F.when(full, F.col("at") - newest + 1).alias("length"))
+        found = ends.where(F.col("length") <= span).groupBy("row", "window").agg(F.min("length").alias("least"))
+        return found.unionByName(single.distinct())
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, row: str | None = None, near: int | None = None) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of docs.
 
     row: a column of docs that differs in all rows; the result has it as well.
+    near: also ``n_near``, how many items have a window of which all distinct
+    terms lie within so many words of the document, in any order.
 
     A window is ``size`` consecutive words of an item(item_id, text), or all
     words of a shorter item; a document word inside any occurrence of a window
@@ -139,10 +171,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, row: str |
     words = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     seen = hits.select("row", "window").distinct().join(hint_small(owners, 32), "window").select("row", F.col("item_id").cast("string").alias("item")).distinct()
     found = seen.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    result = index.documents().join(words, "row", "left").join(found, "row", "left")
+    if near is not None:
+        close = index.proximity(windows, near).select("row", "window").join(hint_small(owners, 32), "window").select("row", "item_id").distinct()
+        result = result.join(close.groupBy("row").agg(F.count("*").alias("n_near")), "row", "left")
     return (
-        index.documents()
-        .join(words, "row", "left")
-        .join(found, "row", "left")
+        result
         .select(
             *([F.col("row").alias(row)] if row else []),
             "doc_id",
@@ -151,5 +185,6 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, row: str |
             F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            *([F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")] if near is not None else []),
         )
     )

@@ -67,7 +67,7 @@ def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 10)
+    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), 10, near=20)
 
 
 def op11_products(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,9 +46,15 @@ size as (select distinct n from item),
 win as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from d, size)),
 hit as (select doc_id, win.n, i, item_id from win join item on item.g = win.g and item.n = win.n),
 word as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hit) group by 1),
-who as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by 1)
-select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join word using (doc_id) left join who using (doc_id)
+who as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by 1),
+term as (select g, len(t) as n, unnest(t) as term from (select g, list_distinct(string_split(g, ' ')) as t from (select distinct g from item))),
+spot as (select doc_id, term, j from (select doc_id, unnest(w) as term, unnest(range(1, len(w) + 1)) as j from d) semi join term using (term)),
+holds as (select doc_id, g from (select distinct doc_id, term from spot) join term using (term) group by doc_id, g having count(*) = any_value(n)),
+place as (select doc_id, g, n, term, j from spot join term using (term) join holds using (doc_id, g)),
+near as (select distinct doc_id, g from (select a.doc_id, a.g, a.j from place a join place b on b.doc_id = a.doc_id and b.g = a.g and b.j between a.j - 19 and a.j group by 1, 2, 3 having count(distinct b.term) = any_value(a.n))),
+close as (select doc_id, count(distinct item_id) as n_near from near join item using (g) group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from d left join word using (doc_id) left join who using (doc_id) left join close using (doc_id)
 """
 
 
