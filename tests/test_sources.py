@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from html.parser import HTMLParser
 import os
 
 import pytest
@@ -146,3 +147,50 @@ def test_missing_and_pending(spark):
     lost = census.missing_keys(cycles, expected, seen, ["s"], ["cycle"], ["conid"])
     assert sorted(tuple(r) for r in lost.collect()) == [("x", 2, "b"), ("x", 3, "a"), ("x", 3, "b")]
     assert jobs.pending(seen.select("cycle").distinct(), spark.createDataFrame([(1, "PASS"), (2, "FAIL")], "cycle int, status string"), "cycle").count() == 2
+
+
+class Rows(HTMLParser):
+    """Rows and list items of a page with their cells, by the events of a parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.rows, self.row, self.cell = [], None, False
+        self.feed(page)
+        self.close()
+        self._end()
+
+    def _end(self):
+        if self.row is not None:
+            self.rows.append([" ".join("".join(c).split()) for c in self.row["cells"]] or [" ".join("".join(self.row["text"]).split())])
+        self.row, self.cell = None, False
+
+    def _tag(self, tag, start):
+        self.handle_data(" ")
+        if tag in ("tr", "li", "table", "ul", "ol"):
+            self._end()
+        if start and tag in ("tr", "li"):
+            self.row = {"text": [], "cells": []}
+        if tag in ("td", "th"):
+            self.cell = start
+            if start and self.row is not None:
+                self.row["cells"].append([])
+
+    def handle_starttag(self, tag, attrs):
+        self._tag(tag, True)
+
+    def handle_endtag(self, tag):
+        self._tag(tag, False)
+
+    def handle_data(self, data):
+        if self.row is not None:
+            self.row["text"].append(data)
+            if self.cell and self.row["cells"]:
+                self.row["cells"][-1].append(data)
+
+
+def test_cells_of_all_pages_equal_those_of_a_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    odd = "<table><tr><th>a<th>b &amp; c</tr><tr><td>1<td><b>2</b> 3</table><ul><li>one<li>two <i>x</i><ul><li>in</ul></ul><table><tr><td>&lt;p&gt;</td><td></td></tr></table>"
+    pages = pages.unionByName(spark.createDataFrame([(-1, odd), (-2, ""), (-3, "no rows")], "page_id long, html string"))
+    want = sorted((r["page_id"], i, k, v) for r in pages.collect() for i, row in enumerate(Rows(r["html"] or "").rows) for k, v in enumerate(row))
+    assert sorted(map(tuple, html_table.cells(pages, "page_id", "html").collect())) == want and len(want) > 100
