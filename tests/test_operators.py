@@ -1,6 +1,7 @@
 """Operators on hand-made tables."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -165,3 +166,26 @@ def test_expectations(spark):
         with pytest.raises(expect.ExpectationError):
             broken()
     assert expect.same_keys(rows, rows, ["v"]) is None
+
+
+@pytest.mark.parametrize("size", [1 << 18, 7])
+def test_ordered_operators_over_slices(spark, monkeypatch, size):
+    """Pairs, gaps, changes and runs of a group that is cut along its order equal a plain loop; so do null keys, times and values."""
+    from tidemark.operators import windows
+
+    monkeypatch.setattr(windows, "SLICE_ROWS", size)
+    rng = random.Random(size)
+    start = dt.datetime(2026, 6, 1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), start + dt.timedelta(minutes=rng.randrange(400)) if rng.random() > 0.04 else None, i, rng.choice([1, 1, 2, None]), rng.choice([True, True, True, False, None])) for i in range(150)]
+    table = spark.createDataFrame(rows, "k string, t timestamp, i int, v int, ok boolean").repartition(3)
+    groups = {k: sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or start, r[2])) for k in ("a", "b", None)}
+    pairs = {r["i"]: (r["old_i"], r["old_v"], r["sequence"]) for r in windows.consecutive_pairs(table, ["k"], ["t", "i"], ["i", "v"]).collect()}
+    assert pairs == {b[2]: (a[2], a[3], n) for g in groups.values() for n, (a, b) in enumerate(zip(g, g[1:]), 1)}
+    gaps = {r["i"]: r["gap_minutes"] for r in windows.gaps(table, ["k"], "t", "i").collect()}
+    assert gaps == {b[2]: (b[1] - a[1]).total_seconds() / 60 if a and a[1] and b[1] else None for g in groups.values() for a, b in zip([None, *g], g)}
+    changed = {r["i"]: r["changed"] for r in windows.changes(table, ["k"], ["t", "i"], "v").collect()}
+    assert changed == {b[2]: a is None or a[3] != b[3] for g in groups.values() for a, b in zip([None, *g], g)}
+    longest = {r["k"]: r["longest"] for r in windows.longest_true_run(table, ["k"], ["t", "i"], "ok").collect()}
+    runs = lambda g: max((len(x) for x in "".join("1" if r[4] else "0" for r in g).split("0")), default=0)
+    assert longest == {k: runs(g) for k, g in groups.items()}
+    assert windows.changes(table.where("false"), ["k"], ["t", "i"], "v").count() == 0

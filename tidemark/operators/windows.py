@@ -9,11 +9,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a slice of a group that is cut along its order, and the most slices.
+SLICE_ROWS, MOST_SLICES = 1 << 18, 256
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)], F.lit(True))
+
+
+def in_slices(rows: DataFrame, on: str) -> DataFrame:
+    """rows with ``_slice``, which rises with the column: one for some SLICE_ROWS rows, cut at approximate quantiles of the whole table.
+
+    The cuts (at most MOST_SLICES) are read by the driver once; they decide where
+    the work lies, not the result. Null values lie in the first slice.
+    """
+    kind = rows.schema[on].dataType.typeName()
+    place = F.unix_micros(F.col(on).cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else F.col(on)
+    if kind in ("string", "binary", "boolean"):
+        return rows.withColumn("_slice", F.lit(0))
+    found = rows.agg(F.percentile_approx(place, [k / MOST_SLICES for k in range(1, MOST_SLICES)], 10_000).alias("c"), F.count("*").alias("n")).first()
+    n = min(MOST_SLICES, -(-found["n"] // SLICE_ROWS))
+    cuts = sorted({c for k, c in enumerate(found["c"] or [], 1) if k * n // MOST_SLICES > (k - 1) * n // MOST_SLICES})
+    return rows.withColumn("_slice", F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < place)), F.lit(0)) if cuts else F.lit(0))
+
+
+def carried_over(rows: DataFrame, keys: list[str], sums: dict[str, Column], lasts: dict[str, Column] | None = None) -> DataFrame:
+    """rows of in_slices with, for each name, the sum over their group's earlier slices (0 if none), or the last of its earlier slices' values."""
+    named = [f"_k{i}" for i in range(len(keys))]
+    lasts = lasts or {}
+    each = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col("_slice").alias("_on")).agg(*[c.alias(n) for n, c in (sums | lasts).items()])
+    earlier = W.partitionBy(*named).orderBy("_on").rowsBetween(W.unboundedPreceding, -1)
+    before = each.select(*named, "_on", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums], *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in lasts])
+    return rows.join(before, _same([*keys, "_slice"], [*named, "_on"])).drop(*named, "_on")
+
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "number") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
+def lagged(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """rows with each value of the row before in the group (null for the first) and ``_number``, their place from 1.
+
+    A group that holds a third of all rows is many windows: slices of the first
+    column of the order. The last row of each slice is carried to the next.
+    """
+    sliced = in_slices(rows, order[0]).withColumn("_now", F.struct(*[c.alias(n) for n, c in values.items()]))
+    at = F.struct(*order)
+    both = carried_over(sliced, keys, {"_before": F.count("*")}, {"_last": F.max_by("_now", at)})
+    within = W.partitionBy(*keys, "_slice").orderBy(*order)
+    inside = F.lag("_now").over(within)
+    both = both.withColumns({"_own": F.row_number().over(within), "_lag": inside})
+    found = F.when(F.col("_own") > 1, F.col("_lag")).otherwise(F.col("_last"))
+    return both.select(*rows.columns, *[found[n].alias(n) for n in values], (F.col("_before") + F.col("_own")).alias("_number"))
+
+
 def share(rows: DataFrame, keys: list[str], value: str, name: str = "share") -> DataFrame:
     """Each row's part of its group's total."""
     return rows.withColumn(name, F.col(value) / F.sum(value).over(W.partitionBy(*keys)))
@@ -21,16 +70,15 @@ def share(rows: DataFrame, keys: list[str], value: str, name: str = "share") ->
 
 def consecutive_pairs(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Each row but a group's first, with the values of the one before (``old_``) and its sequence number."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    out = rows.withColumns({f"old_{v}": F.lag(v).over(w) for v in values} | {"sequence": F.row_number().over(w) - 1})
-    return out.where("sequence > 0")
+    out = lagged(rows, keys, order, {f"old_{v}": F.col(v) for v in values})
+    return out.withColumn("sequence", (F.col("_number") - 1).cast("int")).drop("_number").where("sequence > 0")
 
 
 def gaps(rows: DataFrame, keys: list[str], time: str, tie: str, name: str = "gap_minutes") -> DataFrame:
     """Minutes since the row before in the group; null for the first."""
-    w = W.partitionBy(*keys).orderBy(time, tie)
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    return rows.withColumn(name, (micros - F.lag(micros).over(w)) / 60e6)
+    out = lagged(rows, keys, [time, tie], {"_then": micros})
+    return out.withColumn(name, (micros - F.col("_then")) / 60e6).drop("_then", "_number")
 
 
 def late_polls(rows: DataFrame, keys: list[str], time: str, tie: str, cadence_seconds: float, slack: float = 1.75) -> DataFrame:
@@ -39,16 +87,23 @@ def late_polls(rows: DataFrame, keys: list[str], time: str, tie: str, cadence_se
 
 
 def longest_true_run(rows: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
-    """(keys, longest): the most consecutive rows whose flag is true; 0 if none."""
-    a, b = W.partitionBy(*keys).orderBy(*order), W.partitionBy(*keys, flag).orderBy(*order)
-    islands = rows.withColumn("_island", F.row_number().over(a) - F.row_number().over(b)).groupBy(*keys, flag, "_island").agg(F.count("*").alias("_n"))
-    return islands.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(flag), F.col("_n"))), F.lit(0)).alias("longest"))
+    """(keys, longest): the most consecutive rows whose flag is true; 0 if none.
+
+    Rows of one run have one difference between their place among all rows of
+    the group and among those of their flag; both are counted over slices.
+    """
+    sliced = in_slices(rows.select(*keys, *order, F.coalesce(flag, F.lit(False)).alias("_flag")), order[0])
+    both = carried_over(sliced, keys, {"_all": F.count("*"), "_true": F.count_if("_flag")})
+    within, alike = W.partitionBy(*keys, "_slice").orderBy(*order), W.partitionBy(*keys, "_slice", "_flag").orderBy(*order)
+    ahead = F.when(F.col("_flag"), F.col("_true")).otherwise(F.col("_all") - F.col("_true"))
+    islands = both.withColumn("_island", F.col("_all") + F.row_number().over(within) - ahead - F.row_number().over(alike)).groupBy(*keys, "_flag", "_island").agg(F.count("*").alias("_n"))
+    return islands.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("_flag"), F.col("_n"))), F.lit(0)).alias("longest"))
 
 
 def changes(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str = "changed") -> DataFrame:
     """Whether the value differs from the one before (null-safe); a group's first row is a change."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn(name, (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w)))
+    out = lagged(rows, keys, order, {"_was": F.col(value)})
+    return out.withColumn(name, (F.col("_number") == 1) | ~F.col(value).eqNullSafe(F.col("_was"))).drop("_was", "_number")
 
 
 def on_grid(grid: DataFrame, observations: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
