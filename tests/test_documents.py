@@ -15,18 +15,20 @@ DAY = dt.date(2026, 6, 1)
 
 def test_documents_appear_whole_or_not_at_all(spark, tmp_path):
     folder = tmp_path / "out"
+    # What readers see: a task that still runs when its job has failed may leave its part below _pending.
+    seen = lambda: sorted(p.name for p in folder.iterdir() if not p.name.startswith("_"))
     rows = spark.createDataFrame([(i, "x", None) for i in range(20)], "b int, a string, c double").repartition(4)
     documents.write_documents(documents.json_objects(rows, F.format_string("r%d.json", F.col("b"))), f"file://{folder}")
-    assert sorted(p.name for p in folder.iterdir()) == sorted(f"r{i}.json" for i in range(20))
+    assert seen() == sorted(f"r{i}.json" for i in range(20))
     assert json.loads((folder / "r3.json").read_text()) == {"a": "x", "b": 3, "c": None} and list(json.loads((folder / "r3.json").read_text())) == ["a", "b", "c"]
     # A task that fails leaves nothing to be seen, nor does a name that is there, or one that comes twice.
     bad = spark.range(40, numPartitions=4).select(F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") == 39, F.raise_error(F.lit("broken")).cast("string")).otherwise("y").alias("body"))
     for failing in (bad, spark.createDataFrame([("new", "1"), ("r3.json", "2")], "name string, body string"), spark.createDataFrame([("twice", "1"), ("twice", "2")], "name string, body string"), spark.createDataFrame([("../up", "1")], "name string, body string")):
         with pytest.raises(Exception):
             documents.write_documents(failing, f"file://{folder}")
-        assert sorted(p.name for p in folder.iterdir()) == sorted(f"r{i}.json" for i in range(20))
+        assert seen() == sorted(f"r{i}.json" for i in range(20))
     documents.write_documents(spark.createDataFrame([("r3.json", "new")], "name string, body string"), f"file://{folder}", overwrite=True)
-    assert (folder / "r3.json").read_text() == "new" and len(list(folder.iterdir())) == 20
+    assert (folder / "r3.json").read_text() == "new" and len(seen()) == 20
 
 
 def test_report(spark, tmp_path):

@@ -73,6 +73,7 @@ def schedule_status(timezone: Column, entries: Column, now: Column) -> Column:
     blank = lambda text: text.isNull() | (text == "")
     at = F.hour(local) * 60 + F.minute(local)
     inside = lambda x: (minute(x["open"]) <= at) & ((at < minute(x["close"])) | (minute(x["close"]) < minute(x["open"])))
+    # The texts of the problems.
     problem = (
         F.when(blank(timezone) | entries.isNull(), "schedule missing timezone/trading_schedules")
         .when(F.size(rows) != 1, "schedule missing/ambiguous weekday row")

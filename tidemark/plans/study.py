@@ -23,6 +23,7 @@ def event_question(text: Column, station: Column) -> Column:
     """struct(date, threshold, problem) of a contract's question about a station's daily high; closed unless all of it is there."""
     found = question(text)
     lower = F.lower(F.trim(text))
+    # The texts of the problems.
     problem = (
         F.when(F.coalesce(F.trim(text), F.lit("")) == "", "missing contract question")
         .when(~(F.contains(lower, F.lit("highest temperature")) & F.contains(lower, F.lit("exceed"))), "unexpected question predicate")
@@ -49,6 +50,7 @@ def pair_snapshot(payload: Column, first: Column, second: Column, elapsed: Colum
     legs = [(first, leg(first)), (second, leg(second))]
     seconds = lambda x: x["updated"].cast("double") / 1000
     bad = lambda c: F.coalesce(c, F.lit(True))
+    # The texts of the reasons.
     rules = [
         ("request elapsed outside frozen bound", bad(~elapsed.between(0, MOST_ELAPSED))), ("invalid response received epoch", bad(~((received > 0) & (received < float("inf"))))),
         ("pair response must contain exactly two rows", bad(F.size(payload) != 2)), ("invalid quote row/conid", bad(F.exists(payload, lambda x: x["conid"].isNull()))),
@@ -158,6 +160,7 @@ def health_record(text: Column, event_date: Column, protocol: Column) -> Column:
     field = lambda name: F.when(kind(f"$.{name}") == "STRING", F.try_variant_get(body, f"$.{name}", "string"))
     blocker, status = field("study_blocker"), field("date_status")
     absent = F.coalesce(kind("$.study_blocker"), F.lit("VOID")) == "VOID"
+    # The texts of the reasons.
     reason = (
         F.when(text.isNull(), "missing day_health_summary.json")
         .when(body.isNull(), "malformed JSON")

@@ -2,7 +2,8 @@
 
 ``spark.write.format("document_files")`` writes each row (name, body) as a file.
 Tasks write under a folder of their own below ``_pending``; the files take their
-places when all tasks are done, and a failed job removes what it wrote.
+places when all tasks are done, and a failed job removes what it wrote. A task
+that still runs then may leave its part below ``_pending``, which is no output.
 """
 
 from __future__ import annotations
