@@ -32,7 +32,7 @@ with o as (select user_id % 5 as k, cast(ts as date) as d, date_trunc('hour', ts
      seen as (select event_id, t, q.k, q.d, issue, max_by(v, received) as v from q join each e on e.k = q.k and e.d = q.d and e.received <= q.t and e.issue <= q.t group by 1, 2, 3, 4, 5),
      state as (select event_id, count(*) as known, max(v) as running_max, max_by(v, issue) as current, max(issue) as latest_issue,
                       max_by(v, issue) filter (issue <= t - interval 60 minutes) as old from seen group by 1)
-select q.event_id, round(current, 6) as current, round(running_max, 6) as running_max, round(current - running_max, 6) as below_max, round((epoch_us(t) - epoch_us(latest_issue)) / 60e6, 6) as age_minutes,
+select q.event_id, round(current, 6) as current, round(running_max, 6) as running_max, round(current - running_max, 6) as below_max, round((epoch_us(t) - epoch_us(latest_issue)) / 1e6, 6) as age_seconds,
        round(current - old, 6) as change, coalesce(known, 0) as known
 from q left join state on state.event_id = q.event_id and cast(t - interval 6 hour as date) = q.d
 """)
@@ -42,7 +42,8 @@ def state_at_quote(spark, folder):
     seen = events.where("event_type <> 'purchase'").select("k", "d", F.date_trunc("hour", "ts").alias("issue"), F.col("ts").cast("timestamp").alias("received"), "value")
     quotes = events.where("event_type = 'purchase'").select("event_id", "k", "d", F.col("ts").cast("timestamp").alias("t"))
     found = versions.state_at(quotes, seen, ["k", "d"], "t", "issue", "received", "value", F.col("d"), F.to_date(F.col("t") - F.expr("interval 6 hours")))
-    return rounded(found.select("event_id", "current", "running_max", "below_max", "age_minutes", "change", "known"), "current", "running_max", "below_max", "age_minutes", "change")
+    found = found.withColumn("age_seconds", F.col("age_minutes") * 60)
+    return rounded(found.select("event_id", "current", "running_max", "below_max", "age_seconds", "change", "known"), "current", "running_max", "below_max", "age_seconds", "change")
 
 
 @query("""
