@@ -2,9 +2,12 @@
 
 import hashlib
 import io
+import json
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +57,46 @@ def test_encode(spark):
     assert sstable.encode(docs.limit(0), path).count() == 0
 
 
+def test_encoder_gives_the_tokenizers_ids(monkeypatch):
+    rng = random.Random(3)
+    path = vocabularies.path("byte_bpe_50k.json")
+    encoder, tokenizer = sstable.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    bits = ["the", "isn't", "'s", "'treaty", "'LL", "ation", "ÀÉ", "à", "ſ", "é", "漢", "Жд", "ɏ", "ɐ", "\u0301", "²", "ª", "×", "12", " ", "  ", "\n", "\n\n", "\r\n", "\xa0", " \xa0", "\x85", "\x1c", "\u180e", "\u200b", ".", ",", "…", "###", "😀", "\0", "<|endoftext|>", "<|endof", ""]
+    texts = [rng.choice(["", " ", " "]).join(rng.choice(bits) + rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    texts += [None, *(f"x {c}a b{c} c {c}{c}." for c in map(chr, range(0x250)))]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == want
+    assert [ids.tolist() for ids in encoder.encode(pa.array(texts, pa.large_string()).slice(50, 100))] == want[50:150]
+    monkeypatch.setattr(encoder, "TOGETHER", 60)
+    assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == want
+    assert list(encoder.encode(pa.array([], pa.string()))) == []
+    # A model that joins letters to the space after them can't do without the tokenizer's cut.
+    rules = json.loads(tokenizer.to_str())["model"]
+    assert encoder.model is not None
+    assert not encoder._keeps_apart({**rules, "merges": [*rules["merges"], ["e", "\u0120t"]]})
+
+
+def test_encoder_asks_for_fronts_and_tails_once():
+    encoder = sstable.Encoder(vocabularies.path("byte_bpe_50k.json"))
+    asked = []
+
+    class Asked:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer, encoder.model = Asked(encoder.tokenizer), Asked(encoder.model)
+    fronts = [a + b for a in ("Water", "stone", "élan", "mark", "tide") for b in ("ing", "ed", "er", "less", "ful", "ly", "s", "y")]
+    tails = ["", ".", ",", "!", "?", ".\nThen", ",***", "###", ":", ";", ")", "'s", "-like", "/2", "...", ".\nAnd"]
+    words = [f + t for f in fronts for t in tails]
+    texts = [" ".join(words[k:] + words[:k]) for k in range(0, len(words), 160)]
+    assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == [encoder.tokenizer.inner.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(map(len, asked)) < sum(map(len, words)) / 8
+
+
 def test_shards_follow_the_ids(spark):
     docs = spark.range(1000).select((F.lit(5000) - F.col("id") * 5).alias("doc_id"), F.concat(F.lit("number "), F.col("id")).alias("text"))
     work = Workspace(spark, "test")
